@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alignment"]
+MODULES = ["alignment", "sequences"]
 
 
 def load_queries():
