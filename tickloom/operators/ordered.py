@@ -202,7 +202,7 @@ def framed(
     hot = join_on(base, spans, keys, "inner")
     if unit == "rows":
         size = max(limit, before + after, 1)
-        placed = running(hot, keys, order, {"__pos": rcount()}, tie=tie, limit=limit)
+        placed = running(hot.drop("__low", "__width"), keys, order, {"__pos": rcount()}, tie=tie, limit=limit)
         at, width = F.col("__pos") - 1, F.lit(size)
     else:
         placed = hot

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alignment", "sequences"]
+MODULES = ["alignment", "sequences", "states"]
 
 
 def load_queries():

@@ -178,11 +178,11 @@ def session_stats(t: Tables):
 @query(
     "segment_ids_stats",
     "W17",
-    f"""WITH {ACTIVITY}, {GAP} SELECT user_id, segment, n, round(m, 5) AS mean_value, round(v, 7) AS within_var, errors, purchases FROM t""",
+    f"""WITH {ACTIVITY}, {GAP} SELECT user_id, segment, n, round(m, 8) AS mean_value, round(v, 2) AS within_var, errors, purchases FROM t""",
 )
 def segment_ids_stats(t: Tables):
     return session_stats(t).select(
-        "user_id", "segment", "n", F.round("mean_value", 5).alias("mean_value"), F.round("within_var", 7).alias("within_var"), "errors", "purchases"
+        "user_id", "segment", "n", F.round("mean_value", 8).alias("mean_value"), F.round("within_var", 2).alias("within_var"), "errors", "purchases"
     )
 
 
@@ -224,9 +224,9 @@ def transition_events(t: Tables):
 @query(
     "lost_items",
     "W14 P27",
-    """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity > 5 AS alive, list_filter(['smoke', 'flash', 'molly', 'he', 'decoy'],
+    """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey, l_extendedprice, l_quantity > 5 AS alive, list_filter(['smoke', 'flash', 'molly', 'he', 'decoy'],
         lambda x: CASE x WHEN 'smoke' THEN l_suppkey % 2 = 0 WHEN 'flash' THEN l_partkey % 3 = 0 WHEN 'molly' THEN l_quantity > 25 WHEN 'he' THEN l_discount > 0.05 ELSE l_tax > 0.04 END) AS inv FROM lineitem),
-    p AS (SELECT *, lag(inv) OVER w AS held, lag(alive) OVER w AS was FROM i WINDOW w AS (PARTITION BY k ORDER BY n)),
+    p AS (SELECT *, lag(inv) OVER w AS held, lag(alive) OVER w AS was FROM i WINDOW w AS (PARTITION BY k ORDER BY n, l_partkey, l_extendedprice)),
     u AS (SELECT k, n, inv, unnest(held) AS item FROM p WHERE was)
     SELECT k AS order_key, n::BIGINT AS line, item FROM u WHERE NOT list_contains(inv, item) AND item IN ('smoke', 'flash', 'molly', 'he')""",
 )
@@ -240,9 +240,9 @@ def lost_items(t: Tables):
             F.when(F.col("l_tax") > 0.04, "decoy"),
         )
     )
-    rows = t.lineitem.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), "l_quantity", held.alias("inv"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), "l_partkey", "l_extendedprice", "l_quantity", held.alias("inv"))
     watched = F.array(*[F.lit(x) for x in ("smoke", "flash", "molly", "he")])
-    return samples.lost_items(rows, ["order_key"], "line", "inv", F.col("l_quantity") > 5, watched).select("order_key", "line", "item")
+    return samples.lost_items(rows, ["order_key"], "line", "inv", F.col("l_quantity") > 5, watched, tie=["l_partkey", "l_extendedprice"]).select("order_key", "line", "item")
 
 
 @query(
