@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import jaccard, total
@@ -57,9 +57,14 @@ def mean_of(scores: Sequence[Column]) -> Column:
     return F.when(found > 0, total([F.coalesce(s, F.lit(0.0)) for s in scores]) / found).otherwise(0.0)
 
 
-def field_scores(fields: dict[str, Sequence[str]], pred: Callable[[str], Column], truth: Callable[[str], Column], known: Sequence[str]) -> list[Column]:
-    """One score per field that the truth has (``known``), by field kind."""
-    return [KINDS[kind](pred(f), truth(f)) for kind, names in fields.items() for f in names if f in known]
+def with_field_scores(df: DataFrame, fields: Sequence[dict[str, Sequence[str]]], pred: Callable[[str], Column], truth: Callable[[str], Column], known: Sequence[str]) -> tuple[DataFrame, list[list[Column]]]:
+    """Scores of every known field as columns, and per field group the columns to average.
+
+    A field that appears in several groups is scored once.
+    """
+    scores = {f"__s_{f}": KINDS[kind](pred(f), truth(f)) for group in fields for kind, names in group.items() for f in names if f in known}
+    groups = [[F.col(f"__s_{f}") for names in group.values() for f in names if f in known] for group in fields]
+    return df.withColumns(scores), groups
 
 
 def split_score(visual: Sequence[Column], context: Sequence[Column], visual_weight: float = 0.7, context_weight: float = 0.3) -> dict[str, Column]:
@@ -72,24 +77,26 @@ def delay_match(model: Column, truth: Column) -> Column:
     return F.when(gap <= 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (gap - 0.2) / 0.3))
 
 
-def alignment(model: Column, truth: Column) -> Column:
+def with_alignment(df: DataFrame, model: str, truth: str, name: str = "alignment") -> DataFrame:
     """Agreement of two behaviour structs over the fields both know; utility counts whenever the truth has it."""
-
-    def same(name):
-        return F.when(model[name].isNotNull() & truth[name].isNotNull(), F.when(model[name] == truth[name], 1.0).otherwise(0.0))
-
-    used = F.when(
-        truth["utility_used"].isNotNull(),
-        jaccard(
-            F.array_distinct(F.coalesce(model["utility_used"], F.array().cast("array<string>"))),
-            F.array_distinct(truth["utility_used"]),
-        ),
-    )
-    delay = F.when(
-        model["engagement_delay"].isNotNull() & truth["engagement_delay"].isNotNull(),
-        delay_match(model["engagement_delay"], truth["engagement_delay"]),
-    )
-    return mean_of([same("movement_direction"), same("objective_direction"), used, same("initiated_engagement"), delay])
+    m, t = F.col(model), F.col(truth)
+
+    def both_know(field, score):
+        return F.when(m[field].isNotNull() & t[field].isNotNull(), score)
+
+    def same(field):
+        return both_know(field, F.when(m[field] == t[field], 1.0).otherwise(0.0))
+
+    empty = F.array().cast("array<string>")
+    used = jaccard(F.array_distinct(F.coalesce(m["utility_used"], empty)), F.array_distinct(t["utility_used"]))
+    parts = {
+        "__a_move": same("movement_direction"),
+        "__a_goal": same("objective_direction"),
+        "__a_used": F.when(t["utility_used"].isNotNull(), used),
+        "__a_start": same("initiated_engagement"),
+        "__a_delay": both_know("engagement_delay", delay_match(m["engagement_delay"], t["engagement_delay"])),
+    }
+    return df.withColumns(parts).withColumn(name, mean_of([F.col(c) for c in parts])).drop(*parts)
 
 
 def contribution(damage: Column, max_damage: Column, survival: Column, duration: Column, objective: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import vocab as V
@@ -20,71 +20,93 @@ def total(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def hits(text: Column, keywords: Sequence[str]) -> Column:
-    """How many of the keywords occur in the lower-cased text.
+def hits(low: Column, keywords: Sequence[str]) -> Column:
+    """How many of the keywords occur in a lower-cased text.
 
-    A plain sum of ``contains``: it is compiled, and the lower-casing is shared.
+    A plain sum of ``contains``, so it is compiled. Lower-case once, in a projection of
+    its own: an inlined ``lower`` would run again for every keyword.
     """
-    low = F.lower(text)
     return total([low.contains(k).cast("int") for k in keywords])
 
 
-def mentions(text: Column, groups: dict[str, Sequence[str]]) -> Column:
-    """Sorted names of the groups with at least one keyword in the text."""
-    low = F.lower(text)
+def mentions(low: Column, groups: dict[str, Sequence[str]]) -> Column:
+    """Sorted names of the groups with at least one keyword in a lower-cased text."""
     found = [F.when(reduce(lambda a, b: a | b, [low.contains(k) for k in groups[g]]), F.lit(g)) for g in sorted(groups)]
     return F.array_compact(F.array(*found))
 
 
-def movement(text: Column, advance=V.ADVANCE_WORDS, retreat=V.RETREAT_WORDS, hold=V.HOLD_WORDS) -> Column:
-    """1 advance, -1 retreat, 0 hold by most keywords (ties in that order); null without any."""
-    a, r, h = hits(text, advance), hits(text, retreat), hits(text, hold)
-    best = F.greatest(a, r, h)
-    return F.when(best == 0, None).when(a == best, 1).when(r == best, -1).otherwise(0)
+def movement_of(advance: Column, retreat: Column, hold: Column) -> Column:
+    """1 advance, -1 retreat, 0 hold by the largest count (ties in that order); null when all are 0."""
+    best = F.greatest(advance, retreat, hold)
+    return F.when(best == 0, None).when(advance == best, 1).when(retreat == best, -1).otherwise(0)
 
 
-def objective(text: Column, toward=V.TOWARD_WORDS, away=V.AWAY_WORDS) -> Column:
+def objective_of(toward: Column, away: Column) -> Column:
     """1 toward, -1 away, 0 when both are mentioned equally, null without any."""
-    t, a = hits(text, toward), hits(text, away)
-    return F.when(t > a, 1).when(a > t, -1).when(t > 0, 0)
+    return F.when(toward > away, 1).when(away > toward, -1).when(toward > 0, 0)
 
 
-def utility_types(text: Column, groups=V.UTILITY_WORDS) -> Column:
-    return mentions(text, groups)
+def starts_of(start: Column, wait: Column) -> Column:
+    """True/false by the larger count, null on a draw."""
+    return F.when(start > wait, True).when(wait > start, False)
 
 
-def initiates(text: Column, start=V.INITIATE_WORDS, wait=V.WAIT_WORDS) -> Column:
-    """True/false by the larger keyword count, null on a draw."""
-    s, w = hits(text, start), hits(text, wait)
-    return F.when(s > w, True).when(w > s, False)
+FULL_LISTS = {
+    "advance": V.ADVANCE_WORDS, "retreat": V.RETREAT_WORDS, "hold": V.HOLD_WORDS, "toward": V.TOWARD_WORDS, "away": V.AWAY_WORDS,
+    "start": V.INITIATE_WORDS, "wait": V.WAIT_WORDS,
+}
+LIGHT_LISTS = {
+    "advance": V.LIGHT_ADVANCE, "retreat": V.LIGHT_RETREAT, "hold": V.LIGHT_HOLD, "toward": V.LIGHT_TOWARD, "away": V.LIGHT_AWAY,
+    "start": V.LIGHT_INITIATE, "wait": V.LIGHT_WAIT, "utility": V.LIGHT_UTILITY,
+}
 
 
-def action_categories(text: Column, groups=V.ACTION_WORDS) -> Column:
-    return mentions(text, groups)
+def with_counts(df: DataFrame, column: str, lists: dict[str, Sequence[str]], prefix: str = "__kw_") -> DataFrame:
+    """One keyword count per list. Counted in a projection of its own, so each is computed once per row."""
+    counts = {prefix + n: hits(F.col("__low"), ws) for n, ws in lists.items()}
+    return df.withColumn("__low", F.lower(column)).withColumns(counts)
 
 
-def behaviour(text: Column) -> Column:
-    """Behaviour struct read from advice text; what the text does not say stays null."""
-    starts = initiates(text)
-    return F.struct(
-        movement(text).alias("movement_direction"),
-        objective(text).alias("objective_direction"),
-        utility_types(text).alias("utility_used"),
-        starts.alias("initiated_engagement"),
-        F.when(starts, 0.2).when(~starts, 0.8).alias("engagement_delay"),
-    )
+def with_movement(df: DataFrame, column: str, advance: Sequence[str], retreat: Sequence[str], hold: Sequence[str], name: str = "movement") -> DataFrame:
+    counted = with_counts(df, column, {"a": advance, "r": retreat, "h": hold})
+    parts = ["__kw_a", "__kw_r", "__kw_h"]
+    return counted.withColumn(name, movement_of(*[F.col(c) for c in parts])).drop(*parts, "__low")
 
 
-def light_behaviour(text: Column) -> Column:
-    """Variant with shorter lists where every field has a value."""
-    starts = hits(text, V.LIGHT_INITIATE) > hits(text, V.LIGHT_WAIT)
-    return F.struct(
-        F.coalesce(movement(text, V.LIGHT_ADVANCE, V.LIGHT_RETREAT, V.LIGHT_HOLD), F.lit(0)).alias("movement_direction"),
-        F.coalesce(objective(text, V.LIGHT_TOWARD, V.LIGHT_AWAY), F.lit(0)).alias("objective_direction"),
-        F.least(hits(text, V.LIGHT_UTILITY), F.lit(4)).alias("utility_count"),
-        starts.alias("initiated_engagement"),
-        F.when(starts, 0.2).otherwise(0.8).alias("engagement_delay"),
-    )
+def with_behaviour(df: DataFrame, column: str, name: str = "behaviour", light: bool = False) -> DataFrame:
+    """Behaviour struct read from advice text.
+
+    What the text does not say stays null; the ``light`` variant uses shorter lists and
+    fills every field.
+    """
+    lists = LIGHT_LISTS if light else FULL_LISTS
+    counted = with_counts(df, column, lists)
+    k = {n: F.col(f"__kw_{n}") for n in lists}
+    move, goal = movement_of(k["advance"], k["retreat"], k["hold"]), objective_of(k["toward"], k["away"])
+    if light:
+        starts = k["start"] > k["wait"]
+        fields = {
+            "movement_direction": F.coalesce(move, F.lit(0)),
+            "objective_direction": F.coalesce(goal, F.lit(0)),
+            "utility_count": F.least(k["utility"], F.lit(4)),
+            "initiated_engagement": starts,
+            "engagement_delay": F.when(starts, 0.2).otherwise(0.8),
+        }
+    else:
+        starts = starts_of(k["start"], k["wait"])
+        fields = {
+            "movement_direction": move,
+            "objective_direction": goal,
+            "utility_used": mentions(F.col("__low"), V.UTILITY_WORDS),
+            "initiated_engagement": starts,
+            "engagement_delay": F.when(starts, 0.2).when(~starts, 0.8),
+        }
+    return counted.withColumn(name, F.struct(*[e.alias(n) for n, e in fields.items()])).drop("__low", *[f"__kw_{n}" for n in lists])
+
+
+def with_categories(df: DataFrame, column: str, name: str = "categories", groups: dict[str, Sequence[str]] = V.ACTION_WORDS) -> DataFrame:
+    """Sorted action categories a text mentions."""
+    return df.withColumn("__low", F.lower(column)).withColumn(name, mentions(F.col("__low"), groups)).drop("__low")
 
 
 # How an object is found in a response.

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import join_on
+from tickloom.operators.ordered import join_on, ranked
 
 
 def coverage(rows: DataFrame, buckets: dict[str, Sequence[str]], grid: tuple[str, Sequence[Sequence[int]]] | None = None, few: int = 0) -> DataFrame:
@@ -128,11 +128,15 @@ def column_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, column: str, missing: str = "<missing>") -> DataFrame:
-    """Ids of the sorted distinct values; 0 is the missing token."""
+    """Ids of the sorted distinct values; 0 is the missing token.
+
+    Ranked by the number of the first six bytes, then the word, so the sort is distributed.
+    """
     words = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("word")).distinct()
-    listed = words.agg(F.array_sort(F.collect_set("word")).alias("words"))
-    tokens = F.concat(F.array(F.lit(missing)), F.col("words"))
-    return listed.select(F.posexplode(tokens).alias("id", "word")).select(F.col("id").cast("long").alias("id"), "word")
+    head = F.rpad(F.substring(F.hex(F.encode("word", "UTF-8")), 1, 12), 12, "0")
+    numbered = ranked(words.withColumn("__head", F.conv(head, 16, 10).cast("long")), [], "__head", "id", tie=["word"])
+    first = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("id"), F.lit(missing).alias("word"))
+    return first.unionByName(numbered.select(F.col("id").cast("long").alias("id"), "word"))
 
 
 def split_counts(episodes: DataFrame, stratum: str, split: str, low: float = 0.08, high: float = 0.30) -> DataFrame:

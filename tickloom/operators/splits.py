@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import hash_order, join_on, ranked
+from tickloom.operators.ordered import hash_order, join_on, ranked, rcount, running
 
 
 def fallen(team: int = 9) -> Column:
@@ -43,12 +43,10 @@ def top_by_score(rows: DataFrame, score: str, tie: Column, n: int) -> DataFrame:
 def group_split(rows: DataFrame, group: str, fraction: float, seed: int = 0, name: str = "split") -> DataFrame:
     """Whole groups into train or val: ``floor(n * (1 - fraction))`` groups by hash order train."""
     groups = rows.select(group).distinct().withColumn("__h", hash_order(F.col(group), seed=seed))
-    placed = ranked(groups, [], "__h", "__r", tie=[group])
-    total = groups.agg(F.count(F.lit(1)).alias("__n"))
-    marked = placed.withColumn("__k", F.lit(1)).join(total.withColumn("__k", F.lit(1)), "__k")
-    cut = F.floor(F.col("__n") * (1 - fraction))
+    placed = running(groups, [], "__h", {"__r": rcount()}, {"__a": rcount()}, tie=[group])
+    cut = F.floor((F.col("__r") + F.col("__a") - 1) * (1 - fraction))  # rank from both ends gives the total
     split = F.when(F.col("__r") <= cut, "train").otherwise("val")
-    return join_on(rows, marked.select(group, split.alias(name)), [group], "left")
+    return join_on(rows, placed.select(group, split.alias(name)), [group], "left")
 
 
 def stratified_group_split(rows: DataFrame, group: str, stratum: str, fraction: float, key_strata: Sequence[str], seed: int = 0, name: str = "split") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alignment", "sequences", "states"]
+MODULES = ["alignment", "sequences", "states", "corpora"]
 
 
 def load_queries():

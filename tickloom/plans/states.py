@@ -458,10 +458,10 @@ def heard(t: Tables) -> DataFrame:
       coalesce(CASE WHEN st THEN 0.2 WHEN NOT st THEN 0.8 END, 0.5)::DOUBLE AS delay FROM behaved""",
 )
 def keyword_direction(t: Tables):
-    b = text.behaviour(F.col("txt"))
-    return heard(t).select("k", "n", b.alias("b"), F.array_join(text.action_categories(F.col("txt")), ",").alias("categories")).select(
+    read = text.with_behaviour(heard(t).select("k", "n", "txt"), "txt", "b")
+    return text.with_categories(read, "txt").select(
         "k", "n", F.coalesce("b.movement_direction", F.lit(9)).cast("long").alias("movement"), F.coalesce("b.objective_direction", F.lit(9)).cast("long").alias("objective"),
-        F.array_join("b.utility_used", ",").alias("utility"), "categories", scoring.judge_score(F.col("b.engagement_delay")).alias("delay"),
+        F.array_join("b.utility_used", ",").alias("utility"), F.array_join("categories", ",").alias("categories"), scoring.judge_score(F.col("b.engagement_delay")).alias("delay"),
     )
 
 
@@ -475,8 +475,8 @@ TALK = {"advance": ["the ", "die ", "und", "le "], "retreat": ["la ", "ein", "on
     SELECT conv_id, turn, CASE WHEN greatest(a, r, h) = 0 THEN 9 WHEN a >= r AND a >= h THEN 1 WHEN r >= h THEN -1 ELSE 0 END::BIGINT AS movement FROM c""",
 )
 def keyword_conversations(t: Tables):
-    m = text.movement(F.col("text"), TALK["advance"], TALK["retreat"], TALK["hold"])
-    return t.conversations.select("conv_id", "turn", F.coalesce(m, F.lit(9)).cast("long").alias("movement"))
+    out = text.with_movement(t.conversations, "text", **TALK)
+    return out.select("conv_id", "turn", F.coalesce("movement", F.lit(9)).cast("long").alias("movement"))
 
 
 @query(
@@ -487,7 +487,7 @@ def keyword_conversations(t: Tables):
     SELECT k, n, CASE WHEN greatest(a, r, h) = 0 THEN 0 WHEN a >= r AND a >= h THEN 1 WHEN r >= h THEN -1 ELSE 0 END::DOUBLE AS v0, CASE WHEN tw > aw THEN 1 WHEN aw > tw THEN -1 ELSE 0 END::DOUBLE AS v1, least(u, 4) / 4.0::DOUBLE AS v2, st::INT::DOUBLE AS v3, CASE WHEN st THEN 0.2 ELSE 0.8 END::DOUBLE AS v4 FROM c""",
 )
 def light_keywords(t: Tables):
-    b = heard(t).select("k", "n", text.light_behaviour(F.col("txt")).alias("b"))
+    b = text.with_behaviour(heard(t).select("k", "n", "txt"), "txt", "b", light=True)
     v = encode.action_vector(*[F.col(f"b.{f}") for f in ("movement_direction", "objective_direction", "utility_count", "initiated_engagement", "engagement_delay")])
     return b.select("k", "n", *[e.alias(f"v{i}") for i, e in enumerate(v)])
 
@@ -502,19 +502,20 @@ def light_keywords(t: Tables):
         CASE WHEN len(used) = 0 AND len(util) = 0 THEN 1 ELSE len(list_intersect(used, util)) / len(list_distinct(list_concat(used, util))) END::DOUBLE, CASE WHEN st IS NOT NULL THEN (st = initiated)::INT::DOUBLE END,
         CASE WHEN st IS NOT NULL THEN CASE WHEN abs(CASE WHEN st THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END - delay) <= 0.2 THEN 1 ELSE greatest(0, 1 - (abs(CASE WHEN st THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END - delay) - 0.2) / 0.3) END END], lambda x: x IS NOT NULL) AS scores FROM b),
     f AS (SELECT *, list_sum(scores) / len(scores) AS al, least(greatest(0.4 * least(l_quantity / 50, 1) + 0.3 * least(l_extendedprice / 100000, 1) + 0.3 * (l_partkey % 4 = 0)::INT, 0), 1) AS phi, player_side = 'T' AS won FROM g)
-    SELECT k, n, round(al, 7) AS alignment, round(phi, 9) AS phi, round(al * least(greatest(phi * CASE WHEN won THEN 0.5 + 0.5 * al ELSE 0.5 - 0.3 * al END, 0), 1), 7) AS outcome, round(CASE WHEN won THEN al ELSE 1 - al END, 7) AS simple FROM f""",
+    SELECT k, n, round(al, 7) AS alignment, round(phi, 9) AS phi, round(1e-9 + al * least(greatest(phi * CASE WHEN won THEN 0.5 + 0.5 * al ELSE 0.5 - 0.3 * al END, 0), 1), 6) AS outcome, round(CASE WHEN won THEN al ELSE 1 - al END, 7) AS simple FROM f""",
 )
 def behaviour_alignment(t: Tables):
     short = ["flash", "he", "molotov", "smoke"]
     used = F.array_compact(F.array(*[F.when(F.shiftright("l_suppkey", i) % 2 == 1, u) for i, u in enumerate(short)]))
     rows = heard(t).withColumn("utility_used", used)
     truth = F.struct("movement_direction", "objective_direction", "utility_used", "initiated_engagement", "engagement_delay")
-    one = rows.withColumns({"model": text.behaviour(F.col("txt")), "truth": truth, "won": F.col("player_side") == "T"})
+    one = text.with_behaviour(rows, "txt", "model").withColumns({"truth": truth, "won": F.col("player_side") == "T"})
+    one = scoring.with_alignment(one, "model", "truth", "al")
     phi = scoring.contribution(F.col("l_quantity"), F.lit(50.0), F.col("l_extendedprice"), F.lit(100000.0), F.col("l_partkey") % 4 == 0)
-    one = one.withColumns({"al": scoring.alignment(F.col("model"), F.col("truth")), "phi": phi})
+    one = one.withColumn("phi", phi)
     return one.select(
         "k", "n", F.round("al", 7).alias("alignment"), F.round("phi", 9).alias("phi"),
-        F.round(scoring.outcome(F.col("won"), F.col("phi"), F.col("al")), 7).alias("outcome"), F.round(scoring.simple_outcome(F.col("won"), F.col("al")), 7).alias("simple"),
+        F.round(scoring.outcome(F.col("won"), F.col("phi"), F.col("al")) + 1e-9, 6).alias("outcome"), F.round(scoring.simple_outcome(F.col("won"), F.col("al")), 7).alias("simple"),
     )
 
 
@@ -538,9 +539,9 @@ def field_scoring(t: Tables):
         "player_side": F.when(F.col("l_partkey") % 2 == 0, F.lower("player_side")).otherwise("T"),
         "utility": F.slice("utility", 1, 2),
     }
-    visual = scoring.field_scores(V.VISUAL_FIELDS, guess.get, F.col, list(guess))
-    context = scoring.field_scores(V.CONTEXT_FIELDS, guess.get, F.col, list(guess))
-    return states(t).select("k", "n", *[F.round(e, 7).alias(n) for n, e in scoring.split_score(visual, context).items()])
+    rows = states(t).withColumns({f"p_{f}": e for f, e in guess.items()})
+    scored, (visual, context) = scoring.with_field_scores(rows, [V.VISUAL_FIELDS, V.CONTEXT_FIELDS], lambda f: F.col(f"p_{f}"), F.col, list(guess))
+    return scored.select("k", "n", *[F.round(e, 7).alias(n) for n, e in scoring.split_score(visual, context).items()])
 
 
 @query(
