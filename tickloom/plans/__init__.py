@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alignment", "sequences", "states", "corpora"]
+MODULES = ["alignment", "sequences", "states", "corpora", "evaluation", "neighbourhoods"]
 
 
 def load_queries():
