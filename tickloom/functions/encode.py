@@ -25,7 +25,12 @@ def index_of(words: Sequence[str], key: Column, missing: int = -1) -> Column:
 
 def one_hot(index: Column, size: int) -> Column:
     """Float array with a 1 at ``index``; all zeros outside the range."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == index).cast("float"))
+    return F.array(*[F.coalesce(index == i, F.lit(False)).cast("float") for i in range(size)])
+
+
+def one_hot_of(words: Sequence[str], key: Column) -> Column:
+    """Float array with a 1 at the position of ``key`` in the vocabulary."""
+    return F.array(*[F.coalesce(key == w, F.lit(False)).cast("float") for w in words])
 
 
 def clip01(x: Column) -> Column:

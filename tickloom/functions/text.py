@@ -146,10 +146,17 @@ def percent(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams; a text shorter than three characters stands for itself."""
-    size = F.length(text)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
-    return F.array_distinct(F.when(size >= 3, cut).when(size > 0, F.array(text)).otherwise(F.array().cast("array<string>")))
+    """Distinct character trigrams; a text shorter than three characters stands for itself.
+
+    Characters are listed once and joined by position: taking a substring per position would
+    count from the start of a UTF-8 text every time.
+    """
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    n = F.size(chars)
+    pair = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    triple = F.zip_with(pair, F.slice(chars, F.lit(3), F.greatest(n - 2, F.lit(0))), lambda ab, c: F.concat(ab, c))
+    whole = F.filter(triple, lambda t: t.isNotNull())
+    return F.array_distinct(F.when(n >= 3, whole).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

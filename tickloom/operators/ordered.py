@@ -15,12 +15,15 @@ through three building blocks:
 Each first asks whether any key is above the limit: a map-side-combined count over
 the key columns (column pruning drops everything else, windows upstream included).
 Usually there is none, and the plan is the ordinary one-shuffle window; otherwise the
-hot keys, and only those, take the split path.
+hot keys, and only those, take the split path. A pipeline of many ordered steps over the
+same groups asks once, on its inputs, with ``bounded_groups``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 
@@ -106,6 +109,31 @@ def hot_ranges(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> Da
     )
 
 
+_BOUNDED: ContextVar[bool] = ContextVar("bounded", default=False)
+
+
+@contextmanager
+def bounded_groups(tables: Iterable[tuple[DataFrame, Sequence[str]]], limit: int | None = None):
+    """Checks the input tables once and spares the steps inside their own checks.
+
+    Holds when no group of any table exceeds its share of the limit, so that even the union
+    of all tables fits one task per group. If one does, the steps check and split as usual.
+    """
+    tables = list(tables)
+    limit = limit or group_limit(tables[0][0].sparkSession)
+    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n") for df, keys in tables]
+    largest = reduce(DataFrame.unionByName, counts).agg(F.max("n")).first()[0] or 0
+    token = _BOUNDED.set(largest * len(tables) <= limit)
+    try:
+        yield
+    finally:
+        _BOUNDED.reset(token)
+
+
+def splits_needed(spans: DataFrame) -> bool:
+    return not _BOUNDED.get() and not spans.isEmpty()
+
+
 def with_span(df: DataFrame, spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Adds ``__hot`` and ``__span``, the order range of a hot key (0 for all others)."""
     joined = join_on(df, spans, keys, "left")
@@ -152,7 +180,7 @@ def running(
         return F.coalesce(value, F.lit(0)) if a.kind == "count" else value
 
     spans = hot_ranges(base, keys, order, limit)
-    if spans.isEmpty():
+    if not splits_needed(spans):
         return scan(base, keys, "").drop("__all")
 
     spanned = with_span(base, spans, keys, order)
@@ -195,7 +223,7 @@ def framed(
     limit = max(limit or group_limit(df.sparkSession), 1)
     base, keys = _keyed(df, keys, order)
     spans = hot_ranges(base, keys, order, limit)
-    if spans.isEmpty():
+    if not splits_needed(spans):
         whole = Window.partitionBy(*keys).orderBy(*_sort(order, tie, False))
         return base.withColumns(exprs(whole)).drop("__all")
     cold = join_on(base, spans, keys, "left_anti").withColumns({"__block": F.lit(0).cast("long"), "__own": F.lit(True)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alignment", "sequences", "states", "corpora", "evaluation", "neighbourhoods"]
+MODULES = ["recordings", "alignment", "sequences", "states", "corpora", "evaluation", "neighbourhoods", "models", "streams"]
 
 
 def load_queries():
