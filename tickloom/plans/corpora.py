@@ -434,3 +434,82 @@ def episode_export(t: Tables):
     doc = nest_frames(t.activity, ["user_id"], "us", ["event_id", "event_type"], tie=["event_id"], per_part=32)
     listed = F.array_join(F.transform("frames", lambda f: F.concat_ws(":", f["event_id"].cast("string"), f["event_type"])), ",")
     return doc.select("user_id", "part", F.size("frames").cast("long").alias("n"), F.md5(listed).alias("digest"))
+
+
+def scratch(t: Tables) -> str:
+    """A fresh folder for one run, under the shared checkpoint directory."""
+    import uuid
+
+    from tickloom.session import checkpoint_dir
+
+    return f"{checkpoint_dir(t.spark)}/files/{uuid.uuid4().hex}"
+
+
+@query(
+    "manifest_last_wins",
+    "S4 S5 S6 S12",
+    """SELECT o_custkey::BIGINT AS id, max(o_orderkey)::BIGINT AS seq, arg_max(o_orderpriority, o_orderkey) AS priority FROM orders WHERE o_orderkey % 11 <> 5 GROUP BY 1""",
+)
+def manifest_last_wins(t: Tables):
+    from tickloom.sources import readers
+
+    path = scratch(t)
+    row = F.to_json(F.struct(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("priority")))
+    broken = F.when(F.col("o_orderkey") % 11 == 5, F.concat(F.lit("{oops "), F.col("o_orderpriority"))).otherwise(row)
+    t.orders.select(broken.alias("value")).write.text(path)
+    entries, _ = readers.read_manifest(t.spark, path, "id bigint, seq bigint, priority string")
+    return entries
+
+
+@query(
+    "event_list_files",
+    "S3 S1",
+    f"""WITH {ACTIVITY} SELECT 'rec' || (user_id % 10) AS demo_stem, count(*) AS n, sum(us // 1000000 % 100000)::BIGINT AS ticks FROM activity WHERE event_type = 'error' GROUP BY 1""",
+)
+def event_list_files(t: Tables):
+    from tickloom.sources import readers
+
+    # arrays of records on disk, one file per task, named like event lists of a recording
+    path = scratch(t)
+    stem = F.format_string("rec%d", F.col("user_id") % 10)
+    rows = t.activity.filter("event_type = 'error'").select(stem.alias("demo_stem"), (F.floor(F.col("us") / 1_000_000) % 100000).cast("int").alias("tick"))
+    rows.write.partitionBy("demo_stem").json(path)
+    read = t.spark.read.schema(f"{readers.KILLS}, demo_stem string").json(path)
+    return read.groupBy("demo_stem").agg(F.count(F.lit(1)).alias("n"), F.sum("tick").alias("ticks"))
+
+
+@query(
+    "guarded_publish",
+    "F9 S10 S15 E4",
+    """SELECT l_returnflag AS split, l_linestatus AS map_name, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1, 2""",
+)
+def guarded_publish(t: Tables):
+    from tickloom.sources import sinks
+
+    home = scratch(t)
+    rows = t.lineitem.select(F.col("l_returnflag").alias("split"), F.col("l_linestatus").alias("map_name"), "l_orderkey", "l_quantity", F.lit("v1").alias("version"))
+
+    def verify(staged):
+        quality.require_single(staged, "version", "schema versions")
+        rules = {"quantity": F.col("l_quantity") <= 0, "flag": ~F.col("split").isin("A", "N", "R")}
+        quality.require_clean(quality.invariant_report(staged, rules, ["l_orderkey"], ["l_orderkey"]))
+
+    sinks.publish_clean(rows, f"{home}/staging", f"{home}/frames", verify)
+    out = t.spark.read.parquet(f"{home}/frames")
+    return out.groupBy("split", "map_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+@query(
+    "label_documents",
+    "S7",
+    """SELECT count(*) AS readable, sum(quality)::BIGINT AS quality FROM labels WHERE doc_id % 9 <> 2""",
+)
+def label_documents(t: Tables):
+    from tickloom.sources import readers
+
+    # one small document per line, split into documents by the reader's parser
+    path = scratch(t)
+    body = F.to_json(F.struct("doc_id", "quality"))
+    t.labels.select(F.when(F.col("doc_id") % 9 == 2, F.lit("{oops")).otherwise(body).alias("value")).write.text(path)
+    lines = readers.read_lines(t.spark, path, "doc_id bigint, quality int")
+    return lines.filter("doc_id IS NOT NULL").agg(F.count(F.lit(1)).alias("readable"), F.sum("quality").alias("quality"))

@@ -73,11 +73,12 @@ def last_per_id(rows: DataFrame, id_column: str, sequence: str) -> DataFrame:
 
 def read_label_files(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(labels, unreadable files) of one JSON document per file, with stem and parent folder."""
-    df = (
-        spark.read.schema(f"{schema}, _corrupt string")
-        .option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-        .option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    )
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder)
     path = F.col("_metadata.file_path")
-    full = df.select("*", F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("stem"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("parent"), path.alias("path"))
-    return full.filter("_corrupt IS NULL").drop("_corrupt"), full.filter("_corrupt IS NOT NULL").select("path", "_corrupt")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    full = files.select(
+        parsed.alias("r"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("stem"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("parent"), path.alias("path"), "value"
+    )
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    good = full.filter(~broken).select("r.*", "stem", "parent", "path").drop("_corrupt")
+    return good, full.filter(broken).select("path", F.col("value").alias("content"))
