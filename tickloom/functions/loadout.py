@@ -15,24 +15,33 @@ def category(item: Column) -> Column:
     return lookup(CATEGORY_OF, item, "other")
 
 
-def categories(inventory: Column) -> Column:
-    return F.transform(F.coalesce(inventory, F.array().cast("array<string>")), category)
+def holds(inventory: Column, cat: str) -> Column:
+    """Whether any item of a category is in the inventory."""
+    items = F.array(*[F.lit(i) for i in V.ITEM_CATEGORIES[cat]])
+    return F.coalesce(F.arrays_overlap(inventory, items), F.lit(False))
 
 
-def first_held(cats: Column, order: list[str], default: str = "other") -> Column:
-    """The first category of ``order`` that is present."""
-    held = F.filter(F.array(*[F.lit(x) for x in order]), lambda x: F.array_contains(cats, x))
-    return F.coalesce(F.try_element_at(held, F.lit(1)), F.lit(default))
+def first_of(checks: dict[str, Column], default: str = "other") -> Column:
+    """Name of the first check that holds, in the order given."""
+    return F.coalesce(*[F.when(c, F.lit(n)) for n, c in checks.items()], F.lit(default))
+
+
+def first_held(values: Column, order: list[str], default: str = "other") -> Column:
+    """The first entry of ``order`` that is present in an array."""
+    return first_of({x: F.array_contains(values, x) for x in order}, default)
 
 
 def loadout(inventory: Column) -> dict[str, Column]:
-    """Primary, secondary, bomb flag and utility bits of an inventory."""
-    cats = categories(inventory)
-    bits = {f"util_{u}": F.array_contains(cats, u).cast("double") for u in V.UTILITY_BITS}
+    """Primary, secondary, bomb flag and utility bits of an inventory.
+
+    Membership tests against each category's items: compiled, and an evaluation stops at the
+    first category of the priority that is held.
+    """
+    bits = {f"util_{u}": holds(inventory, u).cast("double") for u in V.UTILITY_BITS}
     return {
-        "primary": first_held(cats, V.PRIMARY_ORDER),
-        "secondary": first_held(cats, V.SECONDARY_ORDER),
-        "has_c4": F.array_contains(cats, "c4").cast("double"),
+        "primary": first_of({c: holds(inventory, c) for c in V.PRIMARY_ORDER}),
+        "secondary": first_of({c: holds(inventory, c) for c in V.SECONDARY_ORDER}),
+        "has_c4": holds(inventory, "c4").cast("double"),
     } | bits
 
 

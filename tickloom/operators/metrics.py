@@ -9,23 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.align import bracketing_events, nearest_event
-from tickloom.operators.ordered import framed, hash_order, join_on, per_key, quantiles, ranked, rsum, running
+from tickloom.operators.ordered import bounded_groups, framed, hash_order, join_on, per_key, quantiles, ranked, rsum, running
 
 SEXTILES = {f"q{i}": i / 6 for i in range(1, 6)}
 
 
 def displacement_edges(rows: DataFrame, size: str, floor: float, keys: Sequence[str] = ()) -> DataFrame:
     """Sextile edges of the moving rows, how many stand still, and the median of the top sextile."""
-    moving = rows.filter(F.col(size) >= floor)
-    edges = quantiles(moving, keys, size, SEXTILES)
-    if keys:
-        still = rows.groupBy(*keys).agg(F.avg((F.col(size) < floor).cast("double")).alias("still_share"))
+    if not keys:
+        one = "__g"
+        flagged = rows.withColumn(one, F.when(F.col(size).isNull(), 1).otherwise(0))
+        return displacement_edges(flagged, size, floor, [one]).drop(one)
+    with bounded_groups([(rows, keys)]):
+        moving = rows.filter(F.col(size) >= floor)
+        edges = quantiles(moving, keys, size, SEXTILES)
         top = join_on(moving, edges.select(*keys, "q5"), keys, "inner").filter(F.col(size) >= F.col("q5"))
         median = quantiles(top, keys, size, {"top_median": 0.5}).drop("n")
-        return join_on(join_on(edges, still, keys, "inner"), median, keys, "inner")
-    one = "__g"
-    flagged = rows.withColumn(one, F.when(F.col(size).isNull(), 1).otherwise(0))
-    return displacement_edges(flagged, size, floor, [one]).drop(one)
+    still = rows.groupBy(*keys).agg(F.avg((F.col(size) < floor).cast("double")).alias("still_share"))
+    return join_on(join_on(edges, still, keys, "inner"), median, keys, "inner")
 
 
 def least_squares_alpha(rows: DataFrame, true: Sequence[Column], predicted: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -81,7 +82,8 @@ def auc(rows: DataFrame, keys: Sequence[str], score: str, label: str, ties: str
     else:
         hit = F.col(label) > 0.5
         per = base.groupBy(*group, score).agg(F.count_if(hit).alias("__p"), F.count_if(~hit).alias("__n"))
-        below = running(per, group, score, {"__b": rsum(neg)}, exclusive=True)
+        with bounded_groups([(base, group)]):
+            below = running(per, group, score, {"__b": rsum(neg)}, exclusive=True)
         wins = pos * (F.coalesce("__b", F.lit(0)) + 0.5 * neg)
         g = below.groupBy(*group).agg(F.sum(wins).alias("__s"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
         value = F.col("__s") / (pos * neg)

@@ -3,9 +3,9 @@
 ``knn`` prunes with pivots (reference points taken from the index). Every index vector
 belongs to the cell of its nearest pivot. The distance of a query to its k-th nearest
 eligible pivot already bounds its k-th neighbour, because pivots are index members, so only
-cells that can hold something closer are visited. Cells are cut into blocks of bounded size,
-so a cell full of copies is many units of work; each unit returns at most k rows per query.
-Nothing is dropped: the result equals brute force.
+cells that can hold something closer are visited. Small cells share a bin, and a cell above
+the block size is cut into blocks, so a cell full of copies is many units of work; each unit
+returns at most k rows per query. Nothing is dropped: the result equals brute force.
 """
 
 from __future__ import annotations
@@ -29,6 +29,22 @@ def unit(vector: Column) -> Column:
     return F.transform(v, lambda x: x / F.greatest(size, F.lit(1e-12)))
 
 
+def pack_cells(sizes: dict[int, int], block_rows: int) -> tuple[dict[int, int], list[int]]:
+    """(bin of each cell, blocks of each bin): small cells together, a large one alone in several blocks."""
+    bins, blocks, open_rows = {}, [], None
+    for cell, n in sorted(sizes.items()):
+        if n > block_rows:
+            bins[cell] = len(blocks)
+            blocks.append(-(-n // block_rows))
+        else:
+            if open_rows is None or open_rows[1] + n > block_rows:
+                open_rows = [len(blocks), 0]
+                blocks.append(1)
+            bins[cell] = open_rows[0]
+            open_rows[1] += n
+    return bins, blocks
+
+
 def knn(
     queries: DataFrame,
     index: DataFrame,
@@ -73,7 +89,9 @@ def knn(
     celled = base.mapInPandas(assign, f"{fields}, cell int, r double")
     stats = {r["cell"]: r for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
     cells = sorted(stats)  # at most one per pivot
-    blocks = {c: -(-stats[c]["n"] // block_rows) for c in cells}
+    bins, blocks = pack_cells({c: stats[c]["n"] for c in cells}, block_rows)
+    bin_at = np.array([bins[c] for c in cells], dtype=int)
+    n_blocks = np.array(blocks, dtype=int)
     wanted = prepared(queries)
     q_parts = max(1, -(-wanted.count() // block_rows))
 
@@ -96,18 +114,23 @@ def knn(
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = (near**2 - d.min(1)[:, None] ** 2) / (2 * apart[mine][:, at])
             low = np.maximum(low, np.where(np.isfinite(plane), plane, 0))
-            rows, cols = np.nonzero(low <= bound[:, None] * (1 + 1e-9) + 1e-9)
-            per = np.array([blocks[cells[c]] for c in cols], dtype=int)
+            wanted_cells = low <= bound[:, None] * (1 + 1e-9) + 1e-9
+            hits = np.stack([wanted_cells[:, bin_at == b].any(1) for b in range(len(n_blocks))], axis=1)
+            rows, cols = np.nonzero(hits)
+            per = n_blocks[cols]
             rows, cols = np.repeat(rows, per), np.repeat(cols, per)
             block = np.concatenate([np.arange(p) for p in per]) if len(per) else np.array([], dtype=int)
             out = pdf.iloc[rows].reset_index(drop=True)
-            yield pd.DataFrame({"id": out["id"], "vec": out["vec"], "m": out["m"], "cell": at[cols].astype("int32"), "block": block.astype("int32")})
+            yield pd.DataFrame({"id": out["id"], "vec": out["vec"], "m": out["m"], "bin": cols.astype("int32"), "block": block.astype("int32")})
 
     part = F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int")
-    asked = wanted.mapInPandas(visits, "id long, vec array<double>, m string, cell int, block int").withColumn("part", part)
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (int(c), int(blocks[c]))]), F.col("cell"))
-    stored = celled.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))
+    asked = wanted.mapInPandas(visits, "id long, vec array<double>, m string, bin int, block int").withColumn("part", part)
+    bin_of = F.element_at(F.array(*[F.lit(int(bins.get(c, 0))) for c in range(len(sample))]), F.col("cell") + 1)
+    blocks_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("bin") + 1)
+    stored = (
+        celled.withColumn("bin", bin_of)
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks_of).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
     )
 
     def nearest(qs, xs):
@@ -135,7 +158,7 @@ def knn(
 
     types = dict(base.dtypes)
     schema = "qid long, id long, " + "".join(f"`{p}` {types[p]}, " for p in payload) + "distance double"
-    unit_key = ["cell", "block", "part"]
+    unit_key = ["bin", "block", "part"]
     local = asked.groupBy(*unit_key).cogroup(stored.groupBy(*unit_key)).applyInPandas(nearest, schema)
     from pyspark.sql import Window
 

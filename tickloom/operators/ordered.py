@@ -119,6 +119,9 @@ def bounded_groups(tables: Iterable[tuple[DataFrame, Sequence[str]]], limit: int
     Holds when no group of any table exceeds its share of the limit, so that even the union
     of all tables fits one task per group. If one does, the steps check and split as usual.
     """
+    if _BOUNDED.get():  # an enclosing check covers this one
+        yield
+        return
     tables = list(tables)
     limit = limit or group_limit(tables[0][0].sparkSession)
     counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n") for df, keys in tables]
@@ -281,7 +284,8 @@ def quantiles(
     present = df.filter(F.col(value).isNotNull())
     base, group = (present, list(keys)) if keys else (present.withColumn("__one", F.col(value).isNull()), ["__one"])
     counted = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__cnt"))
-    upto = running(counted, group, value, {"__cum": rsum(F.col("__cnt"))}, limit=limit)
+    with bounded_groups([(base, group)], limit):  # counting rows is cheaper than counting distinct values
+        upto = running(counted, group, value, {"__cum": rsum(F.col("__cnt"))}, limit=limit)
     total = counted.groupBy(*group).agg(F.sum("__cnt").alias("n"))
     located = join_on(upto, total, group, "inner")
 

@@ -39,6 +39,17 @@ def build_session(app: str = "tickloom", master: str | None = None, shuffle: int
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the queries rely on, also for a session somebody else built.
+
+    UTC makes timestamps read alike everywhere. Stages with very many expressions would
+    compile into methods the JVM refuses to optimise; above 8000 bytes of bytecode the
+    expressions are compiled in pieces instead.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_LIMIT_KEY, str(DEFAULT_GROUP_LIMIT)))
 
