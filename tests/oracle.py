@@ -36,7 +36,23 @@ def plain(value):
     return value
 
 
-def compare(columns, rows, want_columns, want_rows) -> str:
+def nearly_equal(got, want, tolerance: float) -> bool:
+    """Whether rows agree when floats may differ by a rounding step."""
+
+    def grouped(rows):
+        out = {}
+        for r in rows:
+            key = tuple(v for v in r if not isinstance(v, float))
+            out.setdefault(key, []).append(tuple(v for v in r if isinstance(v, float)))
+        return {k: sorted(v) for k, v in out.items()}
+
+    a, b = grouped(got), grouped(want)
+    return a.keys() == b.keys() and all(
+        len(a[k]) == len(b[k]) and all(len(x) == len(y) and all(math.isclose(p, q, abs_tol=tolerance) for p, q in zip(x, y)) for x, y in zip(a[k], b[k])) for k in a
+    )
+
+
+def compare(columns, rows, want_columns, want_rows, tolerance: float = 0.0) -> str:
     """'' when both results hold the same rows, else the first difference."""
     if sorted(columns) != sorted(want_columns):
         return f"columns {sorted(columns)} != {sorted(want_columns)}"
@@ -53,11 +69,13 @@ def compare(columns, rows, want_columns, want_rows) -> str:
     extra, missing = Counter(got) - Counter(want), Counter(want) - Counter(got)
     if not extra and not missing:
         return ""
+    if tolerance and nearly_equal(extra.elements(), missing.elements(), tolerance):
+        return ""
     first = sorted(extra, key=repr)[:2], sorted(missing, key=repr)[:2]
     return f"{sum(extra.values())} of {len(got)} rows differ: got {first[0]} want {first[1]} ({names})"
 
 
-def check(spark, con, folder: str, q) -> tuple[str, int, float]:
+def check(spark, con, folder: str, q, tolerance: float = 0.0) -> tuple[str, int, float]:
     start = time.time()
     df = q(spark, folder)
     rows = [tuple(r) for r in df.collect()]
@@ -66,7 +84,7 @@ def check(spark, con, folder: str, q) -> tuple[str, int, float]:
         return "", len(rows), took
     res = con.execute(q.sql)
     want_columns = [d[0] for d in res.description]
-    return compare(df.columns, rows, want_columns, res.fetchall()), len(rows), took
+    return compare(df.columns, rows, want_columns, res.fetchall(), tolerance), len(rows), took
 
 
 def main(argv: list[str]) -> int:

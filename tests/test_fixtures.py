@@ -167,9 +167,9 @@ def test_frames(spark, recording):
     assert (meta["n_ticks"], meta["first_tick"], meta["last_tick"], meta["map_name"]) == (2, 100, 108, "de_mirage")
 
 
-def test_reference_fill_and_widths(spark, recording):
+def test_null_fill_and_widths(spark, recording):
     (players, glob, grid), ticks, *_ = recording
-    filled = frames.player_frames(ticks, grid, fill="reference").filter("NOT is_present").first()
+    filled = frames.player_frames(ticks, grid, fill="nulls").filter("NOT is_present").first()
     assert (filled["cos_yaw"], filled["cos_pitch"], filled["x"]) == (1.0, 1.0, 0.0)
     assert frames.feature_table(players, glob).select(F.size("features")).distinct().collect()[0][0] == 597
 

@@ -29,7 +29,7 @@ def player_frames(ticks: DataFrame, grid: DataFrame, per_side: int = 5, fill: st
     """One row per frame and slot with scaled features and loadout.
 
     A slot without a row at the tick has ``is_present = false``. With ``fill="empty"`` its
-    features are zero; ``"reference"`` encodes the missing row like one full of nulls, which
+    features are zero; ``"nulls"`` encodes the missing row like one full of nulls, which
     makes both cosines 1.
     """
     slots = windows.assign_slots(ticks, EPISODE, "tick", "steamid", "side", SIDES, per_side)

@@ -85,7 +85,7 @@ def perception(players: DataFrame, frame: Sequence[str], slot: str, per_side: in
     return rows.filter("present").drop("present")
 
 
-def nearest_living(players: DataFrame, frame: Sequence[str], slot: str, value: str, n_slots: int, x: Column, y: Column) -> DataFrame:
+def nearest_living(players: DataFrame, frame: Sequence[str], slot: str, value: str, x: Column, y: Column) -> DataFrame:
     """``value`` of the living slot nearest to a point, ties to the lower slot; null when nobody lives."""
     d2 = (F.col("x") - x) ** 2 + (F.col("y") - y) ** 2
     key = F.struct(d2.alias("d"), F.col(slot).alias("s"), F.col(value).alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.align import last_event, nearest_event
-from tickloom.operators.ordered import framed, per_key
+from tickloom.operators.ordered import framed
 
 
 def status_at(frames: DataFrame, changes: DataFrame, keys: Sequence[str], order: str, state: str, mapping: dict[str, str], default: str, name: str = "status") -> DataFrame:
@@ -118,8 +118,3 @@ def contributions(damages: DataFrame, deaths: DataFrame, actors: DataFrame, pres
         duration.cast("double").alias("round_duration"),
         (F.coalesce("acted", F.lit(False)) | F.coalesce("last_alive", F.lit(False))).alias("objective_action"),
     )
-
-
-def key_stats(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Group aggregates next to each row (see ``ordered.per_key``)."""
-    return per_key(rows, keys, aggs)

@@ -129,7 +129,7 @@ def pairwise_entity_features(t: Tables):
 def nearest_living(t: Tables):
     players = pairs.slots_to_row(board(t), ["f"], "s", ["x", "y", "dir_x", "dir_y", "alive"], 7)
     long = players.select("f", F.posexplode("slots").alias("s", "p")).filter("p IS NOT NULL").select("f", "s", "p.*")
-    out = pairs.nearest_living(long, ["f"], "s", "x", 7, F.lit(2500.0), F.lit(2000.0))
+    out = pairs.nearest_living(long, ["f"], "s", "x", F.lit(2500.0), F.lit(2000.0))
     return out.select(F.col("f").alias("frame"), F.coalesce("slot", F.lit(-1)).cast("long").alias("slot"))
 
 
