@@ -7,9 +7,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 GROUP_LIMIT_KEY = "tickloom.groupLimit"
@@ -55,13 +52,9 @@ def group_limit(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one only when none is configured."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    return os.path.join(tempfile.gettempdir(), "tickloom-checkpoints")
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tickloom-scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
