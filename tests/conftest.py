@@ -10,8 +10,7 @@ from tickloom.session import GROUP_LIMIT_KEY, build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[8]", 8)
-    session.conf.set("spark.checkpoint.dir", tmp_path_factory.mktemp("shared").as_uri())
+    session = build_session("tests", "local[8]", 8, {"spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri()})
     yield session
     session.stop()
 

@@ -14,7 +14,7 @@ DEFAULT_GROUP_LIMIT = 1_000_000
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "tickloom", master: str | None = None, shuffle: int | None = None) -> SparkSession:
+def build_session(app: str = "tickloom", master: str | None = None, shuffle: int | None = None, extra: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the package is tuned for.
 
     ``master`` is only for local runs; on a cluster the submit command sets it.
@@ -31,7 +31,7 @@ def build_session(app: str = "tickloom", master: str | None = None, shuffle: int
     )
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
-    spark = builder.getOrCreate()
+    spark = builder.config(map=extra or {}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
