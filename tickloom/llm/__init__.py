@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["urls", "slots"]
+MODULES = ["urls", "tokenids", "packing", "slots"]
 
 
 def load_llm_queries():
