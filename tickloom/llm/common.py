@@ -17,6 +17,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda.
+
+    An expression inside a lambda is computed again for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def let_array(value: Column, body) -> Column:
+    """``let`` for an array column: its elements are unpacked once, so that slices cost their own length only."""
+    return let(F.transform(value, lambda x: x), body)
+
+
+def runs(n: Column, element: str, at) -> Column:
+    """``at(1), ..., at(n)`` as an array of the given element type; empty where ``n`` is not positive."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)).otherwise(F.array().cast(f"array<{element}>"))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder in the shared storage, deleted when the driver ends in good order."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

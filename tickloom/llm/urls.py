@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower
+from tickloom.llm.common import ascii_lower, let, runs
 
 RULE_TYPE = "array<struct<size:int,host_size:int,rule:string,path:string,verdict:string>>"
 
@@ -35,14 +35,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def _grams(text: Column, sizes: Sequence[int], mark: str) -> Column:
     """All character n-grams of ``text`` between start and end signs, each with a mark of its field."""
-    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    n = F.size(chars)
-    each = [
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, k), ""))))
-        .otherwise(F.array().cast("array<string>"))
-        for k in sizes
-    ]
-    return F.concat(*each)
+    def cut(chars: Column) -> Column:
+        n = F.size(chars)
+        return F.concat(*[runs(n - (k - 1), "string", lambda i, k=k: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, k), ""))) for k in sizes])
+
+    return let(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), cut)
 
 
 def url_grams(host: Column, path: Column, sizes: Sequence[int] = (3, 4, 5)) -> Column:
@@ -85,8 +82,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     equally long rules the one with the longer host wins, then the greater rule string.
     """
     table = _rule_table(rules)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = let(F.split(host, r"\."), lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     known = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(table, s), F.array().cast(RULE_TYPE))))
     return F.array_max(F.filter(known, lambda r: F.startswith(path, r["path"])))
 
