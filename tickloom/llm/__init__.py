@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["urls", "tokenids", "packing", "slots", "decontam"]
+MODULES = ["urls", "tokenids", "packing", "langid", "winnow", "slots", "decontam"]
 
 
 def load_llm_queries():

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower, let, let_array, runs, staged
+from tickloom.llm.common import ascii_lower, let_array, runs, staged
+from tickloom.llm.winnow import gram_hashes, selected
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # Fixed value: the pattern of a word after A-Z are lower-cased
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows that may be sent to every executor (about 200 MB)
@@ -23,23 +24,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    """64-bit hash of the k-gram that starts at each word."""
-    return let_array(words, lambda w: runs(F.size(w) - (k - 1), "bigint", lambda i: F.xxhash64(F.slice(w, i, k))))
-
-
-def selected(hashes: Column, span: int) -> Column:
-    """Winnowing: for each run of ``span`` hashes the place of its least, rightmost of equal ones.
-
-    Returns the distinct ``struct(at, hash)`` (``at`` counts from 0). Fewer hashes than ``span``
-    give none.
-    """
-    # the order of (hash, -place) makes the rightmost of equal hashes the least
-    marked = F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))
-    least = let(marked, lambda m: runs(F.size(m) - (span - 1), "struct<hash:bigint,back:int>", lambda i: F.array_min(F.slice(m, i, span))))
-    return F.array_distinct(least)
-
-
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
     """The distinct windows of all items with the k-gram each keeps, and which items hold which window.
 
