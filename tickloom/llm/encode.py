@@ -197,12 +197,12 @@ class WordEncoder:
         return np.concatenate(parts).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``CHUNK_BYTES`` of text each (one document at least)."""
+def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each (one document at least)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
-        limit = (sizes[start - 1] if start else 0) + CHUNK_BYTES
+        limit = (sizes[start - 1] if start else 0) + size
         stop = max(start + 1, int(np.searchsorted(sizes, limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop

@@ -35,7 +35,8 @@ def selected(hashes: Column, span: int) -> Column:
     # the order of (hash, -place) makes the rightmost of equal hashes the least
     marked = F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))
     least = let(marked, lambda m: runs(F.size(m) - (span - 1), "struct<hash:bigint,back:int>", lambda i: F.array_min(F.slice(m, i, span))))
-    return F.array_distinct(least)
+    # places never go back from one run to the next, so equal ones are neighbours
+    return let(least, lambda x: F.filter(x, lambda e, i: (i == 0) | (e["back"] != F.get(x, i - 1)["back"])))
 
 
 def fingerprint(text: Column, k: int = 3, span: int = 4) -> Column:
