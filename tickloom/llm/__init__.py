@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["urls", "tokenids", "jaccard", "packing", "langid", "winnow", "slots", "decontam", "chat"]
+MODULES = ["urls", "licences", "tokenids", "jaccard", "packing", "langid", "winnow", "slots", "decontam", "chat"]
 
 
 def load_llm_queries():

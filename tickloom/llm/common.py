@@ -50,3 +50,14 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+
+
+def without(docs: DataFrame, gone: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by ``doc_id`` and ``text_hash``; all columns stay.
+
+    The list is sent to the tasks while it has at most ``limit`` rows, and is joined by a shuffle beyond.
+    """
+    names = staged(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct(), "gone")
+    small = names.count() <= limit
+    match = F.xxhash64(docs["text"]).eqNullSafe(F.col("__gone_hash")) & docs["doc_id"].eqNullSafe(F.col("__gone_id"))
+    return docs.join(F.broadcast(names) if small else names, match, "left_anti")

@@ -80,7 +80,7 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """One row per document: ``row_id``, the id, ``n_words, n_hit, n_items, items, spans, contaminated``.
+    """One row per document: ``row_id``, the id, ``text_hash, n_words, n_hit, n_items, items, spans, contaminated``.
 
     A word is hit if it lies in an occurrence of one of the benchmark's windows. ``items`` are the
     ids (as strings, sorted) of the items whose windows occur, ``spans`` the occurrences
@@ -88,8 +88,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     repeated or null ids are judged each by itself; a null item id counts as an item but is not
     listed. Empty tables give an empty result or no hits. Other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hits, members = window_hits(rows.withColumn("row_id", F.struct("row_id", "doc_id")), benchmark, "text", item, item_text, window, k)
+    key = F.struct(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    hits, members = window_hits(docs.select(key.alias("row_id"), F.col(text).alias("text")), benchmark, "text", item, item_text, window, k)
     spans = F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "size")))
     found = hits.groupBy("row_id").agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.collect_set("window_id").alias("window_ids"))
     both = (
@@ -104,6 +104,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         .withColumn("n_items", (F.size("items") + F.col("unnamed")).cast("long"))
     )
     return both.select(
-        F.col("row_id.row_id").alias("row_id"), F.col("row_id.doc_id").alias("doc_id"), "n_words", covered(F.col("spans")).alias("n_hit"), "n_items", "items",
+        F.col("row_id.row_id").alias("row_id"), F.col("row_id.doc_id").alias("doc_id"), F.col("row_id.text_hash").alias("text_hash"), "n_words", covered(F.col("spans")).alias("n_hit"), "n_items", "items",
         F.array_sort("spans").alias("spans"), (F.size("spans") > 0).alias("contaminated"),
     )

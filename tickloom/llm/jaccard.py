@@ -114,11 +114,9 @@ def _slots(s: np.ndarray) -> np.ndarray:
 def _profile(k: int):
     """Per document its id, set size and class; per task its part of the frequency sketch."""
 
-    def rows(ids, sizes, names, pieces, counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(pieces, pa.int32()), pa.array(counts, pa.binary())],
-            names=["doc_id", "n", "cls", "piece", "counts"],
-        )
+    def rows(*columns):
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "text_hash", "n", "cls", "piece", "counts"])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -128,10 +126,10 @@ def _profile(k: int):
                 names = [_class(s) if len(s) else None for s in sets]
                 sketch += np.bincount(_slots(np.concatenate(sets)), minlength=len(sketch))
                 none = [None] * len(sets)
-                yield rows(some.column("doc_id"), [len(s) for s in sets], names, none, none)
+                yield rows(some.column("doc_id"), some.column("text_hash"), [len(s) for s in sets], names, none, none)
         low = np.minimum(sketch, 65535).astype("<u2").reshape(-1, PIECE)
         for piece in np.flatnonzero(low.any(axis=1)):
-            yield rows([None], [None], [None], [piece], [zlib.compress(low[piece].tobytes(), 1)])
+            yield rows([None], [None], [None], [None], [piece], [zlib.compress(low[piece].tobytes(), 1)])
 
     return profile
 
@@ -261,18 +259,20 @@ def frequency_levels(profile: DataFrame) -> np.ndarray:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+    """One row per document: ``doc_id, n_shingles, component_id, text_hash, component``.
 
     Two documents are linked where ``den * |A & B| >= num * |A | B|`` for their sets of distinct
     ``k``-word shingles; ``component_id`` is the least id reachable by links, the document's own
     included. Words are runs of anything but ASCII white space, compared with A-Z lower-cased.
     A document with fewer than ``k`` words has one shingle, all its words; without words or text it
     has none and no link. Rows repeated under one id stay rows of their own; a null id never is
-    the least of a component with other ids. Other columns are not read; an empty table gives none.
+    the least of a component with other ids. ``text_hash`` tells rows of one id apart, ``component`` is a
+    name of the component that is null for empty sets. Other columns are not read; an empty table gives none.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = staged(docs.mapInArrow(_profile(k), "doc_id long, n long, cls long, piece int, counts binary"), "profile")
-    each = profile.filter(F.col("piece").isNull()).select("doc_id", "n", "cls")
+    tagged = docs.withColumn("text_hash", F.xxhash64("text"))
+    profile = staged(tagged.mapInArrow(_profile(k), "doc_id long, text_hash long, n long, cls long, piece int, counts binary"), "profile")
+    each = profile.filter(F.col("piece").isNull()).select("doc_id", "text_hash", "n", "cls")
     reps = staged(each.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
 
     levels = frequency_levels(profile)
@@ -307,5 +307,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     comps = connected(first.union(second))
     named = reps.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "comp").select("cls", "component_id")
-    return each.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = named.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component"))
+    return each.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
+
+
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Which rows go so that one document of each component stays, and which of the staying ones are repeated.
+
+    The row with the least id (null last), of equal ids the least text hash, stays. Both results
+    have ``doc_id, text_hash``.
+    """
+    found = staged(components(docs, doc_id, text, k, num, den), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    stays = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("stays"))
+    judged = found.join(stays, "component")
+    gone = judged.filter(~order.eqNullSafe(F.col("stays"))).select("doc_id", "text_hash").distinct()
+    again = judged.filter(order.eqNullSafe(F.col("stays"))).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return gone, again

@@ -175,13 +175,15 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     """
     made = ("lang_pred", "score", "ambiguous")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    rows = docs.select(*kept, F.col(text).alias("__text"))
+    carried = text in kept  # the text travels once
+    rows = docs.select(*kept) if carried else docs.select(*kept, F.col(text).alias("__text"))
+    name = text if carried else "__text"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*model.languages, UNKNOWN])
         for batch in batches:
-            for some in chunks(batch, "__text"):
-                texts = some.column("__text")
+            for some in chunks(batch, name):
+                texts = some.column(name)
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if model.languages:
                     best, score, lead = model.decode(texts)
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                     lettered[:] = False
                 best = np.where(lettered, best, len(model.languages))
                 made = [names.take(pa.array(best)), pa.array(np.where(lettered, score, 0.0)), pa.array(lettered & (lead < ambiguous_below))]
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *made], names=[*kept, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], *made], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     return rows.mapInArrow(judge, schema)

@@ -8,4 +8,4 @@ from tickloom.llm.registry import Tables, query
 
 @query("op4_jaccard_components", "op4")
 def op4_jaccard_components(t: Tables):
-    return jaccard.components(t.documents, k=4, num=85, den=100)
+    return jaccard.components(t.documents, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
