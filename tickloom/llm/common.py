@@ -14,7 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
-    return F.translate(c, UPPER, LOWER)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))  # ``lower`` is many times faster
 
 
 def let(value: Column, body) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import ascii_lower, let_array, runs, staged
-from tickloom.llm.winnow import gram_hashes, selected
+from tickloom.llm.winnow import coded, gram_hashes, hash_of, place_of, selected
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # Fixed value: the pattern of a word after A-Z are lower-cased
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows that may be sent to every executor (about 200 MB)
@@ -34,11 +34,13 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, k
     spans = words.select("item_id", F.explode(let_array(F.col("words"), lambda w: runs(F.size(w) - size + 1, "array<string>", lambda i: F.slice(w, i, size)))).alias("span"))
     spans = spans.withColumn("window_id", F.md5(F.array_join("span", " ")))
     full = F.size("span") == window
-    kept = F.array_min(F.transform(gram_hashes(F.col("span"), k), lambda h, i: F.struct(h.alias("hash"), (-i).alias("back"))))
+    kept = F.array_min(coded(gram_hashes(F.col("span"), k)))
+    shorter = F.lit(None).cast("bigint")
+    for m in range(1, window):  # the hash of all words, made as for documents
+        shorter = F.when(F.size("span") == m, F.shiftright(F.get(gram_hashes(F.col("span"), m), F.lit(0)), 24)).otherwise(shorter)
     distinct = spans.groupBy("window_id").agg(F.first("span").alias("span"))
     windows = distinct.select(
-        "window_id", "span", F.size("span").alias("size"),
-        F.when(full, kept["hash"]).otherwise(F.xxhash64("span")).alias("hash"), F.when(full, -kept["back"]).otherwise(F.lit(0)).alias("place"),
+        "window_id", "span", F.size("span").alias("size"), F.when(full, hash_of(kept)).otherwise(shorter).alias("hash"), F.when(full, place_of(kept)).otherwise(F.lit(0)).alias("place")
     )
     return windows, spans.select("window_id", "item_id").distinct()
 
@@ -54,8 +56,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     windows, members = staged(windows, "windows"), staged(members, "window-items")
     short = sorted(r["size"] for r in windows.filter(F.col("size") < window).select("size").distinct().collect())  # below `window` numbers
     words = docs.select("row_id", words_of(F.col(text)).alias("words"))
-    grams = [F.transform(selected(gram_hashes(F.col("words"), k), window - k + 1), lambda x: F.struct((-x["back"]).alias("at"), F.lit(window).alias("kind"), x["hash"].alias("hash")))]
-    grams += [F.transform(gram_hashes(F.col("words"), m), lambda h, i, m=m: F.struct(i.alias("at"), F.lit(m).alias("kind"), h.alias("hash"))) for m in short]
+    grams = [F.transform(selected(gram_hashes(F.col("words"), k), window - k + 1), lambda c: F.struct(place_of(c).alias("at"), F.lit(window).alias("kind"), hash_of(c).alias("hash")))]
+    grams += [F.transform(gram_hashes(F.col("words"), m), lambda h, i, m=m: F.struct(i.alias("at"), F.lit(m).alias("kind"), F.shiftright(h, 24).alias("hash"))) for m in short]
     nothing = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("hash")))
     grams = F.concat(nothing, *grams)  # every document keeps one row
     rows = words.select("row_id", "words", F.explode(grams).alias("gram"))

@@ -15,49 +15,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import let, let_array, runs
+from tickloom.llm.common import let, runs
 
 UNIT = r"[\p{L}\p{N}]{1,8}|[^\s\p{L}\p{N}]"
-FINGERPRINT = "array<struct<at:int,hash:bigint>>"
+PLACES = (1 << 24) - 1  # lower bits of a code: the place counted down; the upper 40 bits are the hash
 
 
 def gram_hashes(words: Column, k: int) -> Column:
     """64-bit hash of the k-gram that starts at each word."""
-    return let_array(words, lambda w: runs(F.size(w) - (k - 1), "bigint", lambda i: F.xxhash64(F.slice(w, i, k))))
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    return let(each, lambda h: runs(F.size(h) - (k - 1), "bigint", lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(k)])))
+
+
+def coded(hashes: Column) -> Column:
+    """Hash and place in one number, so that the rightmost of equal hashes is the least."""
+    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
+
+
+def place_of(code: Column) -> Column:
+    """The place (from 0) of a code; texts of 16 million words and more don't fit in a row."""
+    return (F.lit(PLACES) - code.bitwiseAND(F.lit(PLACES))).cast("int")
+
+
+def hash_of(code: Column) -> Column:
+    return F.shiftright(code, 24)
 
 
 def selected(hashes: Column, span: int) -> Column:
-    """Winnowing: for each run of ``span`` hashes the place of its least, rightmost of equal ones.
+    """Winnowing: for each run of ``span`` hashes the code of its least, rightmost of equal ones.
 
-    Returns the distinct ``struct(hash, back)`` in order of place; ``-back`` is the place, from 0.
-    Fewer hashes than ``span`` give none.
+    Distinct codes in order of place. Fewer hashes than ``span`` give none.
     """
-    # the order of (hash, -place) makes the rightmost of equal hashes the least
-    marked = F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))
-    least = let(marked, lambda m: runs(F.size(m) - (span - 1), "struct<hash:bigint,back:int>", lambda i: F.array_min(F.slice(m, i, span))))
+    least = let(coded(hashes), lambda c: runs(F.size(c) - (span - 1), "bigint", lambda i: F.least(*[F.get(c, i + (j - 1)) for j in range(span)])))
     # places never go back from one run to the next, so equal ones are neighbours
-    return let(least, lambda x: F.filter(x, lambda e, i: (i == 0) | (e["back"] != F.get(x, i - 1)["back"])))
+    return let(least, lambda x: F.filter(x, lambda e, i: (i == 0) | (e != F.get(x, i - 1))))
 
 
 def fingerprint(text: Column, k: int = 3, span: int = 4) -> Column:
-    """The kept ``struct(at, hash)`` of a text in order of place.
+    """The kept hashes of a text with their places, ``struct(at, hash)`` in order of place.
 
     A text with fewer than ``k`` units has the one hash of all of them, one with fewer than
     ``k + span - 1`` keeps the least of its hashes; without units, or null, the fingerprint is empty.
     """
+    none = F.array().cast("array<bigint>")
 
     def of(units: Column) -> Column:
         n = F.size(units)
-        grams = F.when(n >= k, gram_hashes(units, k)).when(n > 0, F.array(F.xxhash64(units))).otherwise(F.array().cast("array<bigint>"))
-        return let(grams, lambda h: F.when(F.size(h) >= span, selected(h, span)).when(F.size(h) > 0, selected_all(h)).otherwise(F.array().cast("array<struct<hash:bigint,back:int>>")))
+        grams = F.when(n >= k, gram_hashes(units, k)).when(n > 0, F.array(F.xxhash64(units))).otherwise(none)
+        return let(grams, lambda h: F.when(F.size(h) >= span, selected(h, span)).when(F.size(h) > 0, F.array(F.array_min(coded(h)))).otherwise(none))
 
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
-    return F.transform(let(units, of), lambda x: F.struct((-x["back"]).alias("at"), x["hash"].alias("hash")))
-
-
-def selected_all(hashes: Column) -> Column:
-    """The least of all hashes, rightmost of equal ones, as ``selected`` returns it."""
-    return F.array(F.array_min(F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))))
+    return F.transform(let(units, of), lambda c: F.struct(place_of(c).alias("at"), hash_of(c).alias("hash")))
 
 
 def likeness(a: Column, b: Column) -> Column:
