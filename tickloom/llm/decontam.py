@@ -45,6 +45,10 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, k
     return windows, spans.select("window_id", "item_id").distinct()
 
 
+def _every_gram(words: Column, m: int) -> Column:
+    return F.transform(gram_hashes(words, m), lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("kind"), F.shiftright(h, 24).alias("hash")))
+
+
 def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Where windows of the benchmark occur in documents.
 
@@ -57,7 +61,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     short = sorted(r["size"] for r in windows.filter(F.col("size") < window).select("size").distinct().collect())  # below `window` numbers
     words = docs.select("row_id", words_of(F.col(text)).alias("words"))
     grams = [F.transform(selected(gram_hashes(F.col("words"), k), window - k + 1), lambda c: F.struct(place_of(c).alias("at"), F.lit(window).alias("kind"), hash_of(c).alias("hash")))]
-    grams += [F.transform(gram_hashes(F.col("words"), m), lambda h, i, m=m: F.struct(i.alias("at"), F.lit(m).alias("kind"), F.shiftright(h, 24).alias("hash"))) for m in short]
+    grams += [_every_gram(F.col("words"), m) for m in short]
     nothing = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("hash")))
     grams = F.concat(nothing, *grams)  # every document keeps one row
     rows = words.select("row_id", "words", F.explode(grams).alias("gram"))
