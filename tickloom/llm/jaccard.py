@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import staged
@@ -279,10 +279,15 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     prefix = docs.select("text").mapInArrow(_prefixes(k, num, den, levels), "token long, cls long, n int, pos int")
     prefix = prefix.repartition("token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     buckets = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "cls", "n")).alias("head")).filter("m > 1")
-    met = staged(prefix.join(buckets, "token").select("token", "cls", "n", "pos", F.col("head.cls").alias("c"), F.col("head.n").alias("nc")), "meetings")
+    met = prefix.join(buckets, "token").select("token", "cls", "n", "pos", F.col("head.cls").alias("c"), F.col("head.n").alias("nc"))
+
+    # what a class can share at all: shingles of its prefix that nobody else has in theirs count for no partner
+    mine = Window.partitionBy("cls")
+    lone = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.count(F.lit(1)).over(mine)
+    met = staged(met.withColumns({"most": F.col("n") - lone, "before": F.row_number().over(mine.orderBy("pos")) - 1}), "meetings")
 
     # first the most central class each class meets
-    star = met.filter((F.col("cls") != F.col("c")) & _similar(F.col("n"), F.col("nc"), num, den))
+    star = met.filter((F.col("cls") != F.col("c")) & _similar(F.col("n"), F.col("nc"), num, den) & (F.col("most") >= _at_least(F.col("n"), F.col("nc"), num, den)))
     star = star.groupBy("cls", "c").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("nc").alias("nc"))
     best = star.groupBy("cls").agg(F.max(F.struct("shared", (-F.col("c")).alias("order"), "c", "n", "nc")).alias("x"))
     central = best.filter(_enough_in_prefix(4 * F.col("x.shared"), F.col("x.n"), F.col("x.nc"), num, den)).select(F.col("cls").alias("a"), F.col("x.c").alias("b"), F.col("x.n").alias("na"), F.col("x.nc").alias("nb"))
@@ -290,15 +295,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     joined = connected(first)
 
     # then every pair that meets and isn't joined yet
-    labelled = met.join(joined, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
+    labelled = met.join(joined, "cls", "left").select("token", "cls", "n", "pos", "most", "before", F.coalesce("comp", "cls").alias("comp"))
     labelled = staged(labelled, "meetings")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     open_ = labelled.join(mixed, "token")
     x, y = open_.alias("x"), open_.alias("y")
-    reach = F.least(F.col("x.pos"), F.col("y.pos")) + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    need = _at_least(F.col("x.n"), F.col("y.n"), num, den)
+    # shared shingles before this one, this one, and what can follow it
+    reach = F.least("x.before", "y.before") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     meets = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-        & _similar(F.col("x.n"), F.col("y.n"), num, den) & (reach >= _at_least(F.col("x.n"), F.col("y.n"), num, den))
+        & _similar(F.col("x.n"), F.col("y.n"), num, den) & (reach >= need) & (F.least("x.most", "y.most") >= need)
     )
     rest = x.join(y, meets).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
     rest = rest.filter(_enough_in_prefix(F.col("shared"), F.col("na"), F.col("nb"), num, den)).drop("shared")
