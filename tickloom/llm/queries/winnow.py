@@ -10,9 +10,8 @@ from tickloom.llm.registry import Tables, query
 
 
 def digest(fp: str) -> Column:
-    """One string for a whole fingerprint: SHA-256 of its hashes and places (empty for the empty one)."""
-    listed = F.array_join(F.transform(fp, lambda x: F.concat_ws(":", x["at"], x["hash"])), " ")
-    return F.when(F.size(fp) == 0, "").otherwise(F.sha2(listed, 256))
+    """One string for a whole fingerprint, hashes and places (empty for the empty one)."""
+    return F.when(F.size(fp) == 0, "").otherwise(F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), F.col(fp))), 16, "0") for i in range(2)])))
 
 
 @query("op7_winnowing_fingerprints", "op7")

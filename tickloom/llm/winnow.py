@@ -51,8 +51,8 @@ def selected(hashes: Column, span: int) -> Column:
     return let(least, lambda x: F.filter(x, lambda e, i: (i == 0) | (e != F.get(x, i - 1))))
 
 
-def fingerprint(text: Column, k: int = 3, span: int = 4) -> Column:
-    """The kept hashes of a text with their places, ``struct(at, hash)`` in order of place.
+def fingerprint_codes(text: Column, k: int = 3, span: int = 4) -> Column:
+    """The codes of the kept hashes of a text in order of place.
 
     A text with fewer than ``k`` units has the one hash of all of them, one with fewer than
     ``k + span - 1`` keeps the least of its hashes; without units, or null, the fingerprint is empty.
@@ -65,15 +65,23 @@ def fingerprint(text: Column, k: int = 3, span: int = 4) -> Column:
         return let(grams, lambda h: F.when(F.size(h) >= span, selected(h, span)).when(F.size(h) > 0, F.array(F.array_min(coded(h)))).otherwise(none))
 
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
-    return F.transform(let(units, of), lambda c: F.struct(place_of(c).alias("at"), hash_of(c).alias("hash")))
+    return let(units, of)
+
+
+def fingerprint(text: Column, k: int = 3, span: int = 4) -> Column:
+    """The kept hashes of a text with their places, ``struct(at, hash)`` in order of place."""
+    return F.transform(fingerprint_codes(text, k, span), lambda c: F.struct(place_of(c).alias("at"), hash_of(c).alias("hash")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the kept hashes of two fingerprints; two empty ones are alike (1)."""
-    x, y = (F.array_distinct(F.transform(f, lambda e: e["hash"])) for f in (a, b))
-    both = F.size(F.array_intersect(x, y))
-    either = F.size(F.array_union(x, y))
-    return F.when(either == 0, 1.0).otherwise(both / either)
+    """Jaccard similarity of the kept hashes of two fingerprints (as codes); two empty ones are alike (1)."""
+    pair = F.struct(*[F.transform(f, hash_of).alias(n) for f, n in ((a, "a"), (b, "b"))])
+
+    def of(p: Column) -> Column:
+        either = F.size(F.array_union(p["a"], p["b"]))
+        return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(p["a"], p["b"])) / either)
+
+    return let(pair, of)
 
 
 def _long(value: int | None) -> str:
@@ -81,7 +89,7 @@ def _long(value: int | None) -> str:
 
 
 def with_next(docs: DataFrame, doc_id: str, text: str, rows_per_bucket: int = 4000) -> DataFrame:
-    """Each document's ``doc_id, text, fp`` with ``next_text, next_fp`` of the next one.
+    """Each document's ``doc_id, text, fp`` (codes) with ``next_text, next_fp`` of the next one.
 
     The order is ascending ``doc_id`` (null first), of equal ids by a hash of the text, then the
     text; after the last document comes the first. Documents are dealt once, by quantiles of the
@@ -94,19 +102,20 @@ def with_next(docs: DataFrame, doc_id: str, text: str, rows_per_bucket: int = 40
     wanted = max(1, docs.count() // rows_per_bucket)
     bounds = rows.approxQuantile("place", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
     bucketizer = Bucketizer(splits=[float("-inf"), *sorted(set(bounds)), float("inf")], inputCol="place", outputCol="bucket") if bounds else None
-    rows = bucketizer.transform(rows) if bucketizer else rows.withColumn("bucket", F.lit(0.0))
+    rows = bucketizer.transform(rows).drop("place") if bucketizer else rows.drop("place").withColumn("bucket", F.lit(0))
+    rows = rows.withColumn("bucket", F.col("bucket").cast("int"))  # as a double it would be dealt out once more for the window
     rows = rows.withColumn("ghost", F.lit(False))
     order = ["doc_id", "tie", "text"]
     least = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")).alias("first"))
     firsts = sorted(((r["bucket"], r["first"]["doc_id"], r["first"]["tie"]) for r in least.collect()), key=lambda x: x[0])  # one row per bucket
     if not firsts:
-        return rows.select("doc_id", "text", fingerprint(F.col("text")).alias("fp"), F.col("text").alias("next_text"), fingerprint(F.col("text")).alias("next_fp"))
-    values = ", ".join(f"({b}D, {_long(i)}, {_long(t)}, {firsts[k - 1][0]}D)" for k, (b, i, t) in enumerate(firsts))
+        return rows.select("doc_id", "text", fingerprint_codes(F.col("text")).alias("fp"), F.col("text").alias("next_text"), fingerprint_codes(F.col("text")).alias("next_fp"))
+    values = ", ".join(f"({b}, {_long(i)}, {_long(t)}, {firsts[k - 1][0]})" for k, (b, i, t) in enumerate(firsts))
     heads = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS heads(b, i, t, before)")
     copies = rows.join(heads, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
     copies = copies.groupBy("b").agg(F.min(F.struct("text", "doc_id", "tie", "before")).alias("x")).select("x.doc_id", "x.text", "x.tie", F.col("x.before").alias("bucket"), F.lit(True).alias("ghost"))
     both = rows.select(*copies.columns).unionByName(copies)
-    both = both.repartition("bucket").withColumn("fp", fingerprint(F.col("text")))
+    both = both.repartition("bucket").withColumn("fp", fingerprint_codes(F.col("text")))
     over = W.partitionBy("bucket").orderBy("ghost", *order)
     led = both.withColumn("next_text", F.lead("text").over(over)).withColumn("next_fp", F.lead("fp").over(over))
     return led.filter(~F.col("ghost")).select("doc_id", "text", "fp", "next_text", "next_fp")
@@ -122,11 +131,12 @@ def half_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """How far fingerprints tell a half rewritten text from an unrelated one.
 
     For every document the last ``floor(n / 2)`` of its n characters are replaced by as many first
-    characters of the next document. Columns: ``doc_id, n_chars, edited, fp, edited_fp, near_edited, near_next``.
+    characters of the next document. Columns: ``doc_id, n_chars, edited, fp, edited_fp, near_edited, near_next``;
+    the fingerprints are codes (see ``place_of`` and ``hash_of``).
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_next(docs, doc_id, text).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
-    rows = rows.withColumn("edited_fp", fingerprint(F.col("edited")))
+    rows = rows.withColumn("edited_fp", fingerprint_codes(F.col("edited")))
     return rows.select("doc_id", "n_chars", "edited", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
