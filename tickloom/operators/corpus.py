@@ -56,10 +56,10 @@ def first_source(rows: DataFrame, key: Sequence[str], rank: Sequence[Column]) ->
 
 
 def name_collisions(rows: DataFrame, name: str, source: str) -> DataFrame:
-    """Names that more than one source uses, with how many and the first two."""
+    """Each (name, source) of the names that more than one source uses, with how many do."""
     pairs = rows.select(name, source).distinct()
-    g = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("n_sources"), F.min(source).alias("first_source"), F.max(source).alias("last_source"))
-    return g.filter("n_sources > 1")
+    shared = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("n_sources")).filter("n_sources > 1")
+    return join_on(pairs, shared, [name], "inner")
 
 
 def backfill(primary: DataFrame, secondary: DataFrame, key: Sequence[str], group: str, source: Column, source_name: str = "source") -> DataFrame:

@@ -287,13 +287,14 @@ def uniform(*key: Column, seed: int = 0) -> Column:
     return hash_order(*key, seed=seed) / float(1 << 52)
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson(1) count for a uniform number."""
-    weight, total, term = F.lit(0), 0.0, math.exp(-1)
-    for n in range(1, most + 1):
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) count for a uniform number of 52 bits, to the precision of that number."""
+    weight, total, term, n = F.lit(0), 0.0, math.exp(-1), 1
+    while total + term < 1 - 2**-53 and term > 2**-54:
         total += term
         weight = weight + (u >= total).cast("int")
         term /= n
+        n += 1
     return weight
 
 

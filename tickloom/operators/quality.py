@@ -34,21 +34,22 @@ def coverage(rows: DataFrame, buckets: dict[str, Sequence[str]], grid: tuple[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def invariant_report(rows: DataFrame, rules: dict[str, Column], episode: Sequence[str], example: Sequence[str], examples: int = 20) -> DataFrame:
-    """Per broken rule: bad rows, bad episodes and the first ``examples``-limited example.
+def invariant_report(rows: DataFrame, rules: dict[str, Column], episode: Sequence[str], example: Sequence[str]) -> DataFrame:
+    """Per broken rule: bad rows, bad episodes and the first example.
 
     ``rules`` are columns that are true on a violation. Rules are counted per episode first,
     so an episode of any size contributes one row per rule to the report.
     """
     where = F.struct(*[F.col(c) for c in example])
-    flags = rows.select(*episode, where.alias("__at"), F.explode(F.map_from_arrays(F.array(*[F.lit(r) for r in rules]), F.array(*[F.coalesce(c, F.lit(False)) for c in rules.values()]))).alias("rule", "bad"))
-    per = flags.filter("bad").groupBy("rule", *episode).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
+    flags = rows.select(*episode, where.alias("__at"), F.explode(broken).alias("rule"))
+    per = flags.groupBy("rule", *episode).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
     report = per.groupBy("rule").agg(F.sum("n").alias("bad_rows"), F.count(F.lit(1)).alias("bad_episodes"), F.min("first").alias("first"))
-    return report.orderBy("rule").limit(examples)
+    return report.orderBy("rule")
 
 
 def violations(report: DataFrame) -> list[str]:
-    """Messages of a report (bounded by its own limit), for a writer that must refuse bad data."""
+    """Messages of a report (one per broken rule), for a writer that must refuse bad data."""
     return [f"{r['rule']}: {r['bad_rows']} rows in {r['bad_episodes']} episodes (first at {tuple(r['first'])})" for r in report.collect()]
 
 
@@ -60,9 +61,11 @@ def require_clean(report: DataFrame) -> None:
 
 def require_single(rows: DataFrame, column: str, what: str) -> None:
     """Refuses a table that mixes several values of ``column`` (schema versions)."""
-    seen = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(column).limit(9).collect()
+    counted = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    seen = counted.orderBy(column).limit(9).collect()
     if len(seen) > 1:
-        raise ValueError(f"mixed {what}: {[(r[0], r['n']) for r in seen]}")
+        more = counted.count() - len(seen)
+        raise ValueError(f"mixed {what}: {[(r[0], r['n']) for r in seen]}" + (f" and {more} more" if more else ""))
 
 
 def require_scope(episodes: DataFrame, column: str, allowed: Sequence[str], expected: int, held_out: Sequence[str] = ()) -> None:

@@ -36,7 +36,7 @@ def dedupe_first_source(t: Tables):
 @query(
     "name_collisions",
     "U1",
-    """SELECT p_name AS name, count(DISTINCT p_brand) AS n_sources, min(p_brand) AS first_source, max(p_brand) AS last_source FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""",
+    """SELECT DISTINCT p_name AS name, p_brand, n_sources FROM part JOIN (SELECT p_name AS name, count(DISTINCT p_brand) AS n_sources FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1) ON p_name = name""",
 )
 def name_collisions(t: Tables):
     return corpus.name_collisions(t.part.withColumnRenamed("p_name", "name"), "name", "p_brand")

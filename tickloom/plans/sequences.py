@@ -158,16 +158,16 @@ def causal_mean_range(t: Tables):
 
 
 GAP = f"""g AS (SELECT *, coalesce(us - lag(us) {W} > {12 * HOUR}, false) AS b FROM activity),
-    s AS (SELECT *, least(count(*) FILTER (b) {W}, 31)::BIGINT AS segment FROM g),
+    s AS (SELECT *, (count(*) FILTER (b) {W})::BIGINT AS segment FROM g),
     t AS (SELECT user_id, segment, count(*) AS n, avg(value) AS m, var_pop(value) AS v, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases FROM s GROUP BY 1, 2)"""
 
 
-def sessions(t: Tables):
+def sessions(t: Tables, cap: int | None = None):
     def gap(w):
         return {"__gap": F.coalesce(F.col("us") - F.lag("us").over(w) > 12 * HOUR, F.lit(False))}
 
     rows = ordered.framed(t.activity, USER, "us", gap, before=1, after=0, tie=ID)
-    return windows.segments(rows, USER, "us", F.col("__gap"), cap=32, tie=ID)
+    return windows.segments(rows, USER, "us", F.col("__gap"), cap=cap, tie=ID)
 
 
 def session_stats(t: Tables):
@@ -186,6 +186,16 @@ def segment_ids_stats(t: Tables):
     )
 
 
+@query(
+    "segment_ids_clamped",
+    "W17",
+    f"""WITH {ACTIVITY}, {GAP}, c AS (SELECT *, least(segment, 31)::BIGINT AS clamped FROM s) SELECT user_id, clamped AS segment, count(*) AS n, min(us) AS first_us FROM c GROUP BY 1, 2""",
+)
+def segment_ids_clamped(t: Tables):
+    out = sessions(t, cap=32).groupBy("user_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"))
+    return out.select("user_id", F.col("segment").cast("long").alias("segment"), "n", "first_us")
+
+
 @query(
     "segment_next_target",
     "W17",

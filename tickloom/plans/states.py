@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tickloom.functions import encode, loadout, scoring, text
 from tickloom.functions import vocab as V
 from tickloom.plans.registry import Tables, query
-from tickloom.sources.readers import spread
 
 PRIMARY_POOL = ["AK-47", "AWP", "MP9", "Nova", "Galil AR", "SSG 08"]
 SECONDARY_POOL = ["Glock-18", "USP-S", "Desert Eagle"]
@@ -45,7 +44,7 @@ def at(items, index):
 
 def states(t: Tables) -> DataFrame:
     c = F.col
-    lines = spread(t.lineitem)
+    lines = t.lineitem
     has = [F.when(F.shiftright("l_suppkey", i) % 2 == 1, u) for i, u in enumerate(UTILITY_POOL)]
     return lines.select(
         c("l_orderkey").alias("k"),

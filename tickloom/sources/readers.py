@@ -22,15 +22,6 @@ HEADER = "map_name string"
 EVENT_SCHEMAS = {"kills": KILLS, "bomb": BOMB, "damages": DAMAGES, "rounds": ROUNDS, "header": HEADER}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffles an input that has fewer partitions than the cluster has cores, before heavy row work.
-
-    Large inputs come in more partitions than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stem_of(suffix: str):
     """Recording name from the file name: ``<stem>_<suffix>.<ext>``."""
     return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)_{suffix}\.[^.]+$", 1).alias("demo_stem")

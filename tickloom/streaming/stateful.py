@@ -1,8 +1,10 @@
 """Structured Streaming twins of the causal operators.
 
-Each keeps the small state its batch twin would carry between rows. Rows of a micro-batch are
-sorted by the order key first; rows older than the state are late and are dropped, so a replay
-in order gives the batch answer. The state store must be RocksDB (``use_rocksdb``).
+Rows may come in any order within the watermark's delay: each key keeps its rows in a list
+until the watermark has passed them, and only then carries its small state over them, in
+order. Nothing is decided before, so any cut of the input into micro-batches gives the batch
+answer. Rows later than the watermark are the only ones left out; Spark counts them and
+``drain`` returns the count. A key without rows for ``idle`` loses its state.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,81 +26,121 @@ register_pickle_by_value(sys.modules[__name__])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+WHOLE = ("bigint", "int", "smallint", "tinyint")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 class OrderedState(StatefulProcessor):
-    """Feeds a key's rows in order to ``step(state, row) -> (state, output)``."""
+    """Feeds a key's rows in order to ``advance(state, rows) -> (state, values)``, a vector step over a pandas frame."""
 
-    def __init__(self, order: Sequence[str], state: Sequence[tuple[str, str]], step: Callable, output: str):
-        self.order, self.fields, self.step, self.output = list(order), list(state), step, output
+    def __init__(self, columns: Sequence[tuple[str, str]], time: str, order: Sequence[str], state: Sequence[tuple[str, str]], advance: Callable, output: str, idle_ms: int | None):
+        self.columns, self.time, self.order, self.fields, self.advance, self.output, self.idle = list(columns), time, list(order), list(state), advance, output, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        types = ", ".join(f"{n} {t}" for n, t in [("seen", "bigint"), *self.fields])
-        self.state = handle.getValueState("state", types)
+        self.handle = handle
+        self.state = handle.getValueState("state", ", ".join(f"{n} {t}" for n, t in [("last_ms", "bigint"), *self.fields]))
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in [("ms", "bigint"), *self.columns]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")  # one micro-batch of one key
-        held = self.state.get() if self.state.exists() else (-(1 << 62), *[None] * len(self.fields))
-        seen, state = held[0], tuple(held[1:])
-        batch = batch[batch[self.order[0]] >= seen]
-        out = []
-        for row in batch.itertuples(index=False):
-            state, value = self.step(state, row)
-            out.append(value)
-        if len(batch):
-            self.state.update((int(batch[self.order[0]].iloc[-1]), *state))
-        batch = batch.copy()
-        batch[self.output] = out
-        yield batch
+        first = None
+        for batch in rows:  # one Arrow batch at a time
+            ms = batch[self.time].astype("datetime64[us]").astype("int64") // 1000
+            kept = batch[[n for n, _ in self.columns]].astype(object)
+            kept = kept.where(kept.notna(), None)
+            for name, kind in self.columns:  # a null elsewhere in the batch has turned whole numbers into floats
+                if kind in WHOLE:
+                    kept[name] = pd.Series([None if v is None else int(v) for v in kept[name]], index=kept.index, dtype=object)
+            self.waiting.appendList([(int(t), *values) for t, values in zip(ms, kept.itertuples(index=False))])
+            first = int(ms.min()) if first is None else min(first, int(ms.min()))
+        if first is not None:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get())
+        held = self.state.get() if self.state.exists() else None
+        if not rows:
+            if self.idle is not None and held is not None and held[0] + self.idle <= mark:
+                self.state.clear()
+            return
+        due = pd.DataFrame([tuple(r) for r in rows if r[0] <= mark], columns=["__ms", *(n for n, _ in self.columns)])
+        later = [tuple(r) for r in rows if r[0] > mark]
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[0] for r in later))
+        if not len(due):
+            return
+        due = due.sort_values(self.order, kind="stable").reset_index(drop=True)
+        state, values = self.advance(tuple(held[1:]) if held else (None,) * len(self.fields), due)
+        last = int(due.pop("__ms").max())
+        self.state.update((last, *state))
+        if self.idle is not None and not later:
+            self.handle.registerTimer(last + self.idle)
+        due[self.output] = values
+        yield due
 
     def close(self) -> None:
         pass
 
 
-def run_ordered(stream: DataFrame, key: str, order: Sequence[str], state: Sequence[tuple[str, str]], step: Callable, output: tuple[str, str]) -> DataFrame:
-    """Adds column ``output`` (name, type) computed by ``step`` over each key's rows in order."""
-    schema = T.StructType(list(stream.schema.fields) + T._parse_datatype_string(f"{output[0]} {output[1]}").fields)
-    processor = OrderedState(order, state, step, output[0])
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None")
+def run_ordered(
+    stream: DataFrame, key: str, time: str, delay: str, order: Sequence[str], state: Sequence[tuple[str, str]], advance: Callable, output: tuple[str, str], idle_ms: int | None = None
+) -> DataFrame:
+    """Adds column ``output`` (name, type) computed by ``advance`` over each key's rows in order; the time column goes."""
+    fields = [f for f in stream.schema.fields if f.name != time]
+    schema = T.StructType(fields + T._parse_datatype_string(f"{output[0]} {output[1]}").fields)
+    processor = OrderedState([(f.name, f.dataType.simpleString()) for f in fields], time, order, state, advance, output[0], idle_ms)
+    marked = stream.withWatermark(time, delay)
+    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
-def since_last(stream: DataFrame, key: str, order: Sequence[str], flag: str, cap: int, name: str = "since") -> DataFrame:
+def since_last(stream: DataFrame, key: str, time: str, delay: str, order: Sequence[str], flag: str, cap: int, name: str = "since") -> DataFrame:
     """Distance to the last flagged row, capped."""
     position = order[0]
 
-    def step(state, row):
-        at = getattr(row, position) if getattr(row, flag) else state[0]
-        gap = cap if at is None else min(getattr(row, position) - at, cap)
-        return (None if at is None else int(at),), int(gap)
+    def advance(state, rows):
+        at = rows[position].where(rows[flag].astype(bool)).astype("Int64").ffill()
+        if state[0] is not None:
+            at = at.fillna(int(state[0]))
+        gap = (rows[position].astype("Int64") - at).clip(upper=cap).fillna(cap)
+        last = at.iloc[-1]
+        return (None if pd.isna(last) else int(last),), gap.astype("int64")
 
-    return run_ordered(stream, key, order, [("at", "bigint")], step, (name, "bigint"))
+    return run_ordered(stream, key, time, delay, order, [("at", "bigint")], advance, (name, "bigint"))
 
 
-def hold_until(stream: DataFrame, key: str, order: Sequence[str], source: str, reset: str, value: str, name: str = "held") -> DataFrame:
+def hold_until(stream: DataFrame, key: str, time: str, delay: str, order: Sequence[str], source: str, reset: str, value: str, name: str = "held") -> DataFrame:
     """Value of the last source row until a reset row."""
 
-    def step(state, row):
-        held = state[0]
-        if getattr(row, reset):
-            held = None
-        elif getattr(row, source):
-            held = float(getattr(row, value))
-        return (held,), held
+    def advance(state, rows):
+        resets, sources = rows[reset].astype(bool), rows[source].astype(bool)
+        change = pd.Series(np.arange(len(rows)), index=rows.index).where(resets | sources).ffill()  # the row that decided last
+        values = rows[value].astype(float).where(sources & ~resets)
+        held = values.reindex(change).to_numpy()
+        before = np.nan if state[0] is None else float(state[0])
+        held = np.where(change.isna(), before, held)
+        return (None if np.isnan(held[-1]) else float(held[-1]),), pd.Series(held, dtype=object).where(~np.isnan(held), None)
 
-    return run_ordered(stream, key, order, [("held", "double")], step, (name, "double"))
+    return run_ordered(stream, key, time, delay, order, [("held", "double")], advance, (name, "double"))
 
 
-def integrate_and_fire(stream: DataFrame, key: str, order: Sequence[str], score: str, theta: float, name: str = "fires") -> DataFrame:
+def integrate_and_fire(stream: DataFrame, key: str, time: str, delay: str, order: Sequence[str], score: str, theta: float, name: str = "fires") -> DataFrame:
     """True where the accumulated score reaches ``theta``; the accumulator then restarts."""
 
-    def step(state, row):
-        level = (state[0] or 0.0) + float(getattr(row, score) or 0.0)
-        fires = level >= theta
-        return (0.0 if fires else level,), fires
+    def advance(state, rows):
+        level, fires = state[0] or 0.0, []
+        for x in rows[score].astype(float).fillna(0.0).to_numpy():  # each step needs the one before
+            level += x
+            fires.append(bool(level >= theta))
+            level = 0.0 if fires[-1] else level
+        return (float(level),), fires
 
-    return run_ordered(stream, key, order, [("level", "double")], step, (name, "boolean"))
+    return run_ordered(stream, key, time, delay, order, [("level", "double")], advance, (name, "boolean"))
 
 
 def ingest_once(stream: DataFrame, ids: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -106,13 +149,38 @@ def ingest_once(stream: DataFrame, ids: Sequence[str], time: str, delay: str) ->
 
 
 def rule_monitor(stream: DataFrame, time: str, width: str, delay: str, rules: dict[str, Column]) -> DataFrame:
-    """Rows and violations of each rule per tumbling window; rows later than the watermark are dropped."""
+    """Rows and violations of each rule per tumbling window; run it with ``drain_updates``, which keeps open windows too."""
     counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()]
     g = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w")).agg(F.count(F.lit(1)).alias("rows"), *counts)
     return g.select(F.col("w.start").alias("start"), "rows", *rules)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Processes everything available now into Parquet, exactly once."""
+def late_rows(query) -> int:
+    """Rows that came after the watermark, over the recorded progress of a query."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Processes everything available now into Parquet, exactly once; returns how many rows were too late."""
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
+    return late_rows(query)
+
+
+def drain_updates(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """Processes everything available now and returns the last state of every key, closed or still open.
+
+    Each micro-batch writes its changed keys under its own number, so that a batch tried again
+    replaces itself.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("__batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{batch:09d}")
+
+    query = stream.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    every = stream.sparkSession.read.schema(schema).parquet(f"{path}/batch-*")
+    others = [f.name for f in stream.schema.fields if f.name not in keys]
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("x"))
+    return last.select(*keys, "x.*")
