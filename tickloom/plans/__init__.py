@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["recordings", "alignment", "sequences", "states", "corpora", "evaluation", "neighbourhoods", "models", "streams"]
+MODULES = ["recordings", "alignment", "sequences", "states", "corpora", "files", "evaluation", "neighbourhoods", "models", "streams"]
 
 
 def load_queries():

@@ -463,13 +463,13 @@ def manifest_last_wins(t: Tables):
 
 @query(
     "event_list_files",
-    "S3 S1",
+    "S10",
     f"""WITH {ACTIVITY} SELECT 'rec' || (user_id % 10) AS demo_stem, count(*) AS n, sum(us // 1000000 % 100000)::BIGINT AS ticks FROM activity WHERE event_type = 'error' GROUP BY 1""",
 )
 def event_list_files(t: Tables):
     from tickloom.sources import readers
 
-    # arrays of records on disk, one file per task, named like event lists of a recording
+    # JSON lines in a folder per recording
     path = scratch(t)
     stem = F.format_string("rec%d", F.col("user_id") % 10)
     rows = t.activity.filter("event_type = 'error'").select(stem.alias("demo_stem"), (F.floor(F.col("us") / 1_000_000) % 100000).cast("int").alias("tick"))
@@ -501,13 +501,13 @@ def guarded_publish(t: Tables):
 
 @query(
     "label_documents",
-    "S7",
+    "S4",
     """SELECT count(*) AS readable, sum(quality)::BIGINT AS quality FROM labels WHERE doc_id % 9 <> 2""",
 )
 def label_documents(t: Tables):
     from tickloom.sources import readers
 
-    # one small document per line, split into documents by the reader's parser
+    # one small document per line
     path = scratch(t)
     body = F.to_json(F.struct("doc_id", "quality"))
     t.labels.select(F.when(F.col("doc_id") % 9 == 2, F.lit("{oops")).otherwise(body).alias("value")).write.text(path)

@@ -383,7 +383,12 @@ def tail_crop(t: Tables):
     return new.join(old, "user_id").select("user_id", "n_ticks", "last_tick", "original_n", source.alias("source"))
 
 
-@query("integrate_and_fire", "W21 X5")
+FIRE = f"""WITH RECURSIVE {ACTIVITY}, o AS (SELECT user_id, event_id, coalesce(value, 0) AS x, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM activity),
+    r AS (SELECT user_id, event_id, k, x AS level FROM o WHERE k = 1
+        UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN r.level >= 400 THEN 0 ELSE r.level END + o.x FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)"""
+
+
+@query("integrate_and_fire", "W21 X5", f"{FIRE} SELECT user_id, event_id, k AS pos, o.x AS value FROM r JOIN o USING (user_id, event_id, k) WHERE level >= 400")
 def integrate_and_fire(t: Tables):
     frames = positions(t).select("user_id", "event_id", F.col("pos").cast("long").alias("pos"), "value")
     return windows.integrate_and_fire(frames, USER, "pos", "value", 400.0)

@@ -88,7 +88,7 @@ def stream_rule_monitor(t: Tables):
     return out.select(F.unix_micros("start").alias("start_us"), "rows", "high", "failed")
 
 
-@query("stream_integrate_and_fire", "X5 W21")
+@query("stream_integrate_and_fire", "X5 W21", f"{sequences.FIRE} SELECT user_id, event_id FROM r WHERE level >= 400")
 def stream_integrate_and_fire(t: Tables):
     home = new_home(t)
     out = stateful.integrate_and_fire(event_stream(t, home), "user_id", "at", DELAY, ["us", "event_id"], "value", 400.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.corpus import pending, upsert
@@ -21,6 +21,34 @@ def write_frames(rows: DataFrame, path: str, by: Sequence[str] = ("split", "map_
     rows.repartition(*[F.col(c) for c in by], spread).write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(*by).parquet(path)
 
 
+def _named_files(spark: SparkSession, staging: str, folder: str, column: str, kind: str) -> None:
+    """Moves the single file of each partition folder to ``<stem>_<kind>.<extension>``; a step per recording."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    fs = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(paths(folder))
+    for status in fs.globStatus(paths(f"{staging}/{column}=*/part-*")):
+        path = status.getPath()
+        stem, name = path.getParent().getName().split("=", 1)[1], path.getName()
+        fs.rename(path, paths(f"{folder}/{stem}_{kind}.{name.rsplit('.', 1)[1] if not name.endswith('.txt') else 'json'}"))
+    fs.delete(paths(staging), True)
+
+
+def write_recordings(rows: DataFrame, folder: str, stem: str, kind: str) -> None:
+    """A Parquet file ``<stem>_<kind>.parquet`` per recording; a recording is what one task can write."""
+    staging = f"{folder}/.staging-{kind}"
+    rows.repartition(stem).write.partitionBy(stem).parquet(staging)
+    _named_files(rows.sparkSession, staging, folder, stem, kind)
+
+
+def write_arrays(rows: DataFrame, folder: str, stem: str, kind: str) -> None:
+    """A file ``<stem>_<kind>.json`` with one array of records per recording."""
+    staging = f"{folder}/.staging-{kind}"
+    record = F.struct(*[c for c in rows.columns if c != stem])
+    lists = rows.groupBy(stem).agg(F.to_json(F.collect_list(record)).alias("value"))
+    lists.repartition(stem).write.partitionBy(stem).text(staging)
+    _named_files(rows.sparkSession, staging, folder, stem, kind)
+
+
 def write_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
