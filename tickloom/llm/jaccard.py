@@ -210,10 +210,14 @@ def _at_least(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / (num + den))
 
 
+def _needed_in_prefix(a: Column, b: Column, num: int, den: int) -> Column:
+    behind = F.greatest(F.ceil(a * num / den), F.ceil(b * num / den)) - 1
+    return F.greatest(_at_least(a, b, num, den) - behind, F.lit(1))
+
+
 def _enough_in_prefix(shared: Column, a: Column, b: Column, num: int, den: int) -> Column:
     """Whether ``shared`` prefix shingles allow the needed overlap: what lies behind a prefix is bounded by its length."""
-    behind = F.greatest(F.ceil(a * num / den), F.ceil(b * num / den)) - 1
-    return shared >= _at_least(a, b, num, den) - behind
+    return shared >= _needed_in_prefix(a, b, num, den)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -283,8 +287,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
 
     # what a class can share at all: shingles of its prefix that nobody else has in theirs count for no partner
     mine = Window.partitionBy("cls")
-    lone = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.count(F.lit(1)).over(mine)
-    met = staged(met.withColumns({"most": F.col("n") - lone, "before": F.row_number().over(mine.orderBy("pos")) - 1}), "meetings")
+    met = met.withColumns({"met": F.count(F.lit(1)).over(mine), "before": F.row_number().over(mine.orderBy("pos")) - 1})
+    met = staged(met.withColumn("most", F.ceil(F.col("n") * num / den) - 1 + F.col("met")), "meetings")
 
     # first the most central class each class meets
     star = met.filter((F.col("cls") != F.col("c")) & _similar(F.col("n"), F.col("nc"), num, den) & (F.col("most") >= _at_least(F.col("n"), F.col("nc"), num, den)))
@@ -295,7 +299,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     joined = connected(first)
 
     # then every pair that meets and isn't joined yet
-    labelled = met.join(joined, "cls", "left").select("token", "cls", "n", "pos", "most", "before", F.coalesce("comp", "cls").alias("comp"))
+    labelled = met.join(joined, "cls", "left").select("token", "cls", "n", "pos", "met", "most", "before", F.coalesce("comp", "cls").alias("comp"))
     labelled = staged(labelled, "meetings")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     open_ = labelled.join(mixed, "token")
@@ -303,12 +307,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     need = _at_least(F.col("x.n"), F.col("y.n"), num, den)
     # shared shingles before this one, this one, and what can follow it
     reach = F.least("x.before", "y.before") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    # a pair that is similar enough shares all but a few of either's shingles that met anybody, so
+    # the first few of the one with fewer such shingles find it
+    fewer = F.struct("x.met", "x.cls") < F.struct("y.met", "y.cls")
+    at = F.when(fewer, F.col("x.before")).otherwise(F.col("y.before"))
+    keys = F.least("x.met", "y.met") - _needed_in_prefix(F.col("x.n"), F.col("y.n"), num, den) + 1
     meets = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-        & _similar(F.col("x.n"), F.col("y.n"), num, den) & (reach >= need) & (F.least("x.most", "y.most") >= need)
+        & _similar(F.col("x.n"), F.col("y.n"), num, den) & (reach >= need) & (F.least("x.most", "y.most") >= need) & (at < keys)
     )
-    rest = x.join(y, meets).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-    rest = rest.filter(_enough_in_prefix(F.col("shared"), F.col("na"), F.col("nb"), num, den)).drop("shared")
+    rest = staged(x.join(y, meets).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), "pairs")
+    listed = met.groupBy("cls").agg(F.collect_list("token").alias("tokens"))  # as many as a prefix is long
+    rest = rest.join(listed.select(F.col("cls").alias("a"), F.col("tokens").alias("left")), "a").join(listed.select(F.col("cls").alias("b"), F.col("tokens").alias("right")), "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    rest = rest.filter(_enough_in_prefix(shared, F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb")
     second = staged(verified(staged(rest, "pairs"), docs, reps, k, num, den), "links")
 
     comps = connected(first.union(second))

@@ -25,7 +25,33 @@ TEMPLATES = [
 ]
 
 
-@query("op2_licence_scan", "op2")
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = "regexp_extract_all(" + LOWERED + ", '[a-z0-9]+(?:[.+-][a-z0-9]+)*')"
+SQL = f"""WITH t(no, licence, text) AS (VALUES {", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(TEMPLATES))}),
+    tt AS (SELECT no, licence, unnest({TERMS.format("text")}) AS term FROM t),
+    d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, coalesce(length(text) <= 600 AND regexp_matches(text, '(?i)\\blicen[cs]ed?\\b'), false) AS short FROM documents),
+    f AS (SELECT doc_id, text, short, concat_ws('/', source, lang, CASE WHEN short AND doc_id % 2 = 0 THEN NULL ELSE (doc_id // 64)::VARCHAR END) AS dir,
+        CASE WHEN short THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM d),
+    n AS (SELECT count(*) AS n FROM f),
+    df AS (SELECT term, count(*) AS k FROM (SELECT DISTINCT doc_id, unnest({TERMS.format("text")}) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
+    idf AS (SELECT term, ln((1 + n) / (1 + coalesce(k, 0))) + 1 AS w FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
+    tw AS (SELECT no, licence, term, count(*) * any_value(w) AS w FROM tt JOIN idf USING (term) GROUP BY ALL),
+    tn AS (SELECT no, licence, term, w / sqrt(sum(w * w) OVER (PARTITION BY no)) AS w FROM tw),
+    s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+')) AS piece FROM f UNION ALL SELECT doc_id, text FROM f WHERE short),
+    p AS (SELECT doc_id, row_number() OVER () AS k, piece FROM s),
+    c AS (SELECT doc_id, k, term, count(*) AS tf FROM (SELECT doc_id, k, unnest({TERMS.format("piece")}) AS term FROM p) GROUP BY ALL),
+    v AS (SELECT doc_id, k, term, tf * coalesce(w, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM c LEFT JOIN idf USING (term)),
+    z AS (SELECT k, sqrt(sum(x * x)) AS size FROM v GROUP BY 1),
+    sc AS (SELECT v.doc_id, licence, round(sum(x * w) / any_value(size), 6) AS score FROM v JOIN tn USING (term) JOIN z USING (k) GROUP BY v.doc_id, k, no, licence),
+    own AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS licence, max(score) AS score FROM sc WHERE score >= 0.6 GROUP BY 1),
+    of_dir AS (SELECT dir AS ancestor, arg_min(licence, (-score, licence)) AS from_dir FROM f JOIN own USING (doc_id) WHERE short GROUP BY 1),
+    near AS (SELECT dir, arg_max(from_dir, length(ancestor)) AS from_dir, arg_max(ancestor, length(ancestor)) AS origin
+        FROM (SELECT DISTINCT dir FROM f) JOIN of_dir ON dir = ancestor OR starts_with(dir, ancestor || '/') OR ancestor = '' GROUP BY 1)
+    SELECT doc_id, dir || '/' || name AS path, coalesce(licence, from_dir) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'own' WHEN from_dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+        CASE WHEN licence IS NULL THEN origin END AS origin FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)"""
+
+
+@query("op2_licence_scan", "op2", SQL)
 def op2_licence_scan(t: Tables):
     """The tree: a folder per source and language with folders of 64 consecutive ids. A short text (at
     most 600 characters) with the word licence or license is a licence file, of a language's folder
