@@ -109,7 +109,13 @@ def hot_ranges(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> Da
     )
 
 
-_BOUNDED: ContextVar[bool] = ContextVar("bounded", default=False)
+# The key sets whose groups are known to fit a task.
+_BOUNDED: ContextVar[tuple[frozenset[str], ...]] = ContextVar("bounded", default=())
+
+
+def _covered(keys: Sequence[str]) -> bool:
+    """Whether a check that holds looked at these keys or at coarser ones."""
+    return any(known <= set(keys) for known in _BOUNDED.get())
 
 
 @contextmanager
@@ -119,22 +125,23 @@ def bounded_groups(tables: Iterable[tuple[DataFrame, Sequence[str]]], limit: int
     Holds when no group of any table exceeds its share of the limit, so that even the union
     of all tables fits one task per group. If one does, the steps check and split as usual.
     """
-    if _BOUNDED.get():  # an enclosing check covers this one
+    tables = list(tables)
+    if all(_covered(keys) for _, keys in tables):
         yield
         return
-    tables = list(tables)
     limit = limit or group_limit(tables[0][0].sparkSession)
     counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n") for df, keys in tables]
     largest = reduce(DataFrame.unionByName, counts).agg(F.max("n")).first()[0] or 0
-    token = _BOUNDED.set(largest * len(tables) <= limit)
+    known = tuple(frozenset(keys) for _, keys in tables) if largest * len(tables) <= limit else ()
+    token = _BOUNDED.set(_BOUNDED.get() + known)
     try:
         yield
     finally:
         _BOUNDED.reset(token)
 
 
-def splits_needed(spans: DataFrame) -> bool:
-    return not _BOUNDED.get() and not spans.isEmpty()
+def splits_needed(spans: DataFrame, keys: Sequence[str]) -> bool:
+    return not _covered(keys) and not spans.isEmpty()
 
 
 def with_span(df: DataFrame, spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -183,7 +190,7 @@ def running(
         return F.coalesce(value, F.lit(0)) if a.kind == "count" else value
 
     spans = hot_ranges(base, keys, order, limit)
-    if not splits_needed(spans):
+    if not splits_needed(spans, keys):
         return scan(base, keys, "").drop("__all")
 
     spanned = with_span(base, spans, keys, order)
@@ -226,7 +233,7 @@ def framed(
     limit = max(limit or group_limit(df.sparkSession), 1)
     base, keys = _keyed(df, keys, order)
     spans = hot_ranges(base, keys, order, limit)
-    if not splits_needed(spans):
+    if not splits_needed(spans, keys):
         whole = Window.partitionBy(*keys).orderBy(*_sort(order, tie, False))
         return base.withColumns(exprs(whole)).drop("__all")
     cold = join_on(base, spans, keys, "left_anti").withColumns({"__block": F.lit(0).cast("long"), "__own": F.lit(True)})
