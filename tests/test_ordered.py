@@ -81,6 +81,13 @@ def test_bounded_groups_skips_the_probe_only_when_true(spark, skewed):
         assert ordered.splits_needed(ordered.hot_ranges(df, ["k"], "at", 50))
 
 
+def test_a_check_covers_finer_keys_but_no_coarser_ones(spark, skewed):
+    df = spark.createDataFrame(skewed).withColumn("sub", F.col("at") % 3).withColumn("all", F.lit(1))
+    with ordered.bounded_groups([(df, ["k"])], limit=10**6):
+        assert not ordered.splits_needed(ordered.hot_ranges(df, ["k", "sub"], "at", 10))
+        assert ordered.splits_needed(ordered.hot_ranges(df, ["all"], "at", 10))
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 @pytest.mark.parametrize("pivots,block", [(4, 7), (16, 10000)])
 def test_knn_equals_brute_force(spark, metric, pivots, block):

@@ -140,7 +140,8 @@ def bounded_groups(tables: Iterable[tuple[DataFrame, Sequence[str]]], limit: int
         _BOUNDED.reset(token)
 
 
-def splits_needed(spans: DataFrame, keys: Sequence[str]) -> bool:
+def splits_needed(spans: DataFrame) -> bool:
+    keys = [c for c in spans.columns if c not in ("__low", "__width")]
     return not _covered(keys) and not spans.isEmpty()
 
 
@@ -190,7 +191,7 @@ def running(
         return F.coalesce(value, F.lit(0)) if a.kind == "count" else value
 
     spans = hot_ranges(base, keys, order, limit)
-    if not splits_needed(spans, keys):
+    if not splits_needed(spans):
         return scan(base, keys, "").drop("__all")
 
     spanned = with_span(base, spans, keys, order)
@@ -233,7 +234,7 @@ def framed(
     limit = max(limit or group_limit(df.sparkSession), 1)
     base, keys = _keyed(df, keys, order)
     spans = hot_ranges(base, keys, order, limit)
-    if not splits_needed(spans, keys):
+    if not splits_needed(spans):
         whole = Window.partitionBy(*keys).orderBy(*_sort(order, tie, False))
         return base.withColumns(exprs(whole)).drop("__all")
     cold = join_on(base, spans, keys, "left_anti").withColumns({"__block": F.lit(0).cast("long"), "__own": F.lit(True)})
