@@ -96,8 +96,7 @@ def own_licence(files: DataFrame, templates: Templates, threshold: float = 0.6)
     pieces = F.transform(F.split(F.coalesce("text", F.lit("")), SENTENCES), lambda s, i: F.struct(i.alias("piece"), terms(s).alias("terms")))
     pieces = F.concat(pieces, F.when(is_licence, F.array(F.struct(F.lit(-1).alias("piece"), terms(F.col("text")).alias("terms")))).otherwise(F.array().cast("array<struct<piece:int,terms:array<string>>>")))
     telling = F.filter(pieces, lambda p: F.arrays_overlap(p["terms"], cue))
-    maybe = files.filter(ascii_lower("text").rlike("|".join(re.escape(c) for c in templates.cues(threshold))))  # cheap, and lets every telling text pass
-    piece = maybe.select("row_id", F.explode(telling).alias("p")).select("row_id", "p.piece", F.explode("p.terms").alias("term"))
+    piece = files.select("row_id", F.explode(telling).alias("p")).select("row_id", "p.piece", F.explode("p.terms").alias("term"))
     counted = piece.groupBy("row_id", "piece", "term").agg(F.count(F.lit(1)).alias("tf"))
     counted = counted.withColumn("value", F.col("tf") * templates.idf_of(F.col("term")))
     sizes = counted.groupBy("row_id", "piece").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
