@@ -8,8 +8,13 @@ from tickloom.plans.corpora import scratch
 from tickloom.plans.registry import ACTIVITY, Tables, query
 from tickloom.sources import inventory, readers, sinks
 
-STEM = F.format_string("rec%d", F.col("user_id") % 10)
-SECOND = F.floor(F.col("us") / 1_000_000)
+
+def stem():
+    return F.format_string("rec%d", F.col("user_id") % 10)
+
+
+def second():
+    return F.floor(F.col("us") / 1_000_000)
 
 
 @query(
@@ -19,7 +24,7 @@ SECOND = F.floor(F.col("us") / 1_000_000)
 )
 def tick_files(t: Tables):
     folder = scratch(t)
-    rows = t.activity.select(STEM.alias("stem"), (SECOND % 100000).cast("int").alias("tick"), F.col("user_id").alias("steamid"), F.col("value").alias("X"))
+    rows = t.activity.select(stem().alias("stem"), (second() % 100000).cast("int").alias("tick"), F.col("user_id").alias("steamid"), F.col("value").alias("X"))
     sinks.write_recordings(rows, folder, "stem", "ticks")
     ticks = readers.read_ticks(t.spark, f"{folder}/*_ticks.parquet", ["tick", "steamid", "X"])
     return ticks.groupBy("demo_stem").agg(
@@ -35,7 +40,7 @@ def tick_files(t: Tables):
 def event_arrays(t: Tables):
     """Lists of two event kinds as arrays of records, one file per recording; a third kind has no files."""
     folder = scratch(t)
-    rows = t.activity.select(STEM.alias("stem"), (SECOND % 100000).cast("int").alias("tick"), "event_type")
+    rows = t.activity.select(stem().alias("stem"), (second() % 100000).cast("int").alias("tick"), "event_type")
     for kind, event in (("kills", "error"), ("bomb", "click")):
         sinks.write_arrays(rows.filter(F.col("event_type") == event).select("stem", "tick"), folder, "stem", kind)
     parts = [readers.read_events(t.spark, folder, kind).select("demo_stem", F.lit(kind).alias("kind"), "tick") for kind in ("kills", "bomb", "damages")]
