@@ -87,3 +87,12 @@ def test_every_broken_rule_is_reported(spark):
     rules = {f"rule{i:02d}": F.col("f") > 1 for i in range(25)}
     report = quality.invariant_report(rows, rules, ["e"], ["e", "f"])
     assert report.count() == 25 and len(quality.violations(report)) == 25
+
+
+def test_queries_load_without_a_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) > 0, done.stderr
