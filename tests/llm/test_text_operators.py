@@ -131,6 +131,34 @@ def test_components(spark, k, num, den):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows, k, num, den)
 
 
+def passages(seed=2):
+    """Exact copies of texts, and the same texts with a rarer passage appended or inserted."""
+    import random
+
+    rng = random.Random(seed)
+    rows, words = [], iter(f"v{i}" for i in range(10**6))
+
+    def text(n):
+        return [next(words) for _ in range(n)]
+
+    for k in (4, 5, 2):
+        for copied, added in ((90, 10), (93, 10), (60, 9), (120, 14), (200, 30)):
+            passage = text(added)
+            for at in (None, None, 0, rng.randrange(copied)):  # each passage stands in several texts, but in fewer than they have copies
+                base = text(copied + k - 1)
+                longer = [*base, *passage] if at is None else [*base[:at], *passage, *base[at:]]
+                rows += [" ".join(base)] * rng.choice((3, 6)) + [" ".join(longer)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 60, 100)])
+def test_components_with_rarer_passages(spark, k, num, den):
+    rows = passages()
+    got = jaccard.components(docs(spark, rows).repartition(3), k=k, num=num, den=den).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows, k, num, den)
+
+
 def test_no_documents_no_components(spark):
     assert jaccard.components(docs(spark, [])).count() == 0
     assert jaccard.components(docs(spark, [(1, None)])).collect()[0]["component_id"] == 1

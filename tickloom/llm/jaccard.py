@@ -285,13 +285,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     buckets = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "cls", "n")).alias("head")).filter("m > 1")
     met = prefix.join(buckets, "token").select("token", "cls", "n", "pos", F.col("head.cls").alias("c"), F.col("head.n").alias("nc"))
 
-    # what a class can share at all: shingles of its prefix that nobody else has in theirs count for no partner
+    # what a class can share at all with partners whose prefix reaches as far in the global order or further:
+    # shingles of its prefix that nobody else has in theirs count for none of these
     mine = Window.partitionBy("cls")
     met = met.withColumns({"met": F.count(F.lit(1)).over(mine), "before": F.row_number().over(mine.orderBy("pos")) - 1})
     met = staged(met.withColumn("most", F.ceil(F.col("n") * num / den) - 1 + F.col("met")), "meetings")
 
     # first the most central class each class meets
-    star = met.filter((F.col("cls") != F.col("c")) & _similar(F.col("n"), F.col("nc"), num, den) & (F.col("most") >= _at_least(F.col("n"), F.col("nc"), num, den)))
+    star = met.filter((F.col("cls") != F.col("c")) & _similar(F.col("n"), F.col("nc"), num, den) & _enough_in_prefix(F.col("met"), F.col("n"), F.col("nc"), num, den))
     star = star.groupBy("cls", "c").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("nc").alias("nc"))
     best = star.groupBy("cls").agg(F.max(F.struct("shared", (-F.col("c")).alias("order"), "c", "n", "nc")).alias("x"))
     central = best.filter(_enough_in_prefix(4 * F.col("x.shared"), F.col("x.n"), F.col("x.nc"), num, den)).select(F.col("cls").alias("a"), F.col("x.c").alias("b"), F.col("x.n").alias("na"), F.col("x.nc").alias("nb"))
@@ -311,10 +312,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     # the first few of the one with fewer such shingles find it
     fewer = F.struct("x.met", "x.cls") < F.struct("y.met", "y.cls")
     at = F.when(fewer, F.col("x.before")).otherwise(F.col("y.before"))
-    keys = F.least("x.met", "y.met") - _needed_in_prefix(F.col("x.n"), F.col("y.n"), num, den) + 1
+    keys = F.least("x.met", "y.met") - _needed_in_prefix(F.col("x.n"), F.col("y.n"), num, den) + 1  # none where either met too few
     meets = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-        & _similar(F.col("x.n"), F.col("y.n"), num, den) & (reach >= need) & (F.least("x.most", "y.most") >= need) & (at < keys)
+        & _similar(F.col("x.n"), F.col("y.n"), num, den) & (reach >= need) & (F.greatest("x.most", "y.most") >= need) & (at < keys)
     )
     rest = staged(x.join(y, meets).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), "pairs")
     listed = met.groupBy("cls").agg(F.collect_list("token").alias("tokens"))  # as many as a prefix is long
