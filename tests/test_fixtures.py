@@ -328,6 +328,23 @@ def test_event_lists(spark, tmp_path):
     assert empty.count() == 0 and "dmg_health_real" in empty.columns
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_large_recordings_are_written_in_parts(spark, tmp_path, monkeypatch, alike):
+    monkeypatch.setattr(sinks, "PART_RECORDS", 100, raising=False)
+    monkeypatch.setattr(sinks, "PART_ROWS", 100, raising=False)
+    rows = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("m_"), F.col("id") % 3)).otherwise("hot").alias("stem"), (F.lit(7) if alike else F.col("id")).cast("int").alias("tick"))
+    want = sorted((r["stem"], r["n"]) for r in rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).collect())
+    sinks.write_arrays(rows, str(tmp_path), "stem", "kills")
+    assert max(len(json.loads(f.read_text())) for f in tmp_path.glob("*_kills.json")) < 200  # on average at most 100
+    read = readers.read_events(spark, str(tmp_path), "kills")
+    assert sorted((r["demo_stem"], r["n"]) for r in read.groupBy("demo_stem").agg(F.count(F.lit(1)).alias("n")).collect()) == want
+    assert read.filter("tick IS NULL").isEmpty()
+    sinks.write_recordings(rows, str(tmp_path), "stem", "ticks")
+    assert len(list(tmp_path.glob("hot*_ticks.parquet"))) > 1
+    read = readers.read_ticks(spark, f"{tmp_path}/*_ticks.parquet", ["tick"])
+    assert sorted((r["demo_stem"], r["n"]) for r in read.groupBy("demo_stem").agg(F.count(F.lit(1)).alias("n")).collect()) == want
+
+
 def test_tick_scan_prunes(spark, tmp_path):
     spark.createDataFrame([(1, 2, 3)], "round_num int, tick int, steamid long").coalesce(1).write.parquet(str(tmp_path / "p"))
     part = next((tmp_path / "p").glob("part-*.parquet"))

@@ -23,8 +23,8 @@ EVENT_SCHEMAS = {"kills": KILLS, "bomb": BOMB, "damages": DAMAGES, "rounds": ROU
 
 
 def stem_of(suffix: str):
-    """Recording name from the file name: ``<stem>_<suffix>.<ext>``."""
-    return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)_{suffix}\.[^.]+$", 1).alias("demo_stem")
+    """Recording name from the file name: ``<stem>_<suffix>.<ext>``, or ``<stem>.part<n>_<suffix>.<ext>`` of a recording in parts."""
+    return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*?)(?:\.part\d+)?_{suffix}\.[^.]+$", 1).alias("demo_stem")
 
 
 def read_ticks(spark: SparkSession, glob: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.corpus import pending, upsert
-from tickloom.operators.ordered import ranked
+from tickloom.operators.ordered import join_on, ranked
+
+PART_RECORDS = 100_000  # records of an array, which is one row when written and read
+PART_ROWS = 1_000_000  # rows of a recording that one task writes
 
 
 def write_frames(rows: DataFrame, path: str, by: Sequence[str] = ("split", "map_name"), mode: str = "errorifexists") -> None:
@@ -21,31 +25,48 @@ def write_frames(rows: DataFrame, path: str, by: Sequence[str] = ("split", "map_
     rows.repartition(*[F.col(c) for c in by], spread).write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(*by).parquet(path)
 
 
+def _parts(rows: DataFrame, stem: str, limit: int) -> DataFrame:
+    """Adds ``__part``: recordings of more than ``limit`` rows are dealt over as many parts as that takes (on average ``limit`` rows each)."""
+    large = rows.groupBy(stem).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    counted = join_on(rows.withColumn("__row", F.monotonically_increasing_id()), large, [stem], "left")
+    dealt = F.pmod(F.xxhash64("__row"), F.ceil(F.coalesce("__n", F.lit(1)) / limit))
+    return counted.withColumn("__part", dealt.cast("int")).drop("__n", "__row")
+
+
 def _named_files(spark: SparkSession, staging: str, folder: str, column: str, kind: str) -> None:
-    """Moves the single file of each partition folder to ``<stem>_<kind>.<extension>``; a step per recording."""
+    """Moves the files of each partition folder to ``<stem>_<kind>.<extension>``, further ones to ``<stem>.part<n>_<kind>.<extension>``; a step per file."""
     paths = spark._jvm.org.apache.hadoop.fs.Path
     fs = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(paths(folder))
-    for status in fs.globStatus(paths(f"{staging}/{column}=*/part-*")):
+    moved = Counter()
+    for status in [*fs.globStatus(paths(f"{staging}/{column}=*/part-*")), *fs.globStatus(paths(f"{staging}/{column}=*/__part=*/part-*"))]:
         path = status.getPath()
-        stem, name = path.getParent().getName().split("=", 1)[1], path.getName()
-        fs.rename(path, paths(f"{folder}/{stem}_{kind}.{name.rsplit('.', 1)[1] if not name.endswith('.txt') else 'json'}"))
+        home, name = path.getParent(), path.getName()
+        home = home.getParent() if home.getName().startswith("__part=") else home
+        stem = home.getName().split("=", 1)[1]
+        part = f".part{moved[stem]}" if moved[stem] else ""
+        moved[stem] += 1
+        fs.rename(path, paths(f"{folder}/{stem}{part}_{kind}.{name.rsplit('.', 1)[1] if not name.endswith('.txt') else 'json'}"))
     fs.delete(paths(staging), True)
 
 
 def write_recordings(rows: DataFrame, folder: str, stem: str, kind: str) -> None:
-    """A Parquet file ``<stem>_<kind>.parquet`` per recording; a recording is what one task can write."""
+    """Parquet files ``<stem>_<kind>.parquet`` per recording, which continues in ``<stem>.part<n>_<kind>.parquet``; no task holds a large recording whole."""
     staging = f"{folder}/.staging-{kind}"
-    rows.repartition(stem).write.partitionBy(stem).parquet(staging)
+    _parts(rows, stem, PART_ROWS).repartition(stem, "__part").drop("__part").write.option("maxRecordsPerFile", 2 * PART_ROWS).partitionBy(stem).parquet(staging)
     _named_files(rows.sparkSession, staging, folder, stem, kind)
 
 
 def write_arrays(rows: DataFrame, folder: str, stem: str, kind: str) -> None:
-    """A file ``<stem>_<kind>.json`` with one array of records per recording."""
+    """Files ``<stem>_<kind>.json`` with one array of records per recording.
+
+    A recording of more than ``PART_RECORDS`` records continues with further arrays in
+    ``<stem>.part<n>_<kind>.json``; ``read_events`` reads all of them as one recording.
+    """
     staging = f"{folder}/.staging-{kind}"
     record = F.struct(*[c for c in rows.columns if c != stem])
-    lists = rows.groupBy(stem).agg(F.to_json(F.collect_list(record)).alias("value"))
-    lists.repartition(stem).write.partitionBy(stem).text(staging)
+    lists = _parts(rows, stem, PART_RECORDS).groupBy(stem, "__part").agg(F.to_json(F.collect_list(record)).alias("value"))
+    lists.write.partitionBy(stem, "__part").text(staging)
     _named_files(rows.sparkSession, staging, folder, stem, kind)
 
 
