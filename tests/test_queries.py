@@ -78,6 +78,31 @@ def test_streams_in_any_order_of_files_equal_the_batch(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [64, 1000])
+def test_streams_hold_a_frame_of_a_key_at_once(spark, tmp_path, monkeypatch, small):
+    """All rows expire at once, and still no step gets more than a frame of whole hours of the key."""
+    from pyspark.sql import functions as F
+
+    from tickloom.streaming import stateful
+
+    monkeypatch.setattr(stateful, "FRAME_ROWS", 12, raising=False)
+    monkeypatch.setattr(stateful, "SMALL_ROWS", small, raising=False)
+
+    def advance(state, rows):
+        before = int(state[0] or 0)
+        return (before + len(rows),), [f"{before + i} {len(rows)}" for i in range(len(rows))]
+
+    rows = [(1, 10**9 + i * 600_000_000) for i in range(500)] + [(-1, 10**13)]
+    spark.createDataFrame(rows, "k long, us long").withColumn("at", F.timestamp_micros("us")).repartition(3).write.parquet(str(tmp_path / "in"))
+    stateful.use_rocksdb(spark)
+    source = spark.readStream.schema("k long, us long, at timestamp").parquet(str(tmp_path / "in"))
+    stream = stateful.run_ordered(source, "k", "at", "1 day", ["us"], [("n", "bigint")], advance, ("step", "string"))
+    assert stateful.drain(stream, str(tmp_path / "out"), str(tmp_path / "state")) == 0
+    got = sorted((r["us"], *map(int, r["step"].split())) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["k"] == 1)
+    assert [(us, place) for us, place, _ in got] == [(us, i) for i, (k, us) in enumerate(rows) if k == 1]
+    assert max(held for _, _, held in got) <= 12 + 6
+
+
 def test_every_broken_rule_is_reported(spark):
     from pyspark.sql import functions as F
 

@@ -1,15 +1,18 @@
 """Structured Streaming twins of the causal operators.
 
-Rows may come in any order within the watermark's delay: each key keeps its rows in a list
-until the watermark has passed them, and only then carries its small state over them, in
-order. Nothing is decided before, so any cut of the input into micro-batches gives the batch
+Rows may come in any order within the watermark's delay: each key keeps its rows by hours of
+event time until the watermark has passed them, and only then carries its small state over
+them in order, in frames of whole hours with about ``FRAME_ROWS`` rows. A worker holds no more of
+a key at once than such a frame, or one hour's rows where these are more. Nothing is decided before, so any cut of the input into micro-batches gives the batch
 answer. Rows later than the watermark are the only ones left out; Spark counts them and
 ``drain`` returns the count. A key without rows for ``idle`` loses its state.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -25,7 +28,9 @@ register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
+BUCKET_MS = 3_600_000  # event time that is never cut
+FRAME_ROWS = 10_000  # whole buckets are put together up to so many rows
+SMALL_ROWS = 64  # so many rows of a key that come together are kept together, more are kept by bucket
 WHOLE = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -42,10 +47,28 @@ class OrderedState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", ", ".join(f"{n} {t}" for n, t in [("last_ms", "bigint"), *self.fields]))
-        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in [("ms", "bigint"), *self.columns]))
+        self.waiting = handle.getMapState("waiting", "low bigint, chunk bigint", "rows binary")  # entries of their own, unlike a list's
+        self.chunks = handle.getValueState("chunks", "n bigint")
+
+    def keep(self, rows: list[tuple], chunk: int) -> int:
+        """Puts rows into entries, numbered from ``chunk``, under the first bucket they hold; returns the next number."""
+        parts = defaultdict(list)
+        for row in rows:
+            parts[row[0] // BUCKET_MS if len(rows) > SMALL_ROWS else None].append(row)
+        for part in parts.values():
+            self.waiting.updateValue((min(r[0] for r in part) // BUCKET_MS, chunk), (pickle.dumps(part),))
+            chunk += 1
+        return chunk
+
+    def step(self, held: tuple | None, due: list[tuple]) -> tuple[tuple, pd.DataFrame]:
+        frame = pd.DataFrame(due, columns=["__ms", *(n for n, _ in self.columns)]).sort_values(self.order, kind="stable").reset_index(drop=True)
+        state, values = self.advance(tuple(held[1:]) if held else (None,) * len(self.fields), frame)
+        held = (int(frame.pop("__ms").max()), *state)
+        frame[self.output] = values
+        return held, frame
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, chunk = None, self.chunks.get()[0] if self.chunks.exists() else 0
         for batch in rows:  # one Arrow batch at a time
             ms = batch[self.time].astype("datetime64[us]").astype("int64") // 1000
             kept = batch[[n for n, _ in self.columns]].astype(object)
@@ -53,36 +76,51 @@ class OrderedState(StatefulProcessor):
             for name, kind in self.columns:  # a null elsewhere in the batch has turned whole numbers into floats
                 if kind in WHOLE:
                     kept[name] = pd.Series([None if v is None else int(v) for v in kept[name]], index=kept.index, dtype=object)
-            self.waiting.appendList([(int(t), *values) for t, values in zip(ms, kept.itertuples(index=False))])
+            chunk = self.keep([(int(t), *values) for t, values in zip(ms, kept.itertuples(index=False))], chunk)
             first = int(ms.min()) if first is None else min(first, int(ms.min()))
         if first is not None:
+            self.chunks.update((chunk,))
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
+        chunks = sorted(tuple(k) for k in self.waiting.keys())
         held = self.state.get() if self.state.exists() else None
-        if not rows:
+        if not chunks:
             if self.idle is not None and held is not None and held[0] + self.idle <= mark:
                 self.state.clear()
+                self.chunks.clear()
             return
-        due = pd.DataFrame([tuple(r) for r in rows if r[0] <= mark], columns=["__ms", *(n for n, _ in self.columns)])
-        later = [tuple(r) for r in rows if r[0] > mark]
-        self.waiting.clear()
+        at, opened, due, later = 0, defaultdict(list), [], []
+        while at < len(chunks) or opened:
+            bucket = min([*opened, *(low for low, _ in chunks[at : at + 1])])
+            if bucket * BUCKET_MS > mark:
+                break
+            while at < len(chunks) and chunks[at][0] <= bucket:
+                for row in pickle.loads(self.waiting.getValue(chunks[at])[0]):
+                    opened[row[0] // BUCKET_MS].append(row)
+                self.waiting.removeKey(chunks[at])
+                at += 1
+            for row in opened.pop(bucket, ()):
+                (due if row[0] <= mark else later).append(row)
+            if len(due) >= FRAME_ROWS:
+                held, frame = self.step(held, due)
+                due = []
+                yield frame
+        if due:
+            held, frame = self.step(held, due)
+            yield frame
+        later += [row for rows in opened.values() for row in rows]
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[0] for r in later))
-        if not len(due):
-            return
-        due = due.sort_values(self.order, kind="stable").reset_index(drop=True)
-        state, values = self.advance(tuple(held[1:]) if held else (None,) * len(self.fields), due)
-        last = int(due.pop("__ms").max())
-        self.state.update((last, *state))
-        if self.idle is not None and not later:
-            self.handle.registerTimer(last + self.idle)
-        due[self.output] = values
-        yield due
+            self.chunks.update((self.keep(later, self.chunks.get()[0]),))
+        if held is not None:
+            self.state.update(held)
+        wake = [*(r[0] for r in later), *(low * BUCKET_MS for low, _ in chunks[at : at + 1])]
+        if wake:
+            self.handle.registerTimer(min(wake))
+        elif self.idle is not None and held is not None:
+            self.handle.registerTimer(held[0] + self.idle)
 
     def close(self) -> None:
         pass
