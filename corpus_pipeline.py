@@ -17,8 +17,13 @@ from tickloom.session import tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no recognisable language: without letters, or with all languages about equally likely."""
+    """Drops documents in no recognisable language: without letters, or with all languages about equally likely.
+
+    Without labelled rows no language is known, and only documents without letters go.
+    """
     model = langid.fit(docs)
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = langid.predict(docs, model)
     nothing = F.lit(1.5 / max(len(model.languages), 2))
     rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("ambiguous") & (F.col("score") < nothing))

@@ -185,6 +185,19 @@ def test_language(spark):
     assert langid.predict(docs(spark, []), model).count() == 0
 
 
+def test_sample_of_rows_without_an_id(spark):
+    rows = [(None if name == "aa" else i, f"{word} {i} {word}", name) for i in range(400) for name, word in (("aa", "alpha"), ("bb", "uno"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(table, per_language=40).languages == ("aa", "bb")
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    table = spark.createDataFrame([(1, "clean words", None), (2, "12 !", None), (3, None, None), (4, "élan", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, table, "").collect()) == [1, 4]
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 12])
 def test_codewords_differ(n):
     code = langid.codewords(n).astype(int)

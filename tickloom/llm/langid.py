@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """Learns from a sample of the rows with a text and a language.
 
     ``per_language`` bounds the sample: a language with more rows gives the share of them, by a hash of
-    ``key``, that makes this many on average. Counts are added up in Spark; the driver gets at
+    ``key`` and text, that makes this many on average. Counts are added up in Spark; the driver gets at
     most one row per language and n-gram bucket. Without labelled rows the model knows no
     language.
     """
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     keep = F.lit(0).cast("long")
     for name, n in sorted(sizes.items()):
         keep = F.when(F.col("lang") == name, F.lit(min(steps, steps * per_language // n))).otherwise(keep)
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(steps)) < keep)
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(steps)) < keep)
     counted = sample.select("text", "lang").mapInArrow(_counter, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted.column("lang").to_pylist()))
     counts = np.zeros((len(languages), 2 * GRAMS))
