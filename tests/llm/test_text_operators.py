@@ -239,6 +239,14 @@ def test_winnowing_keeps_least_hashes_rightmost_ties(spark):
             assert len(fp) == (r["n"] > 0)
 
 
+def test_more_places_than_a_code_holds(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "PLACES", 7)
+    texts = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")  # eight 3-grams
+    assert len(winnow.fingerprints(texts).collect()) == 1
+    with pytest.raises(Exception, match="more than 8 units"):
+        winnow.fingerprints(texts.select("doc_id", F.concat("text", F.lit(" k")).alias("text"))).collect()
+
+
 def test_half_edited(spark):
     rows = [(3, "abcdefg"), (-2, "é😀x"), (10, None), (4, ""), (7, "one two three four five six seven eight"), (7, "one two three four five six seven eight"), (None, "first of all"), (12, "tail")]
     got = winnow.half_edited(docs(spark, rows)).collect()

@@ -28,12 +28,13 @@ def gram_hashes(words: Column, k: int) -> Column:
 
 
 def coded(hashes: Column) -> Column:
-    """Hash and place in one number, so that the rightmost of equal hashes is the least."""
-    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
+    """Hash and place in one number, so that the rightmost of equal hashes is the least. Fails where a place has no number."""
+    beyond = F.raise_error(F.lit(f"a text has more than {PLACES + 1} units or words, so its places can't be told apart")).cast("bigint")
+    return F.transform(hashes, lambda h, i: F.when(i <= PLACES, h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i)).otherwise(beyond))
 
 
 def place_of(code: Column) -> Column:
-    """The place (from 0) of a code; texts of 16 million words and more don't fit in a row."""
+    """The place (from 0) of a code."""
     return (F.lit(PLACES) - code.bitwiseAND(F.lit(PLACES))).cast("int")
 
 
