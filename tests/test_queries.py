@@ -114,6 +114,10 @@ def test_every_broken_rule_is_reported(spark):
     assert report.count() == 25 and len(quality.violations(report)) == 25
 
 
+def test_unfinished_survey_items_are_not_claimed():
+    assert not {"P31", "P34", "J23"} & {c for q in QUERIES.values() for c in q.covers}
+
+
 def test_queries_load_without_a_session():
     import subprocess
     import sys

@@ -65,7 +65,7 @@ def asof_nearest_tie(t: Tables):
 
 @query(
     "nearest_within",
-    "J5 J23",
+    "J5",
     f"""WITH {ACTIVITY}, e AS (SELECT user_id, us, event_id AS hit FROM activity WHERE event_type = 'signup'),
     b AS (SELECT a.event_id, a.us, e.us AS bu, e.hit AS bh FROM activity a ASOF LEFT JOIN e ON a.user_id = e.user_id AND a.us >= e.us),
     f AS (SELECT a.event_id, e.us AS fu, e.hit AS fh FROM activity a ASOF LEFT JOIN e ON a.user_id = e.user_id AND a.us <= e.us)

@@ -422,7 +422,7 @@ def contrast_texts(t: Tables):
 
 @query(
     "state_briefing",
-    "P34",
+    "",
     f"""WITH {STATES} SELECT k, n, md5('Map: ' || replace(map_name, 'de_', '') || chr(10) || 'Phase: ' || round_phase || chr(10) || 'Your side: ' || player_side || chr(10) || 'Your health: ' || player_health || ' | armor: ' || player_armor || chr(10)
       || 'Your money: $' || player_money || chr(10) || 'Your weapons: ' || coalesce(weapon_primary, '?') || ' / ' || coalesce(weapon_secondary, '?') || chr(10) || 'Your utility: ' || CASE WHEN len(utility) > 0 THEN array_to_string(utility, ', ') ELSE 'none' END || chr(10)
       || 'Teammates alive (incl. you): ' || alive_teammates || chr(10) || 'Enemies alive: ' || alive_enemies || chr(10) || 'Bomb: ' || bomb_status || chr(10) || 'Enemies currently visible to you: ' || visible_enemies) AS digest FROM states""",
@@ -567,7 +567,7 @@ def json_from_text(t: Tables):
 
 @query(
     "canonical_json",
-    "P31 P40",
+    "P40",
     f"""WITH {STATES} SELECT k, n, '{{"alive_enemies":' || alive_enemies || ',"bomb_status":"' || bomb_status || '","player_health":' || player_health || ',"weapon_primary":' || coalesce('"' || weapon_primary || '"', 'null') || '}}' AS j FROM states""",
 )
 def canonical_json(t: Tables):
