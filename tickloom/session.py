@@ -41,10 +41,12 @@ def tune(spark: SparkSession) -> None:
 
     UTC makes timestamps read alike everywhere. Stages with very many expressions would
     compile into methods the JVM refuses to optimise; above 8000 bytes of bytecode the
-    expressions are compiled in pieces instead.
+    expressions are compiled in pieces instead. Arrow batches are bounded by bytes, because ten
+    thousand long texts would be a batch of any size.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def group_limit(spark: SparkSession) -> int:
