@@ -13,4 +13,4 @@ def load_llm_queries():
 
     for name in MODULES:
         importlib.import_module(f"tickloom.llm.queries.{name}")
-    return dict(QUERIES)
+    return dict(sorted(QUERIES.items(), key=lambda q: int(q[0][2:].split("_")[0])))

@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import checkpoint_dir
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, release: Callable[[], None]) -> None:
+    """Names what frees the tables that ``owner`` keeps in a Python worker between tasks."""
+    _held[owner] = release
+
+
+def only(owner: str) -> None:
+    """Frees what all others than ``owner`` keep in this Python worker: workers outlive stages."""
+    for name, release in _held.items():
+        if name != owner:
+            release()
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tickloom.llm.common import holds, only
+
 CACHE_WORDS = 2_000_000  # distinct words one Python worker remembers; the memory is about 80 MB
-CHUNK_BYTES = 12 << 20  # text encoded at a time
+CHUNK_BYTES = 4 << 20  # text encoded at a time
 _MARK = "\x01"  # stands for a line break before a word while a text is cut
 _BREAK = r"[\s\x0b\x{85}\p{Z}\x{1c}-\x{1f}]"
 # A cut before a space or line break is a word boundary unless white space stands on both sides.
@@ -27,6 +29,7 @@ _PLAIN_SPACED = r"^ [\p{L}\p{N}][\p{L}\p{N}'-]*$"
 _ENDING = r"^(?P<base>.*[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])(?P<end>[.,;:!?]+)$"
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
+holds("encode", _encoders.clear)
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +88,9 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str, spaced: bool) -> WordEncoder:
         """The encoder of this Python worker."""
+        only("encode")
         if (path, spaced) not in _encoders:
+            _encoders.clear()
             _encoders[path, spaced] = cls(path, spaced)
         return _encoders[path, spaced]
 

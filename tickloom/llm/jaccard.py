@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import staged
+from tickloom.llm.common import holds, only, staged
 from tickloom.llm.encode import chunks
 
 SKETCH_BITS = 22  # slots of the frequency sketch; 4 MB when sent to the tasks
 PIECE = 1 << 16  # slots per row while the sketch is added up
 FRAGMENTS = 8
 BROADCAST_ROWS = 2_000_000  # ids that may be sent to every executor (about 32 MB)
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,6 +39,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _P = 0x9E3779B97F4A7C55 | 1
 _powers: list[np.ndarray] = []
+holds("jaccard", _powers.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    only("jaccard")
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK + (1 << 16))
         tables = []
@@ -119,12 +121,12 @@ def _profile(k: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "text_hash", "n", "cls", "piece", "counts"])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for some in chunks(batch, size=CHUNK):
                 sets = list(shingle_sets(some.column("text"), k))
                 names = [_class(s) if len(s) else None for s in sets]
-                sketch += np.bincount(_slots(np.concatenate(sets)), minlength=len(sketch))
+                np.add.at(sketch, _slots(np.concatenate(sets)), np.uint32(1))
                 none = [None] * len(sets)
                 yield rows(some.column("doc_id"), some.column("text_hash"), [len(s) for s in sets], names, none, none)
         low = np.minimum(sketch, 65535).astype("<u2").reshape(-1, PIECE)

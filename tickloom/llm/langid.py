@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import only
 from tickloom.llm.encode import chunks
 
 UNKNOWN = "und"
+CHUNK = 1 << 20  # bytes of text decoded at a time; the n-gram arrays take about 25 times as much
 GRAMS = 1 << 16  # buckets of each n-gram size: all byte pairs, hashed byte triples
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -123,9 +125,10 @@ class LanguageModel:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("langid")
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        for some in chunks(batch):
+        for some in chunks(batch, size=CHUNK):
             _, codes, bounds = gram_codes(some.column("text"))
             names = some.column("lang").dictionary_encode()
             of = np.repeat(names.indices.to_numpy(), np.diff(bounds))
@@ -180,9 +183,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     name = text if carried else "__text"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         names = pa.array([*model.languages, UNKNOWN])
         for batch in batches:
-            for some in chunks(batch, name):
+            for some in chunks(batch, name, CHUNK):
                 texts = some.column(name)
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if model.languages:

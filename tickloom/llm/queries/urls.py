@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tickloom.llm import urls
 from tickloom.llm.registry import Tables, query
 
@@ -13,7 +15,7 @@ BLOCKED = """
 casino-bonus casino-games lucky-casino casinos win-cash lottery-win
 ads adserver ad-banner ads-click adtrack track tracker click-tracking pixel-track casino online-casino casino-slots
 jackpot win-money big-win poker roulette bet bets free-bet sports-bets betting-odds free-spins adult adult-video adults-only
-adult-xxx xxx porn sexcam pills cheap-viagra buy-pills cheap-meds pharmacy-pills spam spam-links link-farm content-farm
+adult-xxx xxx-adult xxx porn sexcam cheap pills pills-cheap spam-farm spam farm-spam cheap-pills free-bets bets-free casino-win win-casino cheap-viagra buy-pills cheap-meds pharmacy-pills spam spam-links link-farm content-farm
 replica-watches payday-loans warez crack-download free-money
 """.split()
 ALLOWED = """
@@ -29,15 +31,20 @@ house mouse round sound ground mountain fountain thousand hand land island engla
 table cable noble double humble people simple temple example apple bottle little cattle battle settle title
 heat wheat great treat theatre-club stone bone alone phone throne horse nurse course force source resource shore store
 history-notes reader leader header older elder holder shoulder colder builder order border recorder garden student
+fashionable questionable objectionable sizeable readable portable terrible sensible author anthem northern southern editor actor doctor
+honest modest antonio tonight wagon lesson person season reason athens theory heron baron
 assistant restaurant elephant giant plant grant important different present parent current event cement moment
 """.split()
-# Each word stands in every one of these places, so that they say nothing by themselves.
+# Each word stands in every one of these places, so that they say nothing by themselves.
 PLACES = ["http://{}.test/en/10", "https://www.{}.test/de/248.html", "http://m.{}.test/fr/5310/", "https://blog.{}.test/es/77?page=2#top", "http://{}.test/"]
 
 
 def labelled(t: Tables):
-    rows = ", ".join(f"('{place.format(word)}', {label})" for words, label in ((BLOCKED, 1), (ALLOWED, 0)) for word in words for place in PLACES)
-    return t.spark.sql(f"SELECT * FROM VALUES {rows} AS labelled(url, blocked)")
+    """A row per word and place: ``word, url, blocked``."""
+    values = ", ".join(f"('{word}', {label})" for words, label in ((BLOCKED, 1), (ALLOWED, 0)) for word in words)
+    words = t.spark.sql(f"SELECT * FROM VALUES {values} AS words(word, blocked)")
+    rows = words.select("word", "blocked", F.explode(F.array(*[F.lit(p) for p in PLACES])).alias("place"))
+    return rows.select("word", F.replace("place", F.lit("{}"), F.col("word")).alias("url"), "blocked")
 
 
 @query("op1_url_filter", "op1")

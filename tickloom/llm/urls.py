@@ -46,10 +46,11 @@ def url_grams(host: Column, path: Column, sizes: Sequence[int] = (3, 4, 5)) -> C
     return F.concat(_grams(host, sizes, "h"), _grams(path, sizes, "p"))
 
 
-def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "blocked", buckets: int = 1 << 18, max_rows: int = 10_000) -> PipelineModel:
+def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "blocked", buckets: int = 1 << 16, max_rows: int = 10_000, iterations: int = 40) -> PipelineModel:
     """Fits the classifier on at most ``max_rows`` labelled URLs (the bound of the sample, by hash of the URL).
 
-    Rows with a null label are left out. ``label`` is 1 for URLs to block.
+    Rows with a null label are left out. ``label`` is 1 for URLs to block. The driver holds a few
+    vectors of ``buckets`` doubles; every iteration sends one to the executors.
     """
     host, path = host_and_path(F.col(url))
     rows = (
@@ -60,7 +61,7 @@ def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "blocked",
         .select("__label", url_grams(F.col("__host"), F.col("__path")).alias("__grams"))
     )
     tf = HashingTF(numFeatures=buckets, binary=True, inputCol="__grams", outputCol="__features")
-    lr = LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw", regParam=0.0003, maxIter=50, standardization=False)
+    lr = LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw", regParam=0.0003, maxIter=iterations, standardization=False)
     return PipelineModel([tf, lr.fit(tf.transform(rows))])
 
 
@@ -92,7 +93,8 @@ def judge_urls(pages: DataFrame, model: PipelineModel, rules: Sequence[tuple[str
 
     ``verdict`` is the longest fitting rule's, else ``block`` from the model's score (probability
     of "block") on, else ``allow``. Null, empty and malformed URLs have an empty host and path,
-    fit no rule and are judged by the model like any other text. Repeated rows are judged alike,
+    fit no rule and are judged by the model like any other text. Every n-gram of a long URL counts,
+    however long it is. Repeated rows are judged alike,
     an empty table gives an empty result.
     """
     made = ("host", "path", "rule", "verdict", "score")
