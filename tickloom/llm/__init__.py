@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["urls", "licences", "tokenids", "jaccard", "packing", "langid", "winnow", "slots", "decontam", "chat", "merkle", "lines"]
+MODULES = ["urls", "licences", "tokenids", "jaccard", "packing", "langid", "winnow", "slots", "decontam", "chat", "merkle", "turns", "lines"]
 
 
 def load_llm_queries():

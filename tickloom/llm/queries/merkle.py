@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import merkle
 from tickloom.llm.common import ascii_lower, scratch
+from tickloom.llm.queries.crc import CRC_TABLE, crc32
 from tickloom.llm.registry import Tables, query
 
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
-SQL = f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+SQL = f"""WITH RECURSIVE {CRC_TABLE},
     d AS (SELECT row_number() OVER () AS rid, doc_id, lang, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
         sha256({_HEAD} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lowered,
-        xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM documents, tab),
+        {crc32("doc_id::VARCHAR")} AS crc FROM documents, crc_table),
     num AS (SELECT *, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS probe, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
     tree(lang, lv, i, n, h) AS (SELECT lang, 0, i, n, leaf FROM num
         UNION ALL SELECT lang, lv + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lang, lv, i // 8),
