@@ -72,6 +72,20 @@ def test_licences(spark):
         6: ("GPL-3.0", "own", None), 7: ("MIT", "own", None), 8: ("GPL-3.0", "inherited", ""), 9: ("GPL-3.0", "inherited", ""), 10: ("MIT", "own", None),
     }
     assert licences.scan(table.limit(0), TEMPLATES, keep=("id",)).count() == 0
+    # rows in another order, and behind a union and a join, have the same licences
+    other = table.unionByName(table.withColumn("id", F.col("id") + 100)).join(spark.range(200).withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
+    for shuffled in (table.repartition(7), other.repartition(5)):
+        again = {r["id"]: (r["licence"], r["how"], r["origin"]) for r in licences.scan(shuffled, TEMPLATES, keep=("id", "licence")).collect()}
+        assert again == {i: got[i % 100] for i in again} and len(again) in (len(got), 2 * len(got))
+
+
+def test_equal_licence_files_of_one_directory(spark):
+    from tickloom.llm.queries.licences import TEMPLATES
+
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    files = spark.createDataFrame([("d/LICENSE.a", mit), ("d/LICENSE.b", gpl), ("d/x", "text"), ("e/LICENSE", mit), ("e/LICENSE", mit), ("e/y", None)], "path string, text string")
+    got = {r["path"]: r["licence"] for r in licences.scan(files, TEMPLATES).collect()}
+    assert got["d/x"] == min("MIT", "GPL-3.0") and got["e/y"] == "MIT"
 
 
 # ---- 4: Jaccard join
@@ -220,10 +234,10 @@ def test_held_out_accuracy(spark):
 def brute_kept(hashes, span):
     kept = []
     for i in range(len(hashes) - span + 1):
-        j = min(range(i, i + span), key=lambda x: (hashes[x] >> 24, -x))
+        j = min(range(i, i + span), key=lambda x: (hashes[x] >> winnow.PLACE_BITS, -x))
         if not kept or kept[-1] != j:
             kept.append(j)
-    return [(j, hashes[j] >> 24) for j in kept]
+    return [(j, hashes[j] >> winnow.PLACE_BITS) for j in kept]
 
 
 def test_winnowing_keeps_least_hashes_rightmost_ties(spark):
@@ -239,12 +253,12 @@ def test_winnowing_keeps_least_hashes_rightmost_ties(spark):
             assert len(fp) == (r["n"] > 0)
 
 
-def test_more_places_than_a_code_holds(spark, monkeypatch):
-    monkeypatch.setattr(winnow, "PLACES", 7)
-    texts = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")  # eight 3-grams
-    assert len(winnow.fingerprints(texts).collect()) == 1
-    with pytest.raises(Exception, match="more than 8 units"):
-        winnow.fingerprints(texts.select("doc_id", F.concat("text", F.lit(" k")).alias("text"))).collect()
+def test_every_place_of_the_longest_text_has_a_number(spark):
+    last = (1 << 31) - 2  # a Spark string has fewer than 2**31 bytes
+    row = spark.range(1).select(F.array(F.lit(-5).cast("bigint"), F.lit(12345678901234567)).alias("h"))
+    code = (F.get("h", F.lit(1)).bitwiseAND(F.lit(~winnow.PLACES))).bitwiseOR(F.lit(winnow.PLACES) - F.lit(last))
+    got = row.select(winnow.place_of(code).alias("place"), winnow.hash_of(code).alias("hash"), F.transform(winnow.coded(F.col("h")), winnow.place_of).alias("places")).first()
+    assert (got["place"], got["hash"], got["places"]) == (last, 12345678901234567 >> 31, [0, 1])
 
 
 def test_half_edited(spark):

@@ -37,7 +37,7 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, k
     kept = F.array_min(coded(gram_hashes(F.col("span"), k)))
     shorter = F.lit(None).cast("bigint")
     for m in range(1, window):  # the hash of all words, made as for documents
-        shorter = F.when(F.size("span") == m, F.shiftright(F.get(gram_hashes(F.col("span"), m), F.lit(0)), 24)).otherwise(shorter)
+        shorter = F.when(F.size("span") == m, hash_of(F.get(gram_hashes(F.col("span"), m), F.lit(0)))).otherwise(shorter)
     distinct = spans.groupBy("window_id").agg(F.first("span").alias("span"))
     windows = distinct.select(
         "window_id", "span", F.size("span").alias("size"), F.when(full, hash_of(kept)).otherwise(shorter).alias("hash"), F.when(full, place_of(kept)).otherwise(F.lit(0)).alias("place")
@@ -46,7 +46,7 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, k
 
 
 def _every_gram(words: Column, m: int) -> Column:
-    return F.transform(gram_hashes(words, m), lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("kind"), F.shiftright(h, 24).alias("hash")))
+    return F.transform(gram_hashes(words, m), lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("kind"), hash_of(h).alias("hash")))
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -88,7 +88,7 @@ def own_licence(files: DataFrame, templates: Templates, threshold: float = 0.6)
     """``row_id, licence, score`` of the files whose best cosine to a template reaches the threshold.
 
     ``files`` has ``row_id, path, text``. Equal scores go to the lesser licence name. Scores are
-    rounded to six digits.
+    rounded to six digits. Repeated rows of one file make its counts greater, not its cosines.
     """
     spark = files.sparkSession
     is_licence = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
@@ -98,6 +98,7 @@ def own_licence(files: DataFrame, templates: Templates, threshold: float = 0.6)
     telling = F.filter(pieces, lambda p: F.arrays_overlap(p["terms"], cue))
     piece = files.select("row_id", F.explode(telling).alias("p")).select("row_id", "p.piece", F.explode("p.terms").alias("term"))
     counted = piece.groupBy("row_id", "piece", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = staged(counted, "licence-terms")  # sentences are cut once for sizes and products
     counted = counted.withColumn("value", F.col("tf") * templates.idf_of(F.col("term")))
     sizes = counted.groupBy("row_id", "piece").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
     dots = counted.join(templates.weights(spark), "term").groupBy("row_id", "piece", "licence", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
@@ -125,11 +126,16 @@ def scan(files: DataFrame, templates: list[tuple[str, str]], path: str = "path",
 
     ``how`` is ``own``, ``inherited`` (``origin`` has the directory) or ``none``. A directory with several
     licence files takes the one with the best score, of equal ones the lesser licence. Null
-    paths are files in the root, null or empty texts have no licence of their own; repeated rows
-    are scanned each by itself; an empty table gives none.
+    paths are files in the root, null or empty texts have no licence of their own; every sentence of
+    a long text counts; an empty table gives none. A file is known by path and text, whatever order the rows
+    come in: rows repeated under both have the same licence. Columns of ``keep`` that are named
+    like one of the result's are left out.
     """
+    keep = tuple(c for c in keep if c not in ("path", "licence", "score", "how", "origin"))
     kept = [F.col(c) for c in keep]
-    rows = files.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"), *[c.alias(f"kept_{i}") for i, c in enumerate(kept)])
+    at = F.coalesce(F.col(path), F.lit(""))
+    name = F.struct(F.xxhash64(at, text).alias("a"), F.xxhash64(F.lit("file"), text, at).alias("b"))
+    rows = files.select(name.alias("row_id"), at.alias("path"), F.col(text).alias("text"), *[c.alias(f"kept_{i}") for i, c in enumerate(kept)])
     n, frequency = document_frequencies(rows, Templates.vocabulary(templates))
     model = Templates(templates, n, frequency)
     own = staged(own_licence(rows, model, threshold), "licences")

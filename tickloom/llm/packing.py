@@ -168,8 +168,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spa
     Columns: ``doc_id, start, length, doc_tokens, sequence_id, offset`` and the piece's ``ids``
     (little-endian unsigned 32-bit) or, without them, ``ids_crc32``. Every id lies in exactly one
     piece; a sequence is full or a power of two long, so nothing is padded. Documents longer
-    than a window fill whole windows first. Only the pieces of windows still open at the end of
-    a partition are cut further.
+    than a window fill whole windows first. A task holds at most ``max_open`` partly filled windows:
+    where one more would open, and at the end of a partition, windows are closed by cutting the pieces
+    of the emptiest into the gaps of the fullest (half of them, and all at the end).
 
     A null text counts as empty and keeps its end id; null and repeated ids are packed like any
     others; other columns are not read; an empty table gives no rows. ``sequence_id`` is unique:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import let, runs
 
 UNIT = r"[\p{L}\p{N}]{1,8}|[^\s\p{L}\p{N}]"
-PLACES = (1 << 24) - 1  # lower bits of a code: the place counted down; the upper 40 bits are the hash
+PLACE_BITS = 31  # no text has more units: a Spark string holds less than 2**31 bytes
+PLACES = (1 << PLACE_BITS) - 1  # lower bits of a code: the place counted down; the upper 33 bits are the hash
 
 
 def gram_hashes(words: Column, k: int) -> Column:
@@ -28,9 +29,8 @@ def gram_hashes(words: Column, k: int) -> Column:
 
 
 def coded(hashes: Column) -> Column:
-    """Hash and place in one number, so that the rightmost of equal hashes is the least. Fails where a place has no number."""
-    beyond = F.raise_error(F.lit(f"a text has more than {PLACES + 1} units or words, so its places can't be told apart")).cast("bigint")
-    return F.transform(hashes, lambda h, i: F.when(i <= PLACES, h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i)).otherwise(beyond))
+    """Hash and place in one number, so that the rightmost of equal hashes is the least."""
+    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
 
 
 def place_of(code: Column) -> Column:
@@ -39,7 +39,7 @@ def place_of(code: Column) -> Column:
 
 
 def hash_of(code: Column) -> Column:
-    return F.shiftright(code, 24)
+    return F.shiftright(code, PLACE_BITS)
 
 
 def selected(hashes: Column, span: int) -> Column:
