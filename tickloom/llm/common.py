@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import checkpoint_dir
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_C = ctypes.CDLL(None)
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -25,6 +30,27 @@ def only(owner: str) -> None:
             release()
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Arrow's pool and the C heap keep it otherwise, and idle workers beside a JVM at work count."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def tidy(owner: str, work: Batches) -> Batches:
+    """``work`` over Arrow batches in a task that frees what others keep before and what is free after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tickloom.llm.common import holds, only
+from tickloom.llm.common import holds
 
 CACHE_WORDS = 2_000_000  # distinct words one Python worker remembers; the memory is about 80 MB
 CHUNK_BYTES = 4 << 20  # text encoded at a time
@@ -88,7 +88,6 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str, spaced: bool) -> WordEncoder:
         """The encoder of this Python worker."""
-        only("encode")
         if (path, spaced) not in _encoders:
             _encoders.clear()
             _encoders[path, spaced] = cls(path, spaced)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import holds, only, staged
+from tickloom.llm.common import holds, staged, tidy
 from tickloom.llm.encode import chunks
 
 SKETCH_BITS = 22  # slots of the frequency sketch; 4 MB when sent to the tasks
@@ -50,7 +50,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    only("jaccard")
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK + (1 << 16))
         tables = []
@@ -228,7 +227,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
     ids = staged(ids, "candidates")
     small = ids.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    cut = texts.mapInArrow(_segments(k), "cls long, fragment int, segment array<long>").groupBy("cls", "fragment").agg(F.first("segment").alias("segment"))
+    cut = texts.mapInArrow(tidy("jaccard", _segments(k)), "cls long, fragment int, segment array<long>").groupBy("cls", "fragment").agg(F.first("segment").alias("segment"))
     cut = staged(cut, "segments")
     left = pairs.join(cut.select(F.col("cls").alias("a"), "fragment", F.col("segment").alias("left")), "a")
     both = left.join(cut.select(F.col("cls").alias("b"), "fragment", F.col("segment").alias("right")), ["b", "fragment"])
@@ -257,7 +256,7 @@ def connected(links: DataFrame) -> DataFrame:
 def frequency_levels(profile: DataFrame) -> np.ndarray:
     """The sketch over all documents, one byte per slot (its size is fixed)."""
     parts = profile.filter(F.col("piece").isNotNull()).select("piece", "counts")
-    summed = parts.repartition(16, "piece").mapInArrow(_levels, "piece int, levels binary").collect()
+    summed = parts.repartition(16, "piece").mapInArrow(tidy("jaccard", _levels), "piece int, levels binary").collect()
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for row in summed:
         levels[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["levels"], np.uint8)
@@ -277,12 +276,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tagged = docs.withColumn("text_hash", F.xxhash64("text"))
-    profile = staged(tagged.mapInArrow(_profile(k), "doc_id long, text_hash long, n long, cls long, piece int, counts binary"), "profile")
+    profile = staged(tagged.mapInArrow(tidy("jaccard", _profile(k)), "doc_id long, text_hash long, n long, cls long, piece int, counts binary"), "profile")
     each = profile.filter(F.col("piece").isNull()).select("doc_id", "text_hash", "n", "cls")
     reps = staged(each.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
 
     levels = frequency_levels(profile)
-    prefix = docs.select("text").mapInArrow(_prefixes(k, num, den, levels), "token long, cls long, n int, pos int")
+    prefix = docs.select("text").mapInArrow(tidy("jaccard", _prefixes(k, num, den, levels)), "token long, cls long, n int, pos int")
     prefix = prefix.repartition("token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     buckets = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "cls", "n")).alias("head")).filter("m > 1")
     met = prefix.join(buckets, "token").select("token", "cls", "n", "pos", F.col("head.cls").alias("c"), F.col("head.n").alias("nc"))

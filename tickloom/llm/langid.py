@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import only
+from tickloom.llm.common import tidy
 from tickloom.llm.encode import chunks
 
 UNKNOWN = "und"
@@ -125,7 +125,6 @@ class LanguageModel:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    only("langid")
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         for some in chunks(batch, size=CHUNK):
@@ -160,7 +159,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     for name, n in sorted(sizes.items()):
         keep = F.when(F.col("lang") == name, F.lit(min(steps, steps * per_language // n))).otherwise(keep)
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(steps)) < keep)
-    counted = sample.select("text", "lang").mapInArrow(_counter, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.select("text", "lang").mapInArrow(tidy("langid", _counter), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted.column("lang").to_pylist()))
     counts = np.zeros((len(languages), 2 * GRAMS))
     place = np.searchsorted(np.array(languages), counted.column("lang").to_numpy())
@@ -183,7 +182,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     name = text if carried else "__text"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("langid")
         names = pa.array([*model.languages, UNKNOWN])
         for batch in batches:
             for some in chunks(batch, name, CHUNK):
@@ -199,4 +197,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], *made], names=[*kept, "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(tidy("langid", judge), schema)

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import tidy
 from tickloom.llm.encode import WordEncoder, chunks
 
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -179,4 +180,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spa
     last = "ids binary" if with_ids else "ids_crc32 long"
     schema = ", ".join(f"{n} long" for n, _ in FIELDS) + f", {last}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_packer(tokenizer, spaced, end_id, capacity, max_open, with_ids), schema)
+    return rows.mapInArrow(tidy("encode", _packer(tokenizer, spaced, end_id, capacity, max_open, with_ids)), schema)

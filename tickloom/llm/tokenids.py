@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import tidy
 from tickloom.llm.encode import WordEncoder, chunks
 
 MANIFEST = "part int, n_docs long, n_null long, n_tokens long"
@@ -90,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-    parts = rows.mapInArrow(_writer(path, tokenizer, spaced, end_id, width), MANIFEST)
+    parts = rows.mapInArrow(tidy("encode", _writer(path, tokenizer, spaced, end_id, width)), MANIFEST)
     parts.write.parquet(f"{path}/parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/parts")
