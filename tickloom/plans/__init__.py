@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["recordings", "lookups", "alignment", "sequences", "states", "corpora", "files", "evaluation", "neighbourhoods", "models", "streams"]
+MODULES = ["recordings", "lookups", "alignment", "sequences", "states", "nested", "corpora", "files", "evaluation", "neighbourhoods", "models", "streams"]
 
 
 def load_queries():

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import quality
 from tickloom.plans.corpora import scratch
 from tickloom.plans.registry import ACTIVITY, Tables, query
-from tickloom.sources import inventory, readers, sinks
+from tickloom.sources import digests, inventory, readers, sinks
 
 
 def stem():
@@ -99,3 +100,31 @@ def schema_documents(t: Tables):
     read = t.spark.read.schema("version string, schema string, vocabularies map<string,array<string>>").json(path)
     n = F.size(F.from_json(F.get_json_object("schema", "$.fields"), "array<string>"))
     return read.select("version", n.alias("n_fields"), F.size(F.col("vocabularies")["flags"]).alias("n_flags"), F.size(F.col("vocabularies")["types"]).alias("n_types"))
+
+
+@query(
+    "file_checksums",
+    "S16 S8",
+    """WITH f AS (SELECT doc_id // 100 AS stem, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1)
+    SELECT 'stem=' || stem AS name, sha256(body) AS sha256, strlen(body)::BIGINT AS bytes, greatest(1, (strlen(body) + 4095) // 4096)::BIGINT AS blocks,
+      CASE stem % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'MISMATCH' WHEN 2 THEN 'SIZE MISMATCH' ELSE 'NO ENTRY' END AS status FROM f
+    UNION ALL SELECT 'stem=gone', NULL, NULL, NULL, 'MISSING'""",
+)
+def file_checksums(t: Tables):
+    """A file per hundred documents, written, read back in byte ranges and as streams, and held against a manifest with faults."""
+    folder = scratch(t)
+    stem = F.floor(F.col("doc_id") / 100)
+    rows = t.documents.select(stem.alias("stem"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows.repartition("stem").sortWithinPartitions("stem", "doc_id").select("stem", "text").write.partitionBy("stem").text(folder)
+    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    files = inventory.list_files(t.spark, folder, ["txt"]).select("path", "bytes")
+    # the manifest from the table itself; a file holds a hundred documents
+    body = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"]), "\n"), F.lit("\n"))
+    known = rows.groupBy("stem").agg(body.alias("body")).filter("stem % 4 <> 3")
+    sha = F.sha2(F.when(F.col("stem") % 4 == 1, F.concat("body", F.lit("?"))).otherwise(F.col("body")), 256)
+    size = F.octet_length("body").cast("long") + F.when(F.col("stem") % 4 == 2, 1).otherwise(0)
+    manifest = known.select(F.concat(F.lit("stem="), F.col("stem").cast("string")).alias("name"), sha.alias("sha256"), size.alias("bytes"))
+    gone = t.spark.range(1).select(F.lit("stem=gone").alias("name"), F.lit("").alias("sha256"), F.lit(0).cast("long").alias("bytes"))
+    have = digests.file_digests(files).select(name.alias("name"), "sha256", "bytes")
+    blocks = digests.block_digests(files, 4096).groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("blocks"))
+    return quality.integrity(have, manifest.unionByName(gone)).join(have, "name", "left").join(blocks, "name", "left")

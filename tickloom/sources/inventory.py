@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import join_on
+from tickloom.sources.digests import file_digests
 
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = (), with_sha: bool = False) -> DataFrame:
-    """``path, name, stem, suffix, bytes`` (and ``sha256``) of the files under a folder.
+    """``path, name, stem, suffix, bytes`` (and ``sha256``) of the files under a folder; empty ones are not listed.
 
-    Content is only read when a checksum is asked for.
+    Content is only read when a checksum is asked for, a few megabytes at a time.
     """
     glob = "*.{" + ",".join(suffixes) + "}" if suffixes else "*"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
@@ -27,7 +28,8 @@ def list_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = (), w
         F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"),
         F.col("length").alias("bytes"),
     ]
-    return files.select(*cols, *([F.sha2("content", 256).alias("sha256")] if with_sha else []))
+    rows = files.select(*cols)
+    return rows.join(file_digests(rows), ["path", "bytes"]).select(*rows.columns, "sha256") if with_sha else rows
 
 
 def labelled(files: DataFrame, labels: DataFrame) -> DataFrame:
