@@ -148,3 +148,38 @@ def test_bootstrap_weights_are_poisson(spark):
     assert abs(m["m"] - 1) < 0.03 and abs(m["v"] - 1) < 0.06
 
 
+
+
+def test_a_stored_index_serves_many_searches_and_grows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 4)) * 100
+    x = np.concatenate([centres[i % 6] + rng.normal(size=4) for i in range(240)]).reshape(-1, 4).round(3)
+
+    def table(rows):
+        return spark.createDataFrame(pd.DataFrame({"id": rows, "vector": [list(v) for v in x[rows]], "y": rows % 3, "ep": rows % 5}))
+
+    first, later, last = np.arange(0, 120), np.arange(120, 200), np.arange(200, 240)
+    index = neighbors.NeighbourIndex.build(table(first), f"{tmp_path}/index", payload=["y"], mask="ep", pivots=12, block_rows=15)
+
+    def check(rows, asked, mask):
+        got = index.search(table(asked), 4, mask).toPandas()
+        d = np.sqrt(((x[asked][:, None] - x[rows][None]) ** 2).sum(-1))
+        if mask:
+            d[(asked % 5)[:, None] == (rows % 5)[None]] = np.inf
+        for i, q in enumerate(asked):
+            mine = got[got.qid == q].sort_values("rank")
+            assert np.allclose(mine.distance, np.sort(d[i])[:4], atol=1e-4) and (mine.y == mine.id % 3).all()
+
+    check(first, np.arange(0, 240, 7), "ep")
+    check(first, np.arange(3, 60), None)
+    index.append(table(later), "ep")
+    index.append(table(last), "ep")
+    check(np.arange(240), np.arange(0, 240, 3), "ep")
+    near_one = np.array([k for k in range(240) if k % 6 == 2])  # one cluster of six
+    found = index.visits(table(near_one), 4, None).select("bin").distinct().count()
+    assert found < index.cells().select("bin").distinct().count()
+    plan = index.search(table(near_one), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bin" in plan or "PartitionFilters: [bin" in plan
+    empty = neighbors.NeighbourIndex.build(table(first).limit(0), f"{tmp_path}/empty", payload=["y"])
+    assert empty.search(table(first), 3).count() == 0
+    assert index.search(table(first).limit(0), 3).count() == 0

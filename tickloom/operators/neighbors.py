@@ -1,6 +1,6 @@
 """Exact nearest neighbours and what they say: outcome spread, state and action values.
 
-``knn`` prunes with pivots (reference points taken from the index). Every index vector
+The index prunes with pivots (reference points taken from the index). Every index vector
 belongs to the cell of its nearest pivot. The distance of a query to its k-th nearest
 eligible pivot already bounds its k-th neighbour, because pivots are index members, so only
 cells that can hold something closer are visited. Small cells share a bin, and a cell above
@@ -11,12 +11,14 @@ returns at most k rows per query. Nothing is dropped: the result equals brute fo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import vocab as V
 from tickloom.operators.ordered import hash_order, join_on, quantiles
+from tickloom.session import scratch
 
 PIVOTS = 64
 BLOCK_ROWS = 20_000
@@ -45,6 +47,214 @@ def pack_cells(sizes: dict[int, int], block_rows: int) -> tuple[dict[int, int],
     return bins, blocks
 
 
+@dataclass(frozen=True)
+class NeighbourIndex:
+    """A stored inverted-file index.
+
+    ``pivots``   the reference points (a sample of the first rows, by a hash of the id);
+    ``rows``     the vectors, partitioned by bin and sorted by block within it;
+    ``cells``    per write and cell: its bin, first block, blocks, rows and the least and greatest distance
+                 to its pivot. An append adds rows in blocks of their own and lines here; nothing is rebuilt.
+    """
+
+    spark: SparkSession
+    path: str
+    metric: str
+    payload: tuple[str, ...]
+    block_rows: int
+
+    @classmethod
+    def build(cls, index: DataFrame, path: str, metric: str = "l2", mask: str | None = None, payload: Sequence[str] = (), pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> NeighbourIndex:
+        """Writes an index of ``id, vector`` (with ``mask`` and ``payload``) to a new folder."""
+        made = cls(index.sparkSession, path, metric, tuple(payload), block_rows)
+        base = made._prepared(index, mask, payload)
+        base.select("id", "vec", "m").orderBy(hash_order(F.col("id")), "id").limit(pivots).coalesce(1).write.parquet(f"{path}/pivots")
+        made._write(base)
+        return made
+
+    def append(self, index: DataFrame, mask: str | None = None) -> None:
+        """Adds rows. Their distances to the pivots widen the cells' ranges; the pivots stay."""
+        self._write(self._prepared(index, mask, self.payload))
+
+    def _prepared(self, df: DataFrame, mask: str | None, extra: Sequence[str] = ()) -> DataFrame:
+        v = unit(F.col("vector")) if self.metric == "cosine" else F.transform("vector", lambda x: x.cast("double"))
+        m = F.col(mask).cast("string") if mask else F.lit(None).cast("string")
+        return df.select(F.col("id").cast("long").alias("id"), v.alias("vec"), m.alias("m"), *extra)
+
+    def _pivots(self):
+        import numpy as np
+
+        sample = self.spark.read.parquet(f"{self.path}/pivots").orderBy("id").collect()  # at most `pivots` rows
+        return np.array([r["vec"] for r in sample]), np.array([r["m"] for r in sample], dtype=object)
+
+    def cells(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/cells")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def _write(self, base: DataFrame) -> None:
+        from pyspark.sql.utils import AnalysisException
+
+        centres, _ = self._pivots()
+
+        def assign(batches):
+            for pdf in batches:
+                if len(pdf):
+                    d = to_pivots(pdf["vec"], centres)
+                    pdf["cell"] = d.argmin(1).astype("int32")
+                    pdf["r"] = d.min(1)
+                    yield pdf
+
+        fields = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
+        staged = scratch(self.spark, "cells")
+        base.mapInPandas(assign, f"{fields}, cell int, r double").write.parquet(staged)
+        celled = self.spark.read.schema(f"{fields}, cell int, r double").parquet(staged)
+        stats = {r["cell"]: r for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+        try:
+            old = [r.asDict() for r in self.cells().collect()]  # a row per write and cell
+        except AnalysisException:
+            old = []
+        bins, blocks = pack_cells({c: r["n"] for c, r in stats.items()}, self.block_rows)
+        if old:  # a cell keeps its bin; new blocks come after the old ones
+            of = {r["cell"]: r["bin"] for r in old}
+            used = {}
+            for r in old:
+                used[r["bin"]] = max(used.get(r["bin"], 0), r["first_block"] + r["blocks"])
+            fresh = max(used) + 1
+            homes = {c: of.get(c, fresh + bins[c]) for c in bins}
+            size: dict[int, int] = {}
+            for c, b in homes.items():
+                size[b] = size.get(b, 0) + stats[c]["n"]
+            first = {b: used.get(b, 0) for b in size}
+            count = {b: -(-n // self.block_rows) for b, n in size.items()}
+        else:
+            homes, first, count = bins, {b: 0 for b in range(len(blocks))}, dict(enumerate(blocks))
+        at = F.col("cell") + 1
+        widest = len(centres)
+
+        def per_cell(values: dict[int, int]) -> Column:
+            return F.element_at(F.array(*[F.lit(int(values.get(c, 0))) for c in range(max(widest, 1))]), at)
+
+        block = per_cell({c: first[b] for c, b in homes.items()}) + F.pmod(F.xxhash64("id"), per_cell({c: count[b] for c, b in homes.items()}))
+        placed = celled.withColumns({"bin": per_cell(homes), "block": block.cast("int")})
+        placed.repartition("bin", "block").sortWithinPartitions("bin", "block", "id").write.mode("append").partitionBy("bin").parquet(f"{self.path}/rows")
+        lines = [(c, homes[c], first[homes[c]], count[homes[c]], r["n"], r["lo"], r["hi"]) for c, r in sorted(stats.items())]
+        text = ", ".join(f"({c}, {b}, {f}, {n}, {m}L, CAST('{lo!r}' AS DOUBLE), CAST('{hi!r}' AS DOUBLE))" for c, b, f, n, m, lo, hi in lines)
+        if lines:
+            self.spark.sql(f"SELECT * FROM VALUES {text} AS cells(cell, bin, first_block, blocks, n, lo, hi)").coalesce(1).write.mode("append").parquet(f"{self.path}/cells")
+
+    def visits(self, queries: DataFrame, k: int, mask: str | None = None) -> DataFrame:
+        """``id, vec, m, bin, block`` for every block that can hold one of a query's ``k`` nearest rows."""
+        import numpy as np
+
+        centres, owners = self._pivots()
+        lines = self.cells().collect()
+        at = sorted({r["cell"] for r in lines})
+        lows = np.array([min(r["lo"] for r in lines if r["cell"] == c) for c in at])
+        highs = np.array([max(r["hi"] for r in lines if r["cell"] == c) for c in at])
+        bin_of = {r["cell"]: r["bin"] for r in lines}
+        bins = sorted(set(bin_of.values()))
+        bin_at = np.array([bin_of[c] for c in at], dtype=int)
+        n_blocks = np.array([max(r["first_block"] + r["blocks"] for r in lines if r["bin"] == b) for b in bins], dtype=int)
+        bins = np.array(bins, dtype=int)
+        apart = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2))
+        at = np.array(at, dtype=int)
+
+        def visit(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                d = to_pivots(pdf["vec"], centres)
+                eligible = np.where(owners[None, :] == pdf["m"].to_numpy(dtype=object)[:, None], np.inf, d) if mask else d
+                bound = np.partition(eligible, k - 1, axis=1)[:, k - 1] if eligible.shape[1] >= k else np.full(len(pdf), np.inf)
+                mine = d.argmin(1)
+                near = d[:, at]
+                low = np.maximum(np.maximum(near - highs, lows - near), 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (near**2 - d.min(1)[:, None] ** 2) / (2 * apart[mine][:, at])
+                low = np.maximum(low, np.where(np.isfinite(plane), plane, 0))
+                wanted_cells = low <= bound[:, None] * (1 + 1e-9) + 1e-9
+                hits = np.stack([wanted_cells[:, bin_at == b].any(1) for b in bins], axis=1)
+                rows, cols = np.nonzero(hits)
+                per = n_blocks[cols]
+                rows, cols = np.repeat(rows, per), np.repeat(cols, per)
+                block = np.concatenate([np.arange(p) for p in per]) if len(per) else np.array([], dtype=int)
+                out = pdf.iloc[rows].reset_index(drop=True)
+                yield pd.DataFrame({"id": out["id"], "vec": out["vec"], "m": out["m"], "bin": bins[cols].astype("int32"), "block": block.astype("int32")})
+
+        return self._prepared(queries, mask).mapInPandas(visit, "id long, vec array<double>, m string, bin int, block int")
+
+    def search(self, queries: DataFrame, k: int, mask: str | None = None) -> DataFrame:
+        """The ``k`` nearest rows of every query; see ``knn``. ``mask`` names the queries' column.
+
+        Only the bins that some query visits are read, and a block goes to those parts of the
+        queries that visit it.
+        """
+        import numpy as np
+
+        payload = list(self.payload)
+        kinds = dict(self.rows().dtypes) if self.cells_known() else {p: "string" for p in payload}
+        schema = "qid long, id long, " + "".join(f"`{p}` {kinds[p]}, " for p in payload) + "distance double"
+        if not self.cells_known():
+            return self.spark.createDataFrame([], f"{schema}, rank int")
+        q_parts = max(1, -(-queries.count() // self.block_rows))
+        part = F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int").alias("part")
+        folder = scratch(self.spark, "visits")
+        self.visits(queries, k, mask).select("*", part).write.parquet(folder)
+        asked = self.spark.read.parquet(folder)
+        where = self.spark.read.parquet(folder).select("bin", "block", "part").distinct()
+        bins = [r["bin"] for r in asked.select("bin").distinct().collect()]  # at most one per pivot
+        stored = self.rows().filter(F.col("bin").isin(bins)).join(where, ["bin", "block"])
+
+        def nearest(qs, xs):
+            import pandas as pd
+
+            found = []
+            if len(qs) and len(xs):
+                xs = xs.sort_values("id", kind="stable").reset_index(drop=True)
+                b = np.stack(xs["vec"].to_numpy())
+                bb = (b * b).sum(1)
+                for start in range(0, len(qs), 512):
+                    piece = qs.iloc[start : start + 512]
+                    a = np.stack(piece["vec"].to_numpy())
+                    d = np.maximum((a * a).sum(1)[:, None] + bb[None, :] - 2 * a @ b.T, 0)
+                    if mask:
+                        d[piece["m"].to_numpy(dtype=object)[:, None] == xs["m"].to_numpy(dtype=object)[None, :]] = np.inf
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    dist = np.take_along_axis(d, top, 1)
+                    r, c = np.nonzero(np.isfinite(dist))
+                    got = xs.iloc[top[r, c]][["id", *payload]].reset_index(drop=True)
+                    got.insert(0, "qid", piece["id"].to_numpy()[r])
+                    got["distance"] = np.sqrt(dist[r, c])
+                    found.append(got)
+            return pd.concat(found) if found else pd.DataFrame({n: [] for n in ("qid", "id", *payload, "distance")})
+
+        unit_key = ["bin", "block", "part"]
+        local = asked.groupBy(*unit_key).cogroup(stored.groupBy(*unit_key)).applyInPandas(nearest, schema)
+        w = Window.partitionBy("qid").orderBy("distance", "id")  # a limit per task precedes the shuffle
+        return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def cells_known(self) -> bool:
+        """Whether anything has been written yet."""
+        from pyspark.sql.utils import AnalysisException
+
+        try:
+            return not self.cells().isEmpty()
+        except AnalysisException:
+            return False
+
+
+def to_pivots(vecs, centres):
+    """Distances of a column of vectors to all pivots."""
+    import numpy as np
+
+    a = np.stack(vecs.to_numpy())
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * a @ centres.T, 0))
+
+
 def knn(
     queries: DataFrame,
     index: DataFrame,
@@ -60,110 +270,11 @@ def knn(
 
     Both tables have ``id`` and ``vector``; ``mask`` names a column whose equal value excludes
     a pair (same episode, or the row itself). Ties in distance go to the smaller id.
-    ``cosine`` searches the unit vectors, where both orders agree.
+    ``cosine`` searches the unit vectors, where both orders agree. The index is written for this
+    call; ``NeighbourIndex`` keeps one for many.
     """
-    import numpy as np
-
-    def prepared(df, extra=()):
-        v = unit(F.col("vector")) if metric == "cosine" else F.transform("vector", lambda x: x.cast("double"))
-        m = F.col(mask).cast("string") if mask else F.lit(None).cast("string")
-        return df.select(F.col("id").cast("long").alias("id"), v.alias("vec"), m.alias("m"), *extra)
-
-    base = prepared(index, payload)
-    sample = base.select("id", "vec", "m").orderBy(hash_order(F.col("id")), "id").limit(pivots).collect()  # at most `pivots` rows
-    centres, owners = np.array([r["vec"] for r in sample]), np.array([r["m"] for r in sample], dtype=object)
-
-    def to_pivots(vecs):
-        a = np.stack(vecs.to_numpy())
-        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * a @ centres.T, 0))
-
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = to_pivots(pdf["vec"])
-                pdf["cell"] = d.argmin(1).astype("int32")
-                pdf["r"] = d.min(1)
-                yield pdf
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    celled = base.mapInPandas(assign, f"{fields}, cell int, r double")
-    stats = {r["cell"]: r for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
-    cells = sorted(stats)  # at most one per pivot
-    bins, blocks = pack_cells({c: stats[c]["n"] for c in cells}, block_rows)
-    bin_at = np.array([bins[c] for c in cells], dtype=int)
-    n_blocks = np.array(blocks, dtype=int)
-    wanted = prepared(queries)
-    q_parts = max(1, -(-wanted.count() // block_rows))
-
-    lows, highs = np.array([stats[c]["lo"] for c in cells]), np.array([stats[c]["hi"] for c in cells])
-    apart = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2))
-    at = np.array(cells, dtype=int)
-
-    def visits(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = to_pivots(pdf["vec"])
-            eligible = np.where(owners[None, :] == pdf["m"].to_numpy(dtype=object)[:, None], np.inf, d) if mask else d
-            bound = np.partition(eligible, k - 1, axis=1)[:, k - 1] if eligible.shape[1] >= k else np.full(len(pdf), np.inf)
-            mine = d.argmin(1)
-            near = d[:, at]
-            low = np.maximum(np.maximum(near - highs, lows - near), 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (near**2 - d.min(1)[:, None] ** 2) / (2 * apart[mine][:, at])
-            low = np.maximum(low, np.where(np.isfinite(plane), plane, 0))
-            wanted_cells = low <= bound[:, None] * (1 + 1e-9) + 1e-9
-            hits = np.stack([wanted_cells[:, bin_at == b].any(1) for b in range(len(n_blocks))], axis=1)
-            rows, cols = np.nonzero(hits)
-            per = n_blocks[cols]
-            rows, cols = np.repeat(rows, per), np.repeat(cols, per)
-            block = np.concatenate([np.arange(p) for p in per]) if len(per) else np.array([], dtype=int)
-            out = pdf.iloc[rows].reset_index(drop=True)
-            yield pd.DataFrame({"id": out["id"], "vec": out["vec"], "m": out["m"], "bin": cols.astype("int32"), "block": block.astype("int32")})
-
-    part = F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int")
-    asked = wanted.mapInPandas(visits, "id long, vec array<double>, m string, bin int, block int").withColumn("part", part)
-    bin_of = F.element_at(F.array(*[F.lit(int(bins.get(c, 0))) for c in range(len(sample))]), F.col("cell") + 1)
-    blocks_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("bin") + 1)
-    stored = (
-        celled.withColumn("bin", bin_of)
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks_of).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    )
-
-    def nearest(qs, xs):
-        import pandas as pd
-
-        found = []
-        if len(qs) and len(xs):
-            xs = xs.sort_values("id", kind="stable").reset_index(drop=True)
-            b = np.stack(xs["vec"].to_numpy())
-            bb = (b * b).sum(1)
-            for start in range(0, len(qs), 512):
-                piece = qs.iloc[start : start + 512]
-                a = np.stack(piece["vec"].to_numpy())
-                d = np.maximum((a * a).sum(1)[:, None] + bb[None, :] - 2 * a @ b.T, 0)
-                if mask:
-                    d[piece["m"].to_numpy(dtype=object)[:, None] == xs["m"].to_numpy(dtype=object)[None, :]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, top, 1)
-                r, c = np.nonzero(np.isfinite(dist))
-                got = xs.iloc[top[r, c]][["id", *payload]].reset_index(drop=True)
-                got.insert(0, "qid", piece["id"].to_numpy()[r])
-                got["distance"] = np.sqrt(dist[r, c])
-                found.append(got)
-        return pd.concat(found) if found else pd.DataFrame({n: [] for n in ("qid", "id", *payload, "distance")})
-
-    types = dict(base.dtypes)
-    schema = "qid long, id long, " + "".join(f"`{p}` {types[p]}, " for p in payload) + "distance double"
-    unit_key = ["bin", "block", "part"]
-    local = asked.groupBy(*unit_key).cogroup(stored.groupBy(*unit_key)).applyInPandas(nearest, schema)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("qid").orderBy("distance", "id")  # a limit per task precedes the shuffle
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    made = NeighbourIndex.build(index, scratch(index.sparkSession, "neighbours"), metric, mask, payload, pivots, block_rows)
+    return made.search(queries, k, mask)
 
 
 def outcome_stats(neighbours: DataFrame, outcome: str) -> DataFrame:
