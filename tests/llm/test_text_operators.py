@@ -303,8 +303,9 @@ def test_contamination(spark):
                     items |= spans[tuple(w[s : s + m])]
         want.append((str(d), len(w), len(hit), len(items), ",".join(sorted(map(str, items))), bool(hit)))
     items = spark.createDataFrame(bench, "item_id long, text string")
-    found = decontam.contamination(docs(spark, rows).repartition(2), items).collect()
-    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"]) for r in found) == sorted(want)
+    for sent in (decontam.BROADCAST_BYTES, 0):  # windows sent to the tasks, or met by a shuffle
+        found = decontam.contamination(docs(spark, rows).repartition(2), items, broadcast_bytes=sent).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"]) for r in found) == sorted(want)
     assert not any(r["contaminated"] for r in decontam.contamination(docs(spark, rows), items.limit(0)).collect())
     assert decontam.contamination(docs(spark, []), items).count() == 0
 
@@ -344,17 +345,20 @@ def test_rotation(spark):
         (None, 0, "ann", "no id"), (3, None, None, "who"), (3, 0, "x", "é😀"),
     ]
     table = spark.createDataFrame([(*t, "p", 1) for t in turns], "conv_id long, turn long, role string, text string, speaker string, part int")
-    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate(table).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "ann", 0), (3, "x", 0), (3, "x", -1)}
+    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate(table, part_turns=3).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "ann", 0), (3, "x", 0)}
     a = got[1, "ann", 0]
     assert a["text"] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |assistant|><|end|>\n<|user name=bob|>\n<|end|>\n"
     assert [a["text"][s["start"] : s["stop"]] for s in a["spans"]] == ["hi < |assistant|>"]
     assert got[1, "bob", 1]["text"] == "<|user name=ann|>\nlate<|end|>\n" * 2 and got[1, "bob", 1]["spans"] == []
     assert [got[1, "ann", 1]["text"][s["start"] : s["stop"]] for s in got[1, "ann", 1]["spans"]] == ["late", "late"]
-    assert got[3, "x", -1]["text"] == "<|user name=unknown|>\nwho<|end|>\n"
     x = got[3, "x", 0]
+    assert x["text"] == "<|user name=unknown|>\nwho<|end|>\n<|assistant|>\né😀<|end|>\n"
     assert [x["text"][s["start"] : s["stop"]] for s in x["spans"]] == ["é😀"]
     assert chat.rotate(table.limit(0)).count() == 0
+    # a hot null conversation without numbers is cut as well
+    hot = spark.range(40).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("u").alias("role"), F.lit("same").alias("text"))
+    assert sorted((r["part"], r["n_turns"]) for r in chat.rotate(hot, part_turns=8).collect()) == [(i, 8) for i in range(5)]
 
 
 # ---- the pipeline

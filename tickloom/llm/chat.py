@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import let_array
+from tickloom.llm.ranks import ranked
 
 SYSTEM = "system"
 
@@ -30,18 +31,20 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     line break; ``<|`` in contents and names becomes ``< |``. ``spans`` are the speaker's contents as
     ``struct(start, stop)`` in characters of the part's text.
 
-    Turns are ordered by number (null first), role and text. A part holds the turns whose
-    numbers have the same quotient by ``part_turns``, so that a conversation of any length is never
-    gathered in one row; its parts, in order, are the whole dialogue (null numbers: part -1).
-    Repeated turns stay. A null role speaks as the user ``unknown`` and is no participant; a null
+    Turns are ordered by number (null first), role and text. A part holds ``part_turns`` consecutive
+    turns, whatever their numbers, so that a conversation of any length is never gathered in one row;
+    its parts, in order, are the whole dialogue. Repeated turns stay. A null role speaks as the user ``unknown`` and is no participant; a null
     text is empty; a null conversation id is a conversation of its own. A conversation of system
     turns only, or an empty table, gives no rows. Other columns are not read.
     """
     rows = turns.select(
         F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), _safe(F.col(text)).alias("content")
     )
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
-    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", F.coalesce("role", F.lit("")).alias("order_role"), "content", "role"))).alias("turns"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    rows = ranked(rows.select("*", key.alias("conv"), F.coalesce("role", F.lit("")).alias("order_role")), "conv", ["turn", "order_role", "content"], "dialogue")
+    part = F.floor(F.col("idx") / part_turns).cast("long")
+    turn_of = F.struct("idx", "content", "role")
+    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(turn_of)).alias("turns"))
     speakers = rows.filter(F.col("role").isNotNull() & (F.col("role") != SYSTEM)).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
     views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
 

@@ -17,7 +17,7 @@ from tickloom.llm.common import ascii_lower, let_array, runs, staged
 from tickloom.llm.winnow import coded, gram_hashes, hash_of, place_of, selected
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # Fixed value: the pattern of a word after A-Z are lower-cased
-BROADCAST_WINDOWS = 1_000_000  # benchmark windows that may be sent to every executor (about 200 MB)
+BROADCAST_BYTES = 32 << 20  # of the benchmark's windows, counted before they are sent to the tasks
 
 
 def words_of(text: Column) -> Column:
@@ -49,7 +49,7 @@ def _every_gram(words: Column, m: int) -> Column:
     return F.transform(gram_hashes(words, m), lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("kind"), hash_of(h).alias("hash")))
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Where windows of the benchmark occur in documents.
 
     ``docs`` has ``row_id``, unique per document, and the text. The first result has a row per
@@ -64,13 +64,20 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     grams += [_every_gram(F.col("words"), m) for m in short]
     nothing = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("hash")))
     grams = F.concat(nothing, *grams)  # every document keeps one row
-    rows = words.select("row_id", "words", F.explode(grams).alias("gram"))
     start = F.col("gram.at") - F.col("place")
-    found = (F.col("gram.hash") == F.col("hash")) & (F.col("gram.kind") == F.col("size")) & (start >= 0) & (F.slice("words", start + 1, F.col("size")) == F.col("span"))
-    small = windows.count() <= BROADCAST_WINDOWS
-    hits = rows.join(F.broadcast(windows) if small else windows, found, "left")
+    met = (F.col("gram.hash") == F.col("hash")) & (F.col("gram.kind") == F.col("size")) & (start >= 0)
+    held = windows.agg(F.sum(F.octet_length(F.array_join("span", " ")) + 16 * F.size("span") + 100)).first()[0] or 0
+    if held <= broadcast_bytes:
+        rows = words.select("row_id", F.size("words").alias("n_words"), "words", F.explode(grams).alias("gram"))
+        hits = rows.join(F.broadcast(windows), met & (F.slice("words", start + 1, F.col("size")) == F.col("span")), "left")
+    else:  # a gram travels with the words that a window around it can reach, not with the whole text
+        reach = window - k
+        near = let_array(F.col("words"), lambda w: F.transform(grams, lambda g: F.struct(g["at"].alias("at"), g["kind"].alias("kind"), g["hash"].alias("hash"), F.slice(w, F.greatest(g["at"] - reach, F.lit(0)) + 1, F.lit(window + reach)).alias("around"))))
+        rows = words.select("row_id", F.size("words").alias("n_words"), F.explode(near).alias("gram"))
+        inside = start - F.greatest(F.col("gram.at") - reach, F.lit(0)) + 1
+        hits = rows.join(windows, met & (F.slice("gram.around", F.greatest(inside, F.lit(1)), F.col("size")) == F.col("span")), "left")
     hits = hits.filter(F.col("window_id").isNotNull() | (F.col("gram.at") < 0))
-    return hits.select("row_id", F.size("words").alias("n_words"), F.when(F.col("window_id").isNotNull(), start).alias("at"), "window_id", "size"), members
+    return hits.select("row_id", "n_words", F.when(F.col("window_id").isNotNull(), start).alias("at"), "window_id", "size"), members
 
 
 def covered(spans: Column) -> Column:
@@ -85,7 +92,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["total"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: ``row_id``, the id, ``text_hash, n_words, n_hit, n_items, items, spans, contaminated``.
 
     A word is hit if it lies in an occurrence of one of the benchmark's windows. ``items`` are the
@@ -95,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     listed. Empty tables give an empty result or no hits. Other columns are not read.
     """
     key = F.struct(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    hits, members = window_hits(docs.select(key.alias("row_id"), F.col(text).alias("text")), benchmark, "text", item, item_text, window, k)
+    hits, members = window_hits(docs.select(key.alias("row_id"), F.col(text).alias("text")), benchmark, "text", item, item_text, window, k, broadcast_bytes)
     spans = F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "size")))
     found = hits.groupBy("row_id").agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.collect_set("window_id").alias("window_ids"))
     both = (

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tickloom.llm import chat
 from tickloom.llm.registry import Tables, query
 
-SQL = """WITH c AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS content, coalesce(turn // 256, -1) AS part FROM conversations),
+SQL = """WITH c AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), content) - 1) // 256 AS part FROM c),
     s AS (SELECT DISTINCT conv_id AS of, role AS speaker FROM c WHERE role <> 'system'),
-    m AS (SELECT c.*, speaker, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
-        ELSE '<|user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' END || chr(10) AS head FROM c JOIN s ON conv_id IS NOT DISTINCT FROM of),
+    m AS (SELECT p.*, speaker, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
+        ELSE '<|user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' END || chr(10) AS head FROM p JOIN s ON conv_id IS NOT DISTINCT FROM of),
     n AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(head) + length(content) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
         FROM m WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, coalesce(role, ''), content))
     SELECT conv_id, speaker, part::BIGINT AS part, count(*)::INTEGER AS n_turns, count(*) FILTER (role = speaker)::INTEGER AS n_own,
