@@ -112,6 +112,7 @@ def with_categories(df: DataFrame, column: str, name: str = "categories", groups
 # How an object is found in a response.
 FENCED_OBJECT = r"```(?:json)?\s*(\{[\s\S]*?\})\s*```"
 OUTER_OBJECT = r"\{[\s\S]*\}"
+SPACES = " \t\n\r\f\v"
 
 
 def json_object(text: Column) -> Column:
@@ -124,9 +125,11 @@ def json_object(text: Column) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    """Content of the first fenced block that holds an object, else the trimmed text."""
-    body = F.regexp_extract(F.trim(text), r"^```\s*(?:json)?\s*(\{[\s\S]*?)\s*(?:```|$)", 1)
-    return F.when(body != "", body).otherwise(F.trim(text))
+    """Of a text that opens with a fence the first fenced part that starts with a brace (a leading ``json`` apart), else the trimmed text."""
+    whole = F.trim(text, F.lit(SPACES))
+    parts = F.transform(F.split(whole, "```"), lambda p: F.trim(F.regexp_replace(F.trim(p, F.lit(SPACES)), r"\Ajson", ""), F.lit(SPACES)))
+    body = F.get(F.filter(parts, lambda p: F.startswith(p, F.lit("{"))), F.lit(0))
+    return F.when(F.startswith(whole, F.lit("```")), F.coalesce(body, whole)).otherwise(whole)
 
 
 def format_gate(text: Column, sections: Sequence[str] = ("game_state", "analysis", "advice")) -> Column:
@@ -402,9 +405,11 @@ def briefing(c=F.col) -> Column:
 
 
 def picked(options: Sequence[str | Column], *key: Column, seed: int = 0) -> Column:
-    """One of the options, chosen by the hash of ``key``."""
+    """One of the options, chosen by the SHA-256 of ``key`` and ``seed`` joined by colons (its first eight hex digits)."""
     array = F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options])
-    return F.element_at(array, (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(len(options))) + 1).cast("int"))
+    digest = F.sha2(F.concat_ws(":", *[k.cast("string") for k in key], F.lit(str(seed))), 256)
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.element_at(array, (number % len(options) + 1).cast("int"))
 
 
 def value_phrase(percent_ct: Column, *key: Column) -> Column:

@@ -6,15 +6,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.metrics import auc
 from tickloom.operators.ordered import join_on
 from tickloom.operators.splits import nested_subset
+from tickloom.session import cut_lineage
 
 
 def as_vector(rows: DataFrame, vector: str, name: str = "features") -> DataFrame:
@@ -120,14 +120,67 @@ def variance_components(rows: DataFrame, vector: str, size: int, levels: Sequenc
     return sums.agg(picks.alias("p")).select(F.inline("p"))
 
 
-def codebook_report(rows: DataFrame, vector: str, codes: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Reconstruction error per key and how many codes are used, for a k-means codebook."""
-    feats = as_vector(rows, vector)
-    model = KMeans(k=codes, seed=seed, maxIter=20, featuresCol="features", predictionCol="code").fit(feats)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    coded = model.transform(feats).withColumn("__c", F.element_at(centres, F.col("code") + 1))
-    err = F.aggregate(F.zip_with(F.col(vector), F.col("__c"), lambda x, y: (x.cast("double") - y) ** 2), F.lit(0.0), lambda a, x: a + x)
-    return coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(err)).alias("rmse"), F.count_distinct("code").alias("codes_used"))
+def lloyd(rows: DataFrame, key: str, vector: str, codes: int, rounds: int) -> list[list[float]]:
+    """Centres of a codebook after ``rounds`` Lloyd steps.
+
+    The first centres are the rows whose keys have the least MD5 sums (of equal keys the least vectors). A step is one aggregation; the
+    driver holds the centres. A code that no row takes keeps its centre.
+    """
+    first = rows.select(vector, key).orderBy(F.md5(F.col(key).cast("string")), key, vector).limit(codes).collect()  # `codes` rows
+    centres = [[float(x) for x in r[vector]] for r in first]
+    for _ in range(rounds):
+        sums = [F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"c{i}") for i in range(len(centres[0]) if centres else 0)]
+        if not sums:
+            break
+        for r in rows.withColumn("code", nearest_code(F.col(vector), centres)).groupBy("code").agg(*sums).collect():
+            centres[r["code"]] = [r[f"c{i}"] for i in range(len(sums))]
+    return centres
+
+
+def _squared(vector: Column, centre: Column) -> Column:
+    return F.aggregate(F.zip_with(vector, centre, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+
+
+def nearest_code(vector: Column, centres: Sequence[Sequence[float]]) -> Column:
+    """Index of the nearest centre, of equally near ones the least."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    ranked = F.transform(table, lambda c, i: F.struct(_squared(vector, c).alias("d"), i.alias("code")))
+    return F.array_min(ranked)["code"]
+
+
+def codebook_report(rows: DataFrame, key: str, vector: str, codes: int, by: Sequence[str], rounds: int = 8) -> DataFrame:
+    """Reconstruction error per group and how many codes are used, for a codebook of ``lloyd``."""
+    centres = lloyd(rows, key, vector, codes, rounds)
+    table = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    coded = rows.withColumn("code", nearest_code(F.col(vector), centres))
+    coded = coded.withColumn("err", _squared(F.col(vector), F.element_at(table, F.col("code") + 1)))
+    return coded.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("err")).alias("rmse"), F.count_distinct("code").alias("codes_used"))
+
+
+def bradley_terry(wins: DataFrame, rounds: int = 20) -> DataFrame:
+    """``item, strength`` after ``rounds`` minorise-maximise steps over ``winner, loser, n``.
+
+    Every step sets an item's strength to its wins over the sum of ``games / (own + other's strength)``, then
+    scales all to a mean of 1. Pairs of an item with itself are left out, items without a win have strength 0.
+    """
+    played = wins.filter("winner <> loser").groupBy("winner", "loser").agg(F.sum("n").alias("n"))
+    both = played.select(F.col("winner").alias("item"), F.col("loser").alias("other"), F.col("n").alias("won"), "n")
+    both = both.unionByName(played.select(F.col("loser").alias("item"), F.col("winner").alias("other"), F.lit(0).cast("long").alias("won"), "n"))
+    games = cut_lineage(both.groupBy("item", "other").agg(F.sum("won").alias("won"), F.sum("n").alias("n")))
+    strengths = games.select("item").distinct().withColumn("strength", F.lit(1.0))
+    for _ in range(rounds):
+        own, theirs = strengths.select("item", "strength"), strengths.select(F.col("item").alias("other"), F.col("strength").alias("against"))
+        met = games.join(own, "item").join(theirs, "other")
+        step = met.groupBy("item").agg((F.sum("won") / F.sum(F.try_divide(F.col("n"), F.col("strength") + F.col("against")))).alias("raw"))
+        scale = step.agg(F.avg("raw").alias("mean"))
+        strengths = cut_lineage(step.crossJoin(scale).select("item", F.coalesce(F.try_divide("raw", "mean"), F.lit(0.0)).alias("strength")))  # one row
+    return strengths
+
+
+def unit_interval(score: Column) -> Column:
+    """A score in [0, 1] as it is, any other through the logistic function."""
+    x = score.cast("double")
+    return F.when(x.between(0.0, 1.0), x).otherwise(1 / (1 + F.exp(-x)))
 
 
 def embed_rows(rows: DataFrame, columns: Sequence[str], make_predict: Callable, name: str = "embedding", batch: int = 1024) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import encode
 from tickloom.functions import vocab as V
-from tickloom.operators import metrics, ordered, quality, windows
+from tickloom.operators import metrics, ordered, quality, sketches, windows
 from tickloom.plans.registry import ACTIVITY, Tables, query
 from tickloom.plans.sequences import ID, USER, W, is_type, positions
+from tickloom.session import scratch
 
 HOUR = 3_600_000_000
 
@@ -200,7 +201,17 @@ def match_deltas(t: Tables):
     return ordered.quantiles(deltas, [], "delta", {"lo": 0.0, "hi": 1.0, "p95": 0.95}, method="nearest")
 
 
-@query("greedy_matches", "J21")
+# Each detection in order takes the nearest truth that is left; of equally near ones the earlier.
+@query(
+    "greedy_matches",
+    "J21",
+    f"""WITH RECURSIVE {ACTIVITY}, d AS (SELECT user_id, list(us ORDER BY us) AS ds FROM activity WHERE value > 60 GROUP BY 1), r AS (SELECT user_id, list(us ORDER BY us) AS ts FROM activity WHERE event_type IN ('error', 'click') GROUP BY 1),
+    u AS (SELECT user_id, coalesce(ds, []) AS ds, coalesce(ts, []) AS ts FROM d FULL JOIN r USING (user_id)),
+    w AS (SELECT user_id, ds, ts, 0 AS i, []::BIGINT[] AS used FROM u
+      UNION ALL SELECT user_id, ds, ts, i + 1, CASE WHEN near IS NULL THEN used ELSE list_append(used, near.k) END FROM (
+        SELECT *, list_sort(list_transform(list_filter(range(1, len(ts) + 1), lambda k: abs(ts[k] - ds[i + 1]) <= {4 * HOUR} AND NOT list_contains(used, k)), lambda k: {{'gap': abs(ts[k] - ds[i + 1]), 'k': k}}))[1] AS near FROM w WHERE i < len(ds)))
+    SELECT user_id, len(used)::BIGINT AS tp, (len(ds) - len(used))::BIGINT AS fp, (len(ts) - len(used))::BIGINT AS fn FROM w WHERE i = len(ds)""",
+)
 def greedy_matches(t: Tables):
     det, tru = t.activity.filter("value > 60").select("user_id", "us"), t.activity.filter(F.col("event_type").isin("error", "click")).select("user_id", "us")
     return metrics.greedy_matches(det, tru, USER, "us", 4 * HOUR)
@@ -418,3 +429,16 @@ def table_digest(t: Tables):
     a = quality.table_digest(t.lineitem).withColumnRenamed("digest", "d1")
     b = quality.table_digest(t.lineitem.orderBy("l_extendedprice")).withColumnRenamed("digest", "d2")
     return a.join(b, "n").select("n", (F.col("d1") == F.col("d2")).alias("stable"))
+
+
+@query("sketch_edges", "A5 A17", """SELECT event_type, count(*) AS n, true AS within FROM events GROUP BY 1""")
+def sketch_edges(t: Tables):
+    """Displacement edges from stored daily sketches; ``within`` measures their ranks against all rows."""
+    shares = [i / 6 for i in range(1, 6)]
+    rows = t.events.select("event_type", F.to_date("ts").alias("day"), "value")
+    folder = scratch(t.spark, "sketches")
+    sketches.write_sketches(rows, folder, ["event_type"], "day", "value")
+    stored = sketches.merged(t.spark.read.parquet(folder), ["event_type"])
+    edges = stored.select("event_type", sketches.sketch_quantiles(F.col("sketch"), shares).alias("edges"))
+    found = sketches.rank_errors(rows, edges, ["event_type"], "value", shares)
+    return found.select("event_type", "n", (F.col("error") <= 2 * sketches.rank_error()).alias("within"))

@@ -621,7 +621,37 @@ def conversation_rows(t: Tables):
     )
 
 
-@query("foresight_phrases", "P35")
+def sql_pick(options, key: str) -> str:
+    """One of the options by the SHA-256 of ``key``, as ``text.picked`` chooses."""
+    return f"[{', '.join(options)}][(('0x' || sha256({key})[1:8])::BIGINT % {len(options)} + 1)::INT]"
+
+
+def sql_phrase(*options: str) -> str:
+    return sql_pick(options, "k || ':' || n || ':1'")
+
+
+TEAM = {
+    "still": sql_pick(["'CT to hold position'", "'CT to stay put'"], "k || ':' || n || ':CT:3'"),
+    "push": sql_pick(["'a coordinated CT push (' || m || ' players)'", "m || ' CT players pushing together'"], "k || ':' || n || ':CT:3'"),
+    "spread": sql_pick(["m || ' CT players pushing from spread positions'", "'scattered fast movement from ' || m || ' CT players'"], "k || ':' || n || ':CT:3'"),
+    "few": sql_pick(["alive_teammates || ' ' || noun || ' repositioning'", "alive_teammates || ' ' || noun || ' on the move'"], "k || ':' || n || ':CT:3'"),
+}
+
+
+@query(
+    "foresight_phrases",
+    "P35",
+    f"""WITH {STATES}, b AS (SELECT *, l_quantity * 2 AS now, l_quantity * 2 + l_discount * 100 - 5 AS later, alive_teammates + 1 AS m, CASE WHEN alive_teammates > 1 THEN 'CT players' ELSE 'CT player' END AS noun,
+      list_transform(range(1, alive_teammates + 2), lambda i: (i * l_partkey % 16) * 0.39269908169872414) AS turns FROM states),
+    e AS (SELECT *, abs(now - 50) AS edge, CASE WHEN now >= 50 THEN 'CT' ELSE 'T' END AS side, CASE WHEN later > now THEN 'edge up slightly' ELSE 'soften slightly' END AS drift,
+      sqrt(list_avg(list_transform(turns, lambda x: cos(x))) ** 2 + list_avg(list_transform(turns, lambda x: sin(x))) ** 2) AS together FROM b)
+    SELECT k, n, CASE WHEN edge < 6 THEN {sql_phrase("'the round is roughly even'", "'this is close to a coin-flip'", "'neither side holds a clear edge'")}
+        WHEN edge < 18 THEN {sql_phrase("side || ' is modestly favoured'", "side || ' holds a slight edge'", "'the model leans ' || side")}
+        ELSE {sql_phrase("side || ' is in a strong position'", "side || ' is clearly favoured'", "'the model reads this as a ' || side || '-sided round'")} END
+      || printf(' (CT win probability ~%.0f%%)', now) || '.' || CASE WHEN abs(later - now) < 3 THEN '' ELSE
+        {sql_pick(["' The model expects CT''s read to ' || drift || ' over the next few seconds.'", "' Over the next few seconds the model sees this ' || drift || '.'"], "k || ':' || n || ':2'")} END
+      || ' The model expects ' || CASE WHEN alive_teammates = 0 THEN {TEAM["still"]} WHEN m >= 2 AND together > 0.6 THEN {TEAM["push"]} WHEN m >= 2 THEN {TEAM["spread"]} ELSE {TEAM["few"]} END || '.' AS target FROM e""",
+)
 def foresight_phrases(t: Tables):
     key = [F.col("k"), F.col("n")]
     now, later = F.col("l_quantity") * 2, F.col("l_quantity") * 2 + F.col("l_discount") * 100 - 5
