@@ -19,7 +19,7 @@ def test_bradley_terry_equals_the_iteration(spark):
             won[items.index(a), items.index(b)] += n
     games, p = won + won.T, np.ones(len(items))
     for _ in range(6):
-        p = won.sum(1) / (games / (p[:, None] + p[None, :])).sum(1)
+        p = won.sum(1) / np.divide(games, p[:, None] + p[None, :], out=np.zeros_like(games), where=games > 0).sum(1)
         p /= p.mean()
     got = {r["item"]: r["strength"] for r in ml.bradley_terry(spark.createDataFrame(rows, "winner string, loser string, n long"), 6).collect()}
     assert got.keys() == set(items) and np.allclose([got[i] for i in items], p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +104,12 @@ def with_behaviour(df: DataFrame, column: str, name: str = "behaviour", light: b
     return counted.withColumn(name, F.struct(*[e.alias(n) for n, e in fields.items()])).drop("__low", *[f"__kw_{n}" for n in lists])
 
 
+def read_once(df: DataFrame, column: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``read`` applied to each distinct text of a column, joined back: templated texts repeat far more often than they differ."""
+    known = read(df.select(F.col(column).alias("__text")).distinct().withColumn(column, F.col("__text"))).drop(column)
+    return df.join(known, F.col(column).eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
 def with_categories(df: DataFrame, column: str, name: str = "categories", groups: dict[str, Sequence[str]] = V.ACTION_WORDS) -> DataFrame:
     """Sorted action categories a text mentions."""
     return df.withColumn("__low", F.lower(column)).withColumn(name, mentions(F.col("__low"), groups)).drop("__low")

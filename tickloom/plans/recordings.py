@@ -12,6 +12,7 @@ from tickloom.functions import vocab as V
 from tickloom.operators import align, frames, ordered, samples, windows
 from tickloom.operators.ordered import join_on
 from tickloom.plans.registry import ACTIVITY, Tables, query
+from tickloom.session import scratch
 
 HOUR = 3_600_000_000
 
@@ -134,7 +135,9 @@ def round_frames_global(t: Tables):
 
 
 def built(t: Tables):
-    return frames.build(ticks(t), kills(t), bomb(t), rounds(t), header(t), 2)
+    folder = scratch(t.spark, "ticks")  # ticks are an aggregate here; written once, as they come in a recording
+    ticks(t).write.parquet(folder)
+    return frames.build(t.spark.read.parquet(folder), kills(t), bomb(t), rounds(t), header(t), 2)
 
 
 @query(

@@ -459,8 +459,8 @@ def heard(t: Tables) -> DataFrame:
       coalesce(CASE WHEN st THEN 0.2 WHEN NOT st THEN 0.8 END, 0.5)::DOUBLE AS delay FROM behaved""",
 )
 def keyword_direction(t: Tables):
-    read = text.with_behaviour(heard(t).select("k", "n", "txt"), "txt", "b")
-    return text.with_categories(read, "txt").select(
+    read = text.read_once(heard(t).select("k", "n", "txt"), "txt", lambda texts: text.with_categories(text.with_behaviour(texts, "txt", "b"), "txt"))
+    return read.select(
         "k", "n", F.coalesce("b.movement_direction", F.lit(9)).cast("long").alias("movement"), F.coalesce("b.objective_direction", F.lit(9)).cast("long").alias("objective"),
         F.array_join("b.utility_used", ",").alias("utility"), F.array_join("categories", ",").alias("categories"), scoring.judge_score(F.col("b.engagement_delay")).alias("delay"),
     )
