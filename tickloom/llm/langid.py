@@ -139,7 +139,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, table in total.items():
         table[:, 0] = 0
         at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(table.ravel()[at])], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(table.ravel()[at])], names=["lang", "gram", "n"])
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 2000) -> LanguageModel:
