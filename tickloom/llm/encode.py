@@ -1,8 +1,8 @@
 """Vectorised word-wise encoding with the ``tokenizers`` library inside Arrow tasks.
 
 Both tokenizers used here cut a text into words before any merge, so a text's ids are the ids
-of its words one after another. Each task therefore encodes every distinct word once, through
-the library, and builds the documents from the cached ids. Where a cut at a space or line
+of its words one after another. Each task therefore encodes the distinct words of a piece of
+text once, through the library, remembers the first of them, and builds the documents from their ids. Where a cut at a space or line
 break would not be a word boundary of the tokenizer, the whole text goes through the library.
 """
 
@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from tickloom.llm.common import holds
 
-CACHE_WORDS = 2_000_000  # distinct words one Python worker remembers; the memory is about 80 MB
-CHUNK_BYTES = 1 << 20  # text encoded at a time
+CACHE_WORDS = 300_000  # distinct words one Python worker remembers; rarer ones are encoded wherever they stand
+CHUNK_BYTES = 2 << 20  # text encoded at a time
 _MARK = "\x01"  # stands for a line break before a word while a text is cut
 _BREAK = r"[\s\x0b\x{85}\p{Z}\x{1c}-\x{1f}]"
 # A cut before a space or line break is a word boundary unless white space stands on both sides.
@@ -43,30 +43,33 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple
 
 
 class _Words:
-    """Ids of the words seen so far: a growing Arrow array of words beside their flat ids."""
+    """Ids of the words seen first, which are mostly the frequent ones: an Arrow array of words beside their flat ids."""
 
     def __init__(self, encode):
         self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
         self.words = pa.array([], pa.large_string())
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def lookup(self, words: pa.Array) -> np.ndarray:
-        """Row of each (distinct) word; unknown words are encoded first."""
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, where each row of them starts, and the row of each (distinct) word. Unknown words are encoded
+        and, while there is room, remembered."""
         at = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(at))
-        if len(new):
-            if len(self.words) and len(self.words) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = words
-            new, flat, sizes = self.encode(new)
-            self.flat = np.concatenate([self.flat, flat])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        if not missing.any():
+            return self.flat, self.starts, row
+        asked = words.filter(pa.array(missing))
+        new, ids, sizes = self.encode(asked)
+        row[missing] = len(self.words) + pc.index_in(asked, value_set=new).to_numpy(zero_copy_only=False)
+        flat = np.concatenate([self.flat, ids])
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        room = CACHE_WORDS - len(self.words)
+        if room > 0:
+            kept = min(room, len(new))
+            self.words = pa.concat_arrays([self.words, new.slice(0, kept)])
+            self.starts = starts[: len(self.words) + 1].copy()
+            self.flat = flat[: self.starts[-1]].copy()
+        return flat, starts, row
 
 
 class WordEncoder:
@@ -170,8 +173,8 @@ class WordEncoder:
         ended = pc.is_valid(parts).to_numpy(zero_copy_only=False)
         base = pc.if_else(pa.array(ended), parts.field("base"), known) if ended.any() else known
         coded = base.dictionary_encode()
-        row = self.words.lookup(coded.dictionary)
-        base_flat, base_starts = ragged_take(self.words.flat, self.words.starts, row[coded.indices.to_numpy(zero_copy_only=False)])
+        flat, starts, row = self.words.lookup(coded.dictionary)
+        base_flat, base_starts = ragged_take(flat, starts, row[coded.indices.to_numpy(zero_copy_only=False)])
         if not ended.any():
             return base_flat, base_starts
         ends = parts.field("end").filter(pa.array(ended)).dictionary_encode()
