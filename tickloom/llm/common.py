@@ -39,12 +39,15 @@ def trim() -> None:
 
 
 def tidy(owner: str, work: Batches) -> Batches:
-    """``work`` over Arrow batches in a task that frees what others keep before and what is free after."""
+    """``work`` over Arrow batches in a task that frees what others keep before, and now and then what is free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(owner)
         try:
-            yield from work(batches)
+            for n, made in enumerate(work(batches), 1):
+                yield made
+                if n % 8 == 0:
+                    trim()
         finally:
             trim()
 

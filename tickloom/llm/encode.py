@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from tickloom.llm.common import holds
 
-CACHE_WORDS = 300_000  # distinct words one Python worker remembers; rarer ones are encoded wherever they stand
-CHUNK_BYTES = 2 << 20  # text encoded at a time
+CACHE_WORDS = 150_000  # distinct words one Python worker remembers; rarer ones are encoded wherever they stand
+CHUNK_BYTES = 1 << 20  # text encoded at a time
 _MARK = "\x01"  # stands for a line break before a word while a text is cut
 _BREAK = r"[\s\x0b\x{85}\p{Z}\x{1c}-\x{1f}]"
 # A cut before a space or line break is a word boundary unless white space stands on both sides.
