@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import tidy
-from tickloom.llm.encode import WordEncoder, chunks
+from tickloom.llm.encode import CHUNK_BYTES, WordEncoder, chunks
 
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -127,7 +127,7 @@ class SquaresPacker:
             self.emit(window)
 
 
-def _packer(tokenizer: str, spaced: bool, end_id: int, capacity: int, max_open: int, with_ids: bool):
+def _packer(tokenizer: str, spaced: bool, end_id: int, capacity: int, max_open: int, with_ids: bool, chunk_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer, spaced)
         base, made, rows, digests = TaskContext.get().partitionId() << 32, 0, [], []
@@ -152,7 +152,7 @@ def _packer(tokenizer: str, spaced: bool, end_id: int, capacity: int, max_open:
 
         packer = SquaresPacker(capacity, emit, max_open)
         for batch in batches:
-            for some in chunks(batch):
+            for some in chunks(batch, size=chunk_bytes):
                 ids, begins = encoder.encode(some.column("text"))
                 for i, doc in enumerate(some.column("doc_id").to_pylist()):
                     packer.add(doc, np.append(ids[begins[i] : begins[i + 1]], np.int32(end_id)))
@@ -163,7 +163,7 @@ def _packer(tokenizer: str, spaced: bool, end_id: int, capacity: int, max_open:
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spaced: bool = False, max_open: int = 1024, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spaced: bool = False, max_open: int = 1024, with_ids: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Packs ``doc_id, text`` into sequences of at most ``capacity`` ids; a row per piece.
 
     Columns: ``doc_id, start, length, doc_tokens, sequence_id, offset`` and the piece's ``ids``
@@ -175,9 +175,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spa
 
     A null text counts as empty and keeps its end id; null and repeated ids are packed like any
     others; other columns are not read; an empty table gives no rows. ``sequence_id`` is unique:
-    the partition in the upper, a count in the lower 32 bits.
+    the partition in the upper, a count in the lower 32 bits. ``chunk_bytes`` of text are encoded at a
+    time: less takes less memory and more time, the pieces are the same.
     """
     last = "ids binary" if with_ids else "ids_crc32 long"
     schema = ", ".join(f"{n} long" for n, _ in FIELDS) + f", {last}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tidy("encode", _packer(tokenizer, spaced, end_id, capacity, max_open, with_ids)), schema)
+    return rows.mapInArrow(tidy("encode", _packer(tokenizer, spaced, end_id, capacity, max_open, with_ids, chunk_bytes)), schema)
