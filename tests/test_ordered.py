@@ -183,3 +183,34 @@ def test_a_stored_index_serves_many_searches_and_grows(spark, tmp_path):
     empty = neighbors.NeighbourIndex.build(table(first).limit(0), f"{tmp_path}/empty", payload=["y"])
     assert empty.search(table(first), 3).count() == 0
     assert index.search(table(first).limit(0), 3).count() == 0
+
+
+def test_a_unit_of_neighbours_keeps_the_smallest_ids(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbors, "TILE", (7, 13))
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (150, 3)).astype(float)  # many copies and ties
+    ep = [None if i % 11 == 0 else str(i % 3) for i in range(150)]
+    xs = pa.table({"id": rng.permutation(150), "vec": list(x), "m": ep, "at": (np.arange(150) % 3).astype("int32"), "y": np.arange(150)})
+    wanted = [[0, 1, 2] if i % 2 else [1] for i in range(40)]
+    qs = pa.table({"id": np.arange(40), "vec": list(x[:40]), "m": ep[:40], "blocks": pa.array(wanted, pa.list_(pa.int32()))})
+    for masked in (False, True):
+        got = neighbors.nearest_of(qs, xs, 5, masked, ["y"]).to_pylist()
+        for q, r in enumerate(got):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            want = sorted((d[i], xs["id"][i].as_py(), i) for i in range(150) if i % 3 in wanted[q] and not (masked and ep[i] == ep[q]))[:5]
+            assert r["qid"] == q and [(n["id"], n["y"]) for n in r["near"]] == [w[1:] for w in want]
+            assert [n["distance"] for n in r["near"]] == pytest.approx([w[0] for w in want])
+
+
+def test_the_spread_is_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    stats = spark.range(50).select((F.col("id") / 100).alias("x")).select(F.udf(seen, "double")("x").alias("sigma"))
+    out = neighbors.spread_summary(stats, 0.5).first()
+    assert (out["n"], round(out["median"], 3)) == (50, 0.245) and calls.value == 50

@@ -22,13 +22,19 @@ from tickloom.session import scratch
 
 PIVOTS = 64
 BLOCK_ROWS = 20_000
+STRIPE = 4  # blocks of a unit of work
+LEAST_QUERIES = 1_000  # of a unit, unless there are fewer
+MOST_TASKS = 4_000
+TILE = (256, 4096)  # queries and rows compared at a time
 
 
 def unit(vector: Column) -> Column:
     """Vector scaled to length 1 (a zero vector stays)."""
     v = F.transform(vector, lambda x: x.cast("double"))
     size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.greatest(size, F.lit(1e-12)))
+    # the length goes through a struct, so that it is taken once and not again for every element
+    one = F.array(F.struct(v.alias("v"), F.greatest(size, F.lit(1e-12)).alias("size")))
+    return F.get(F.transform(one, lambda p: F.transform(p["v"], lambda x: x / p["size"])), 0)
 
 
 def pack_cells(sizes: dict[int, int], block_rows: int) -> tuple[dict[int, int], list[int]]:
@@ -68,7 +74,8 @@ class NeighbourIndex:
         """Writes an index of ``id, vector`` (with ``mask`` and ``payload``) to a new folder."""
         made = cls(index.sparkSession, path, metric, tuple(payload), block_rows)
         base = made._prepared(index, mask, payload)
-        base.select("id", "vec", "m").orderBy(hash_order(F.col("id")), "id").limit(pivots).coalesce(1).write.parquet(f"{path}/pivots")
+        first = index.orderBy(hash_order(F.col("id").cast("long")), F.col("id").cast("long")).limit(pivots)
+        made._prepared(first, mask).coalesce(1).write.parquet(f"{path}/pivots")
         made._write(base)
         return made
 
@@ -146,6 +153,11 @@ class NeighbourIndex:
 
     def visits(self, queries: DataFrame, k: int, mask: str | None = None) -> DataFrame:
         """``id, vec, m, bin, block`` for every block that can hold one of a query's ``k`` nearest rows."""
+        at = F.explode("blocks").alias("b")
+        return self._visits(queries, k, mask).select("id", "vec", "m", at).select("id", "vec", "m", F.col("b.bin").alias("bin"), F.col("b.block").alias("block"))
+
+    def _visits(self, queries: DataFrame, k: int, mask: str | None = None) -> DataFrame:
+        """The queries with the array ``blocks`` of (bin, block, at), ``at`` numbering the blocks of all bins."""
         import numpy as np
 
         centres, owners = self._pivots()
@@ -157,13 +169,12 @@ class NeighbourIndex:
         bins = sorted(set(bin_of.values()))
         bin_at = np.array([bin_of[c] for c in at], dtype=int)
         n_blocks = np.array([max(r["first_block"] + r["blocks"] for r in lines if r["bin"] == b) for b in bins], dtype=int)
+        first = np.cumsum(n_blocks) - n_blocks
         bins = np.array(bins, dtype=int)
         apart = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2))
         at = np.array(at, dtype=int)
 
         def visit(batches):
-            import pandas as pd
-
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -178,64 +189,62 @@ class NeighbourIndex:
                 low = np.maximum(low, np.where(np.isfinite(plane), plane, 0))
                 wanted_cells = low <= bound[:, None] * (1 + 1e-9) + 1e-9
                 hits = np.stack([wanted_cells[:, bin_at == b].any(1) for b in bins], axis=1)
-                rows, cols = np.nonzero(hits)
-                per = n_blocks[cols]
-                rows, cols = np.repeat(rows, per), np.repeat(cols, per)
-                block = np.concatenate([np.arange(p) for p in per]) if len(per) else np.array([], dtype=int)
-                out = pdf.iloc[rows].reset_index(drop=True)
-                yield pd.DataFrame({"id": out["id"], "vec": out["vec"], "m": out["m"], "bin": bins[cols].astype("int32"), "block": block.astype("int32")})
+                pdf["bins"] = [np.flatnonzero(h).astype("int32") for h in hits]
+                yield pdf
+
+        found = self._prepared(queries, mask).mapInPandas(visit, "id long, vec array<double>, m string, bins array<int>")
 
-        return self._prepared(queries, mask).mapInPandas(visit, "id long, vec array<double>, m string, bin int, block int")
+        def blocks_of(i: Column) -> Column:
+            of = F.array(*[F.struct(F.lit(int(b)).alias("bin"), F.lit(int(n)).alias("n"), F.lit(int(f)).alias("first")) for b, n, f in zip(bins, n_blocks, first)])
+            one = F.get(of, i)
+            return F.transform(F.sequence(F.lit(0), one["n"] - 1), lambda j: F.struct(one["bin"].alias("bin"), j.alias("block"), (one["first"] + j).alias("at")))
+
+        return found.select("id", "vec", "m", F.flatten(F.transform("bins", blocks_of)).alias("blocks"))
 
     def search(self, queries: DataFrame, k: int, mask: str | None = None) -> DataFrame:
         """The ``k`` nearest rows of every query; see ``knn``. ``mask`` names the queries' column.
 
-        Only the bins that some query visits are read, and a block goes to those parts of the
-        queries that visit it.
+        Only the bins that some query visits are read. A unit of work is a part of the queries and a
+        stripe of ``STRIPE`` blocks; it receives those blocks that one of its queries visits and gives a row
+        per query with the nearest ``k`` of the stripe.
         """
-        import numpy as np
-
         payload = list(self.payload)
         kinds = dict(self.rows().dtypes) if self.cells_known() else {p: "string" for p in payload}
-        schema = "qid long, id long, " + "".join(f"`{p}` {kinds[p]}, " for p in payload) + "distance double"
+        item = "distance double, id long" + "".join(f", `{p}` {kinds[p]}" for p in payload)
+        columns = ["qid", "id", *payload, "distance", "rank"]
         if not self.cells_known():
-            return self.spark.createDataFrame([], f"{schema}, rank int")
-        q_parts = max(1, -(-queries.count() // self.block_rows))
-        part = F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int").alias("part")
+            return self.spark.createDataFrame([], f"qid long, {item}, rank int").select(*columns)
         folder = scratch(self.spark, "visits")
-        self.visits(queries, k, mask).select("*", part).write.parquet(folder)
+        self._visits(queries, k, mask).write.parquet(folder)
         asked = self.spark.read.parquet(folder)
-        where = self.spark.read.parquet(folder).select("bin", "block", "part").distinct()
-        bins = [r["bin"] for r in asked.select("bin").distinct().collect()]  # at most one per pivot
-        stored = self.rows().filter(F.col("bin").isin(bins)).join(where, ["bin", "block"])
+        n_queries = asked.count()
+        block = F.explode("blocks").alias("b")
+        known = [r["b"] for r in asked.select(block).distinct().collect()]  # the blocks that are visited
+        stripes = max((b["at"] for b in known), default=0) // STRIPE + 1
+        cores = self.spark.sparkContext.defaultParallelism
+        # as many parts as bound the queries of a unit, more where the cores would lie idle
+        parts = max(1, -(-n_queries // self.block_rows), min(-(-2 * cores // stripes), -(-n_queries // LEAST_QUERIES)))
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        where = asked.select(block, "part").distinct().select("b.*", "part")  # at most blocks x parts rows
+        unit_of = (F.floor(F.col("at") / STRIPE) * parts + F.col("part")).cast("long").alias("unit")
+        stored = self.rows().filter(F.col("bin").isin(sorted({b["bin"] for b in known})))
+        stored = stored.join(F.broadcast(where), ["bin", "block"]).select(unit_of, "id", "vec", "m", "at", *payload)
+        in_stripe = F.transform("blocks", lambda b: b["at"])
+        mine = F.explode(F.array_distinct(F.transform(in_stripe, lambda b: F.floor(b / STRIPE)))).alias("stripe")
+        dealt = asked.select("id", "vec", "m", "part", in_stripe.alias("blocks"), mine)
+        dealt = dealt.select(
+            (F.col("stripe") * parts + F.col("part")).cast("long").alias("unit"), "id", "vec", "m",
+            F.filter("blocks", lambda b: F.floor(b / STRIPE) == F.col("stripe")).alias("blocks"),
+        )
 
         def nearest(qs, xs):
-            import pandas as pd
-
-            found = []
-            if len(qs) and len(xs):
-                xs = xs.sort_values("id", kind="stable").reset_index(drop=True)
-                b = np.stack(xs["vec"].to_numpy())
-                bb = (b * b).sum(1)
-                for start in range(0, len(qs), 512):
-                    piece = qs.iloc[start : start + 512]
-                    a = np.stack(piece["vec"].to_numpy())
-                    d = np.maximum((a * a).sum(1)[:, None] + bb[None, :] - 2 * a @ b.T, 0)
-                    if mask:
-                        d[piece["m"].to_numpy(dtype=object)[:, None] == xs["m"].to_numpy(dtype=object)[None, :]] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    dist = np.take_along_axis(d, top, 1)
-                    r, c = np.nonzero(np.isfinite(dist))
-                    got = xs.iloc[top[r, c]][["id", *payload]].reset_index(drop=True)
-                    got.insert(0, "qid", piece["id"].to_numpy()[r])
-                    got["distance"] = np.sqrt(dist[r, c])
-                    found.append(got)
-            return pd.concat(found) if found else pd.DataFrame({n: [] for n in ("qid", "id", *payload, "distance")})
-
-        unit_key = ["bin", "block", "part"]
-        local = asked.groupBy(*unit_key).cogroup(stored.groupBy(*unit_key)).applyInPandas(nearest, schema)
-        w = Window.partitionBy("qid").orderBy("distance", "id")  # a limit per task precedes the shuffle
-        return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            return nearest_of(qs, xs, k, bool(mask), payload)
+
+        tasks = min(4 * stripes * parts, MOST_TASKS)
+        units = dealt.repartition(tasks, "unit").groupBy("unit").cogroup(stored.repartition(tasks, "unit").groupBy("unit"))
+        local = units.applyInArrow(nearest, f"qid long, near array<struct<{item}>>")
+        merged = local.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+        return merged.select("qid", F.posexplode("near").alias("rank", "x")).select("qid", "x.*", (F.col("rank") + 1).alias("rank")).select(*columns)
 
     def cells_known(self) -> bool:
         """Whether anything has been written yet."""
@@ -255,6 +264,115 @@ def to_pivots(vecs, centres):
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * a @ centres.T, 0))
 
 
+def matrix(vectors):
+    """The vectors of an Arrow list column as the rows of a matrix."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    if whole.null_count:
+        raise ValueError("a vector is null")
+    return np.asarray(whole.flatten()).reshape(len(whole), -1)
+
+
+def nearest_of(qs, xs, k: int, masked: bool, payload: Sequence[str]):
+    """One unit of work: Arrow tables of queries and stored rows in, ``qid, near`` out, nearest first and ties by id.
+
+    Blocks are met one after another in tiles, in ascending id. A tile keeps what is closer than
+    a query's k-th so far, so after the first tiles little is left to sort.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    nq = qs.num_rows
+    empty = np.zeros(0, dtype=np.int64)
+    row, dist, place = empty, np.zeros(0), empty  # the nearest so far, by row, distance and id
+    xs = xs.take(np.argsort(xs["id"].to_numpy(), kind="stable"))
+    ids, at = xs["id"].to_numpy(), xs["at"].to_numpy()
+    if nq and len(ids):
+        a, b = matrix(qs["vec"]), matrix(xs["vec"])
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        if masked:  # equal codes for equal values, null among them
+            codes = pa.concat_arrays([c for t in (qs, xs) for c in t["m"].chunks]).fill_null("").dictionary_encode().indices.to_numpy()
+            nulls = np.concatenate([np.asarray(t["m"].is_null()) for t in (qs, xs)])
+            codes = np.where(nulls, -1, codes)
+            q_code, x_code = codes[:nq], codes[nq:]
+        wanted = qs["blocks"].combine_chunks()
+        owner = np.repeat(np.arange(nq), np.asarray(wanted.value_lengths()))
+        asked = np.asarray(wanted.flatten())
+        for block in np.unique(at):
+            cols, rows = np.flatnonzero(at == block), np.unique(owner[asked == block])
+            for start in range(0, len(rows), TILE[0]):
+                mine = rows[start : start + TILE[0]]
+                bound = kth(row, dist, mine, k)
+                limit = np.nextafter(bound, np.inf)  # equally near rows of other blocks may have smaller ids
+                r, d, p = empty, np.zeros(0), empty  # of this block
+                for left in range(0, len(cols), TILE[1]):
+                    here = cols[left : left + TILE[1]]
+                    # the sums of squares meet the products in place
+                    near = a[mine] @ b[here].T
+                    near *= -2
+                    near += bb[here]
+                    near += aa[mine][:, None]
+                    np.maximum(near, 0, out=near)
+                    hit = near < limit[:, None]
+                    if np.count_nonzero(hit) > 4 * k * len(mine) and len(here) > k:
+                        if masked:
+                            near[q_code[mine][:, None] == x_code[here][None, :]] = np.inf
+                        top = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+                        less, same = near < top, near == top
+                        hit &= less | (same & (np.cumsum(same, axis=1) <= k - less.sum(1, keepdims=True)))
+                    i, j = np.divmod(np.flatnonzero(hit), len(here))
+                    got = near[i, j]
+                    keep = np.isfinite(got)
+                    if masked:
+                        keep &= q_code[mine[i]] != x_code[here[j]]
+                    i, got, j = i[keep], got[keep], here[j[keep]]
+                    if len(i):
+                        r, d, p = first_k(np.concatenate([r, i]), np.concatenate([d, got]), np.concatenate([p, j]), k)
+                        limit = np.minimum(limit, kth(r, d, np.arange(len(mine)), k))
+                row, dist, place = np.concatenate([row, mine[r]]), np.concatenate([dist, d]), np.concatenate([place, p])
+            row, dist, place = first_k(row, dist, place, k)
+    counts = np.bincount(row, minlength=nq)
+    stored = xs.take(place).combine_chunks()
+    fields = [pa.array(np.sqrt(dist)), pa.array(ids[place], pa.int64()), *[whole(stored[c]) for c in payload]]
+    items = pa.StructArray.from_arrays(fields, names=["distance", "id", *payload])
+    near = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype("int32"), items)
+    return pa.table({"qid": qs["id"], "near": near}).filter(pa.array(counts > 0))
+
+
+def whole(column):
+    """An Arrow column in one piece."""
+    import pyarrow as pa
+
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def first_k(row, dist, place, k: int):
+    """The ``k`` least entries of every row by distance and place, sorted."""
+    import numpy as np
+
+    order = np.lexsort((place, dist, row))
+    row, dist, place = row[order], dist[order], place[order]
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+    keep = rank < k
+    return row[keep], dist[keep], place[keep]
+
+
+def kth(row, dist, rows, k: int):
+    """The k-th distance of each of the ``rows`` among entries sorted by row and distance; infinite where there are fewer."""
+    import numpy as np
+
+    begin, end = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
+    out = np.full(len(rows), np.inf)
+    full = end - begin >= k
+    out[full] = dist[begin[full] + k - 1]
+    return out
+
+
 def knn(
     queries: DataFrame,
     index: DataFrame,
@@ -286,6 +404,9 @@ def outcome_stats(neighbours: DataFrame, outcome: str) -> DataFrame:
 
 def spread_summary(stats: DataFrame, base_rate: float, low: float = V.SPREAD_LOW, high: float = V.SPREAD_HIGH, zero: float = V.SPREAD_ZERO) -> DataFrame:
     """Quantiles of the spread, shares in, below and above the band, the cap and a verdict."""
+    folder = scratch(stats.sparkSession, "spread")  # read several times below, so the neighbours are searched once
+    stats.select("sigma").write.parquet(folder)
+    stats = stats.sparkSession.read.schema("sigma double").parquet(folder)
     s = F.col("sigma")
     shares = stats.agg(
         F.avg(s.between(low, high).cast("double")).alias("in_band"), F.avg((s < low).cast("double")).alias("below"),
