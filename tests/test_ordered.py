@@ -214,3 +214,14 @@ def test_the_spread_is_computed_once(spark):
     stats = spark.range(50).select((F.col("id") / 100).alias("x")).select(F.udf(seen, "double")("x").alias("sigma"))
     out = neighbors.spread_summary(stats, 0.5).first()
     assert (out["n"], round(out["median"], 3)) == (50, 0.245) and calls.value == 50
+
+
+def test_ranges_of_a_hot_key_are_not_dealt_by_the_key(spark, tight):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(200).select(F.lit("a").alias("k"), F.col("id").alias("at"))
+        out = ordered.running(df, ["k"], "at", {"n": ordered.rcount()})
+        assert out.filter("n <> at + 1").count() == 0 and out.count() == 200
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

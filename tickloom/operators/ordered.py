@@ -147,7 +147,8 @@ def splits_needed(spans: DataFrame) -> bool:
 
 def with_span(df: DataFrame, spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Adds ``__hot`` and ``__span``, the order range of a hot key (0 for all others)."""
-    joined = join_on(df, spans, keys, "left")
+    # broadcast (few by count): a join dealt by key would leave all ranges of a hot key in its one task
+    joined = join_on(df, F.broadcast(spans), keys, "left")
     offset = F.floor((F.col(order).cast("double") - F.col("__low")) / F.col("__width"))
     return (
         joined.withColumn("__hot", F.col("__low").isNotNull())
@@ -208,7 +209,7 @@ def running(
     carried = totals.select(
         *keys, "__span", *[a.merge(F.col(f"__t_{n}")).over(outside[rev]).alias(f"__c_{n}") for n, a, rev in plan]
     )
-    joined = join_on(scanned, carried, [*keys, "__span"], "left")
+    joined = join_on(scanned, F.broadcast(carried), [*keys, "__span"], "left")  # a row per range
     out = joined.withColumns({n: finish(a, a.combine(F.col(f"__l_{n}"), F.col(f"__c_{n}"))) for n, a, _ in plan})
     extra = [f"__{p}_{n}" for n, _, _ in plan for p in ("l", "c")]
     return out.drop("__span", "__hot", "__all", *extra)
@@ -237,6 +238,7 @@ def framed(
     if not splits_needed(spans):
         whole = Window.partitionBy(*keys).orderBy(*_sort(order, tie, False))
         return base.withColumns(exprs(whole)).drop("__all")
+    spans = F.broadcast(spans)
     cold = join_on(base, spans, keys, "left_anti").withColumns({"__block": F.lit(0).cast("long"), "__own": F.lit(True)})
     hot = join_on(base, spans, keys, "inner")
     if unit == "rows":
