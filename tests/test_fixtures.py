@@ -417,3 +417,10 @@ def test_label_files_are_read_once(spark, tmp_path):
     (tmp_path / "b.json").write_text("{")
     for table in readers.read_label_files(spark, str(tmp_path), "x int"):
         assert table.count() == 1 and "FileScan text" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigrams_list_their_characters_once(spark):
+    plan = spark.range(1).select(text.trigrams(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert value(spark, text.trigrams(F.lit("a\r\n\x00b"))) == ["a\r\n", "\r\n\x00", "\n\x00b"]
+    assert value(spark, text.trigrams(F.lit(None).cast("string"))) == []

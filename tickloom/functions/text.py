@@ -158,13 +158,15 @@ def trigrams(text: Column) -> Column:
     """Distinct character trigrams; a text shorter than three characters stands for itself.
 
     Characters are listed once and joined by position: taking a substring per position would
-    count from the start of a UTF-8 text every time.
+    count from the start of a UTF-8 text every time. The list is bound to a name, because an
+    expression that a lambda reads is worked out again wherever it stands.
     """
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    n = F.size(chars)
-    pair = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    triple = F.zip_with(pair, F.slice(chars, F.lit(3), F.greatest(n - 2, F.lit(0))), lambda ab, c: F.concat(ab, c))
-    whole = F.filter(triple, lambda t: t.isNotNull())
+
+    def triples(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+
+    n = F.length(text)
+    whole = F.transform(F.array(F.split(text, "")), triples)[0]
     return F.array_distinct(F.when(n >= 3, whole).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
