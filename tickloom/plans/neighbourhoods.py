@@ -174,7 +174,9 @@ def pair_filter_rank(t: Tables):
         cand(F.concat_ws(" ", "p_name", F.lower("p_type")), F.when(size % 2 == 0, 0).otherwise(size / 50)),
         cand(F.concat_ws(" ", "p_brand", "p_name"), F.when(size % 5 != 0, F.col("p_retailprice") / 3000)),
     )
-    rows = t.part.select(F.col("p_partkey").alias("k"), items.alias("items"))
+    # the table is small beside the work on a row, so it is dealt to all cores
+    dealt = t.part.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    rows = dealt.select(F.col("p_partkey").alias("k"), items.alias("items"))
     good = pairs.informative_pairs(pairs.record_pairs(rows, "items", ["k"]))
     named = good.select(F.concat_ws("_", "k", "i", "j").alias("pair_id"), "informativeness")
     return splits.top_by_score(named, "informativeness", F.col("pair_id"), 500)
