@@ -225,3 +225,12 @@ def test_ranges_of_a_hot_key_are_not_dealt_by_the_key(spark, tight):
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_counted_sizes_give_the_edges_of_their_rows(spark):
+    rows = spark.createDataFrame([(k, float(v)) for k in "ab" for v in (1, 2, 2, 3, 5, 5, 5, 8, 9, 13)] + [("a", None), (None, 4.0)], "k string, v double")
+    counted = ordered.value_counts(rows, ["k"], "v", "n_rows")
+    plain, paired = (metrics.displacement_edges(r, "v", 2.0, ["k"], c) for r, c in ((rows, None), (counted, "n_rows")))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, paired.select(*plain.columns).collect()))
+    a = plain.filter("k = 'a'").first()
+    assert (a["n"], a["q3"], a["still_share"], a["top_median"]) == (9, 5.0, 0.1, 11.0)

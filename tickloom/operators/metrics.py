@@ -9,23 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.align import bracketing_events, nearest_event
-from tickloom.operators.ordered import bounded_groups, framed, hash_order, join_on, per_key, quantiles, ranked, rsum, running
+from tickloom.operators.ordered import bounded_groups, counted_quantiles, framed, hash_order, join_on, per_key, quantiles, ranked, rsum, running, value_counts
+from tickloom.session import stored
 
 SEXTILES = {f"q{i}": i / 6 for i in range(1, 6)}
 
 
-def displacement_edges(rows: DataFrame, size: str, floor: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Sextile edges of the moving rows, how many stand still, and the median of the top sextile."""
+def displacement_edges(rows: DataFrame, size: str, floor: float, keys: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Sextile edges of the moving rows, how many stand still, and the median of the top sextile.
+
+    With ``count`` a row stands for so many rows of its key and size, and no pair comes twice. Sizes are counted
+    once and stored, so that the steps read counts and not the rows again.
+    """
     if not keys:
         one = "__g"
         flagged = rows.withColumn(one, F.when(F.col(size).isNull(), 1).otherwise(0))
-        return displacement_edges(flagged, size, floor, [one]).drop(one)
-    with bounded_groups([(rows, keys)]):
-        moving = rows.filter(F.col(size) >= floor)
-        edges = quantiles(moving, keys, size, SEXTILES)
+        return displacement_edges(flagged, size, floor, [one], count).drop(one)
+    counted = rows if count else stored(value_counts(rows, keys, size), "sizes")
+    n = F.col(count or "__cnt")
+    counted = counted.select(*keys, size, n.alias("__cnt"))
+    with bounded_groups([(counted, keys)]):
+        moving = counted.filter(F.col(size) >= floor)
+        edges = stored(counted_quantiles(moving, keys, size, "__cnt", SEXTILES), "edges")
         top = join_on(moving, edges.select(*keys, "q5"), keys, "inner").filter(F.col(size) >= F.col("q5"))
-        median = quantiles(top, keys, size, {"top_median": 0.5}).drop("n")
-    still = rows.groupBy(*keys).agg(F.avg((F.col(size) < floor).cast("double")).alias("still_share"))
+        median = counted_quantiles(top.drop("q5"), keys, size, "__cnt", {"top_median": 0.5}).drop("n")
+    known = F.sum(F.when(F.col(size).isNotNull(), F.col("__cnt")))
+    still = counted.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col(size) < floor, F.col("__cnt"))), F.lit(0)) / known).alias("still_share"))
     return join_on(join_on(edges, still, keys, "inner"), median, keys, "inner")
 
 

@@ -292,10 +292,29 @@ def quantiles(
     a group is never held in one task.
     """
     present = df.filter(F.col(value).isNotNull())
-    base, group = (present, list(keys)) if keys else (present.withColumn("__one", F.col(value).isNull()), ["__one"])
-    counted = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__cnt"))
-    with bounded_groups([(base, group)], limit):  # counting rows is cheaper than counting distinct values
-        upto = running(counted, group, value, {"__cum": rsum(F.col("__cnt"))}, limit=limit)
+    with bounded_groups([(present, keys)] if keys else [(present.select(value, F.lit(False).alias("__one")), ["__one"])], limit):  # counting rows is cheaper than counting distinct values
+        return counted_quantiles(value_counts(present, keys, value), keys, value, "__cnt", probs, method=method, limit=limit)
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, name: str = "__cnt") -> DataFrame:
+    """How often each value is in each key."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(name))
+
+
+def counted_quantiles(
+    counted: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    count: str,
+    probs: dict[str, float],
+    *,
+    method: str = "linear",
+    limit: int | None = None,
+) -> DataFrame:
+    """``quantiles`` of rows that come as distinct values per key with their ``count``."""
+    present = counted.filter(F.col(value).isNotNull()).withColumnRenamed(count, "__cnt")
+    counted, group = (present, list(keys)) if keys else (present.withColumn("__one", F.col(value).isNull()), ["__one"])
+    upto = running(counted, group, value, {"__cum": rsum(F.col("__cnt"))}, limit=limit)
     total = counted.groupBy(*group).agg(F.sum("__cnt").alias("n"))
     located = join_on(upto, total, group, "inner")
 

@@ -9,7 +9,7 @@ from tickloom.functions import vocab as V
 from tickloom.operators import metrics, ordered, quality, sketches, windows
 from tickloom.plans.registry import ACTIVITY, Tables, query
 from tickloom.plans.sequences import ID, USER, W, is_type, positions
-from tickloom.session import scratch
+from tickloom.session import scratch, stored
 
 HOUR = 3_600_000_000
 
@@ -23,8 +23,9 @@ HOUR = 3_600_000_000
 )
 def quantile_edges(t: Tables):
     rows = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"))
-    per = metrics.displacement_edges(rows, "v", 2000.0, ["flag"])
-    whole = metrics.displacement_edges(rows, "v", 2000.0).withColumn("flag", F.lit("ALL"))
+    counted = stored(ordered.value_counts(rows, ["flag"], "v", "rows"), "prices")
+    per = metrics.displacement_edges(counted, "v", 2000.0, ["flag"], "rows")
+    whole = metrics.displacement_edges(counted.groupBy("v").agg(F.sum("rows").alias("rows")), "v", 2000.0, count="rows").withColumn("flag", F.lit("ALL"))
     out = per.unionByName(whole)
     return out.select("flag", "n", *[F.round(c, 5).alias(c) for c in ("q1", "q3", "q5", "top_median")], F.round("still_share", 8).alias("still_share"))
 
