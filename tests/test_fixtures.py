@@ -424,3 +424,12 @@ def test_trigrams_list_their_characters_once(spark):
     assert plan.count("split(") == 1
     assert value(spark, text.trigrams(F.lit("a\r\n\x00b"))) == ["a\r\n", "\r\n\x00", "\n\x00b"]
     assert value(spark, text.trigrams(F.lit(None).cast("string"))) == []
+
+
+def test_recordings_are_named_without_a_formatter(spark):
+    from tickloom.plans import recordings
+
+    rows = spark.createDataFrame([(0,), (6399,), (None,)], "k long")
+    named = rows.select(*recordings.keyed("k"))
+    assert {tuple(r) for r in named.collect()} == {("rec0", 0), ("rec19", 19), ("recnull", None)}
+    assert "format_string" not in named._jdf.queryExecution().optimizedPlan().toString()
