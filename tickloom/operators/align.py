@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import framed, rmax, rmin, running
 
+PART_ROWS = 1_000_000  # rows that a task sorts, twice where it looks both ways
+
 
 def _asof(
     frames: DataFrame,
@@ -27,25 +29,25 @@ def _asof(
 ) -> DataFrame:
     """Last (``back``) and next (``ahead``) event struct per frame, in one ordered pass.
 
-    Frames sit at side 1. Events looked back at sit at side 0 and events looked ahead at
-    sit at side 2, so that both see an event at the frame's own tick; ``strict`` swaps them.
+    Frames sit at side 1, events at side 0 on the way to later ticks and at side 2 on the way back, so
+    that both ways see an event at the frame's own tick and an event is one row; ``strict`` swaps the sides.
     """
     event = F.struct(F.col(order).alias("at"), *[F.col(c) for c in payload])
-    rows = frames.withColumn("__side", F.lit(1))
-    for name, side in ((back, 2 if strict else 0), (ahead, 0 if strict else 2)):
-        if name:
-            marked = events.select(*keys, order, event.alias(f"__{name}"), F.lit(side).alias("__side"))
-            rows = rows.unionByName(marked, allowMissingColumns=True)
+    first, last = (2, 0) if strict else (0, 2)
+    marked = events.select(*keys, order, event.alias("__event"), F.lit(first).alias("__side"), F.lit(last).alias("__side_back"))
+    rows = frames.withColumns({"__side": F.lit(1), "__side_back": F.lit(1)}).unionByName(marked, allowMissingColumns=True)
     seen = running(
         rows,
         keys,
         order,
-        {back: rmax(F.col(f"__{back}"))} if back else None,
-        {ahead: rmin(F.col(f"__{ahead}"))} if ahead else None,
+        {back: rmax(F.col("__event"))} if back else None,
+        {ahead: rmin(F.col("__event"))} if ahead else None,
         tie=["__side"],
+        tie_ahead=["__side_back"],
         limit=limit,
+        part_rows=PART_ROWS,
     )
-    return seen.filter("__side = 1").drop("__side", f"__{back}", f"__{ahead}")
+    return seen.filter("__side = 1").drop("__side", "__side_back", "__event")
 
 
 def last_event(

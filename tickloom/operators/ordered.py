@@ -161,6 +161,14 @@ def _sort(order: str, tie: Sequence[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in (order, *tie)]
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, part_rows: int) -> DataFrame:
+    """``df`` of so many ``rows`` dealt by key to parts of about ``part_rows``; as it is where an ordinary shuffle has enough of them."""
+    spark, parts = df.sparkSession, -(-rows // part_rows)
+    if parts <= min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        return df
+    return df.repartition(parts, *keys)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -169,12 +177,16 @@ def running(
     ahead: dict[str, Running] | None = None,
     *,
     tie: Sequence[str] = (),
+    tie_ahead: Sequence[str] | None = None,
     exclusive: bool = False,
     limit: int | None = None,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Prefix aggregates (``aggs``) and suffix aggregates (``ahead``) per key in ``order``.
 
-    ``order`` must be numeric; rows that tie on it are ordered by ``tie``.
+    ``order`` must be numeric; rows that tie on it are ordered by ``tie``, for the suffix aggregates by
+    ``tie_ahead`` where it is given. With ``part_rows``, large tables are dealt to partitions of about so
+    many rows, so that a task's sort does not grow with the table.
     """
     limit = limit or group_limit(df.sparkSession)
     base, keys = _keyed(df, keys, order)
@@ -183,7 +195,7 @@ def running(
 
     def scan(part: DataFrame, group: Sequence[str], prefix: str) -> DataFrame:
         frames = {
-            rev: Window.partitionBy(*group).orderBy(*_sort(order, tie, rev)).rowsBetween(Window.unboundedPreceding, end)
+            rev: Window.partitionBy(*group).orderBy(*_sort(order, tie if tie_ahead is None or not rev else tie_ahead, rev)).rowsBetween(Window.unboundedPreceding, end)
             for rev in (False, True)
         }
         return part.withColumns({prefix + n: a.fold().over(frames[rev]) for n, a, rev in plan})
@@ -191,6 +203,11 @@ def running(
     def finish(a: Running, value: Column) -> Column:
         return F.coalesce(value, F.lit(0)) if a.kind == "count" else value
 
+    if part_rows and not _covered(keys):
+        found = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+        if (found["largest"] or 0) <= limit:
+            base = dealt(base, keys, found["rows"] or 0, part_rows)
+            return scan(base, keys, "").drop("__all")
     spans = hot_ranges(base, keys, order, limit)
     if not splits_needed(spans):
         return scan(base, keys, "").drop("__all")

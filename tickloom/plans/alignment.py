@@ -57,7 +57,8 @@ def asof_nearest_tie(t: Tables):
         return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(DAY)).cast("long")
 
     orders = t.orders.select(F.col("o_orderkey").cast("long").alias("order_key"), day("o_orderdate").alias("day"))
-    ships = t.lineitem.select(F.col("l_orderkey").alias("order_key"), day("l_shipdate").alias("day")).distinct()
+    ships = t.lineitem.select(F.col("l_orderkey").alias("order_key"), day("l_shipdate").alias("day"))
+    ships = ordered.dealt(ships, ["order_key"], t.lineitem.count(), align.PART_ROWS).distinct()
     both = align.bracketing_events(orders, ships, ["order_key"], "day").filter("back IS NOT NULL OR ahead IS NOT NULL")
     picks = {tie: align.pick_nearest(F.col("day"), "back", "ahead", tie)["at"] for tie in ("earlier", "later")}
     return both.select("order_key", "day", *[c.alias(n) for n, c in picks.items()])
