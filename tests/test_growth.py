@@ -1,5 +1,6 @@
 """What must not grow faster than the input: rows a task sorts, state calls, shuffles, texts read, passes over terms."""
 
+import pickle
 import random
 
 from pyspark.sql import functions as F
@@ -24,3 +25,73 @@ def test_as_of_joins_deal_rows_to_parts_of_bounded_size(spark, monkeypatch):
             before = [(at, p) for of, at, p in events if of == k and (at < t if strict else at <= t)]
             after = [(at, p) for of, at, p in events if of == k and (at > t if strict else at >= t)]
             assert found[i] == (max(before, default=None), min(after, default=None))
+
+
+def test_a_stream_keeps_rows_in_few_entries():
+    """Rows of different hours share entries, at most ``SMALL_ROWS`` each and never a part of an hour, and come out in order."""
+    import pandas as pd
+
+    from tickloom.streaming import stateful
+
+    class State:
+        def __init__(self):
+            self.held, self.writes = {}, 0
+
+        def exists(self):
+            return None in self.held
+
+        def get(self):
+            return self.held.get(None)
+
+        def update(self, v):
+            self.held[None] = v
+
+        def updateValue(self, k, v):
+            self.writes += 1
+            self.held[k] = v
+
+        def getValue(self, k):
+            return self.held[k]
+
+        def removeKey(self, k):
+            del self.held[k]
+
+        def keys(self):
+            return iter([*self.held])
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        def getMapState(self, name, key, value):
+            return self.getValueState(name, key)
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Mark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    def advance(state, rows):
+        return ((state[0] or 0) + len(rows),), [(state[0] or 0) + i for i in range(len(rows))]
+
+    hour, handle = 3_600_000_000, Handle()
+    work = stateful.OrderedState([("us", "bigint"), ("n", "int"), ("v", "double"), ("s", "string")], "at", ["us"], [("n", "bigint")], advance, "place", None)
+    work.init(handle)
+    us = [i * hour for i in range(300)] + [7 * hour + i for i in range(1, 300)]
+    random.Random(7).shuffle(us)
+    rows = pd.DataFrame({"us": us, "n": [None if u % 3 else u % 5 for u in us], "v": [None if u % 2 else 0.5 for u in us], "s": [None if u % 2 else "x" for u in us], "at": pd.to_datetime(us, unit="us")})
+    assert [*work.handleInputRows(1, iter([rows[:400], rows[400:]]), Mark(0))] == []
+    waiting = handle.states["waiting"]
+    assert waiting.writes <= 8 and sorted(r[1] for v in waiting.held.values() for r in pickle.loads(v[0])) == sorted(us)
+    out = pd.concat([*work.handleExpiredTimer(1, Mark(100 * 3_600_000), None), *work.handleExpiredTimer(1, Mark(10**10), None)])
+    assert out["us"].tolist() == sorted(us) and out["place"].tolist() == [*range(len(us))] and not waiting.held
+    plain = out.astype(object).where(out.notna(), None)
+    assert [(n, v, s) for n, v, s in zip(plain["n"], plain["v"], plain["s"])] == [(None if u % 3 else u % 5, None if u % 2 else 0.5, None if u % 2 else "x") for u in sorted(us)]

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import pickle
 import sys
-from collections import defaultdict
+from heapq import heappop, heappush
+from itertools import groupby
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,7 +31,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 BUCKET_MS = 3_600_000  # event time that is never cut
 FRAME_ROWS = 10_000  # whole buckets are put together up to so many rows
-SMALL_ROWS = 64  # so many rows of a key that come together are kept together, more are kept by bucket
+SMALL_ROWS = 256  # rows of a key that come together are kept together up to so many, cut between buckets
 WHOLE = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -51,15 +52,30 @@ class OrderedState(StatefulProcessor):
         self.chunks = handle.getValueState("chunks", "n bigint")
 
     def keep(self, rows: list[tuple], chunk: int) -> int:
-        """Puts rows into entries, numbered from ``chunk``, under the first bucket they hold; returns the next number."""
-        parts = defaultdict(list)
-        for row in rows:
-            parts[row[0] // BUCKET_MS if len(rows) > SMALL_ROWS else None].append(row)
-        for part in parts.values():
-            self.waiting.updateValue((min(r[0] for r in part) // BUCKET_MS, chunk), (pickle.dumps(part),))
+        """Puts rows into entries of whole buckets, numbered from ``chunk``, under the first bucket they hold; returns the next number."""
+        parts = []
+        for _, some in groupby(sorted(rows, key=lambda r: r[0]), lambda r: r[0] // BUCKET_MS):  # a call per entry costs more than its rows
+            some = list(some)
+            if parts and len(parts[-1]) + len(some) <= SMALL_ROWS:
+                parts[-1] += some
+            else:
+                parts.append(some)
+        for part in parts:
+            self.waiting.updateValue((part[0][0] // BUCKET_MS, chunk), (pickle.dumps(part),))
             chunk += 1
         return chunk
 
+    def tuples(self, batch: pd.DataFrame) -> list[tuple]:
+        """A batch's rows as plain values, the time in milliseconds first."""
+        columns = [(batch[self.time].to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()]
+        for name, kind in self.columns:
+            values, gone = batch[name].tolist(), pd.isna(batch[name].to_numpy())
+            if gone.any():  # a null has turned whole numbers into floats
+                columns.append([None if g else int(v) if kind in WHOLE else v for v, g in zip(values, gone)])
+            else:
+                columns.append([int(v) for v in values] if kind in WHOLE and batch[name].dtype.kind != "i" else values)
+        return [*zip(*columns)]
+
     def step(self, held: tuple | None, due: list[tuple]) -> tuple[tuple, pd.DataFrame]:
         frame = pd.DataFrame(due, columns=["__ms", *(n for n, _ in self.columns)]).sort_values(self.order, kind="stable").reset_index(drop=True)
         state, values = self.advance(tuple(held[1:]) if held else (None,) * len(self.fields), frame)
@@ -68,16 +84,13 @@ class OrderedState(StatefulProcessor):
         return held, frame
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, chunk = None, self.chunks.get()[0] if self.chunks.exists() else 0
+        first, known = None, self.chunks.get()
+        chunk = known[0] if known else 0
         for batch in rows:  # one Arrow batch at a time
-            ms = batch[self.time].astype("datetime64[us]").astype("int64") // 1000
-            kept = batch[[n for n, _ in self.columns]].astype(object)
-            kept = kept.where(kept.notna(), None)
-            for name, kind in self.columns:  # a null elsewhere in the batch has turned whole numbers into floats
-                if kind in WHOLE:
-                    kept[name] = pd.Series([None if v is None else int(v) for v in kept[name]], index=kept.index, dtype=object)
-            chunk = self.keep([(int(t), *values) for t, values in zip(ms, kept.itertuples(index=False))], chunk)
-            first = int(ms.min()) if first is None else min(first, int(ms.min()))
+            if kept := self.tuples(batch):
+                chunk = self.keep(kept, chunk)
+                soonest = min(r[0] for r in kept)
+                first = soonest if first is None else min(first, soonest)
         if first is not None:
             self.chunks.update((chunk,))
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
@@ -86,22 +99,27 @@ class OrderedState(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         chunks = sorted(tuple(k) for k in self.waiting.keys())
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()
         if not chunks:
             if self.idle is not None and held is not None and held[0] + self.idle <= mark:
                 self.state.clear()
                 self.chunks.clear()
             return
-        at, opened, due, later = 0, defaultdict(list), [], []
-        while at < len(chunks) or opened:
-            bucket = min([*opened, *(low for low, _ in chunks[at : at + 1])])
+        at, opened, buckets, due, later = 0, {}, [], [], []  # ``buckets`` is a heap of those that are opened
+        while at < len(chunks) or buckets:
+            bucket = min([*buckets[:1], *(low for low, _ in chunks[at : at + 1])])
             if bucket * BUCKET_MS > mark:
                 break
             while at < len(chunks) and chunks[at][0] <= bucket:
                 for row in pickle.loads(self.waiting.getValue(chunks[at])[0]):
-                    opened[row[0] // BUCKET_MS].append(row)
+                    if (of := row[0] // BUCKET_MS) not in opened:
+                        opened[of] = []
+                        heappush(buckets, of)
+                    opened[of].append(row)
                 self.waiting.removeKey(chunks[at])
                 at += 1
+            if buckets[:1] == [bucket]:
+                heappop(buckets)
             for row in opened.pop(bucket, ()):
                 (due if row[0] <= mark else later).append(row)
             if len(due) >= FRAME_ROWS:
