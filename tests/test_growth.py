@@ -95,3 +95,22 @@ def test_a_stream_keeps_rows_in_few_entries():
     assert out["us"].tolist() == sorted(us) and out["place"].tolist() == [*range(len(us))] and not waiting.held
     plain = out.astype(object).where(out.notna(), None)
     assert [(n, v, s) for n, v, s in zip(plain["n"], plain["v"], plain["s"])] == [(None if u % 3 else u % 5, None if u % 2 else 0.5, None if u % 2 else "x") for u in sorted(us)]
+
+
+def test_trees_are_written_without_a_shuffle(spark):
+    """Rows keep their columns and places, equal texts included; no row meets another."""
+    import json
+
+    from tickloom.operators import trees
+
+    deep = {"b": [1, {"score": 2, "z": None}], "a": {}, "": []}
+    for _ in range(9):
+        deep = {"k": [deep], "é": "q\"\n"}
+    texts = [json.dumps(deep), "1.50", '"x"', None, "{", json.dumps(deep), "[]", "null"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, state string")
+    out = trees.canonical_texts(frame, "state")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["i", "state", "canonical"]
+    del deep["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["b"][1]["score"]
+    whole = json.dumps(deep, sort_keys=True, ensure_ascii=False)
+    assert [r["canonical"] for r in out.orderBy("i").collect()] == [whole, "1.5", '"x"', None, None, whole, "[]", "null"]

@@ -1,10 +1,10 @@
-"""JSON trees of any depth as rows: redaction and canonical text.
+"""JSON trees of any depth: redaction and canonical text.
 
-A text is parsed into a variant and walked level by level: each round opens the objects and
-arrays of one level into rows, one per child, and drops redacted names with all that hangs below
-them. Then the texts are built from the deepest level up, a group of children at a time. The
-number of rounds is the depth of the deepest tree, whatever the number of trees; equal texts are
-walked once.
+A text is parsed into a variant and written out level by level inside its row: the row holds pieces,
+each a text and, while there is more to write, the variant that follows it. A round opens the variants
+of one level; redacted names go with all that hangs below them. No row meets another, so nothing is
+shuffled. Rows with open pieces go through further rounds, the others are done: the number of
+rounds follows the deepest tree, whatever the number of trees.
 """
 
 from __future__ import annotations
@@ -26,31 +26,57 @@ REDACTED = [
 ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
+LEVELS = 4  # levels opened between two looks at what is still open
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quoted(text: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, everything else as it is."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    rare = out
     for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit(ESCAPES.get(chr(code), f"\\u{code:04x}")))
-    plain = ~text.rlike('[\\x00-\\x1f"\\\\]')
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(out), F.lit('"'))
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(ESCAPES.get(chr(code), f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), rare).otherwise(out), F.lit('"'))
+
+
+def _piece(text: Column, v: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), (F.lit(None).cast("variant") if v is None else v).alias("v"))
 
 
-def _opened(nodes: DataFrame, drop: Sequence[str]) -> DataFrame:
-    """One row per child of the objects and arrays of a level: ``tree, path, key, v``."""
+def _opened(piece: Column, drop: Sequence[str]) -> Column:
+    """The pieces that a piece's variant is made of, one level of it."""
     names = F.array(*[F.lit(d) for d in drop]).cast("array<string>")
-    fields = F.filter(F.map_entries("fields"), lambda e: ~F.array_contains(names, e["key"]))
-    of_object = F.transform(fields, lambda e, i: F.struct(i.alias("at"), e["key"].alias("key"), e["value"].alias("v")))
-    of_array = F.transform("items", lambda x, i: F.struct(i.alias("at"), F.lit(None).cast("string").alias("key"), x.alias("v")))
-    child = F.explode(F.coalesce(of_object, of_array)).alias("c")
-    return nodes.filter("kind <> 'leaf'").select("tree", "path", child).select("tree", F.array_append("path", F.col("c.at")).alias("path"), "c.key", "c.v")
+    before, v = piece["text"], piece["v"]
+
+    def written(children: Column, opening: str, closing: str) -> Column:
+        inner = F.transform(children, lambda c, i: _piece(F.concat(F.when(i == 0, F.concat(before, F.lit(opening))).otherwise(", "), c["text"]), c["v"]))
+        whole = F.array(_piece(F.concat(before, F.lit(opening + closing))))
+        return F.when(F.size(children) == 0, whole).otherwise(F.concat(inner, F.array(_piece(F.lit(closing)))))
+
+    def of_object(fields: Column) -> Column:
+        def ordered(known: Column, values: Column) -> Column:
+            at = F.array_sort(F.filter(F.transform(known, lambda k, i: F.struct(k.alias("key"), i.alias("at"))), lambda e: ~F.array_contains(names, e["key"])))
+            return F.transform(at, lambda e: _piece(F.concat(quoted(e["key"]), F.lit(": ")), F.get(values, e["at"])))
+
+        return let(let(F.map_keys(fields), lambda known: let(F.map_values(fields), lambda values: ordered(known, values))), lambda c: written(c, "{", "}"))
+
+    def of_array(items: Column) -> Column:
+        return written(F.transform(items, lambda x: _piece(F.lit(""), x)), "[", "]")
+
+    leaf = F.when(F.schema_of_variant(v) == "STRING", quoted(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v))
 
+    def unless_object(items: Column) -> Column:
+        return F.when(items.isNotNull(), of_array(items)).otherwise(F.array(_piece(F.concat(before, leaf))))
 
-def _kinds(nodes: DataFrame) -> DataFrame:
-    """Adds ``fields, items, kind`` and, for leaves, their ``text``."""
-    out = nodes.withColumns({"fields": F.try_variant_get("v", "$", "map<string,variant>"), "items": F.try_variant_get("v", "$", "array<variant>")})
-    kind = F.when(F.col("fields").isNotNull(), "object").when(F.col("items").isNotNull(), "array").otherwise("leaf")
-    leaf = F.when(F.schema_of_variant("v") == "STRING", quoted(F.try_variant_get("v", "$", "string"))).otherwise(F.to_json("v"))
-    return out.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "leaf", leaf))
+    one = let(
+        F.try_variant_get(v, "$", "map<string,variant>"),
+        lambda fields: F.when(fields.isNotNull(), of_object(fields)).otherwise(let(F.try_variant_get(v, "$", "array<variant>"), unless_object)),
+    )
+    return F.when(v.isNull(), F.array(piece)).otherwise(one)
 
 
 def canonical_texts(rows: DataFrame, column: str, drop: Sequence[str] = REDACTED, name: str = "canonical") -> DataFrame:
@@ -61,36 +87,19 @@ def canonical_texts(rows: DataFrame, column: str, drop: Sequence[str] = REDACTED
     no canonical text (null); so has one with a repeated name. What follows a text's first value is not read.
     """
     spark = rows.sparkSession
-    tree = F.sha2(F.col(column), 256)
-    roots = rows.select(tree.alias("tree"), F.try_parse_json(F.col(column)).alias("v")).filter("v IS NOT NULL").groupBy("tree").agg(F.first("v").alias("v"))
-    roots = roots.select("tree", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"), "v")
-    levels: list[DataFrame] = []
-    while True:  # a round per level of the deepest tree
+    start = let(F.try_parse_json(F.col(column)), lambda v: F.when(v.isNotNull(), F.array(_piece(F.lit(""), v))))
+    left = rows.drop(name).withColumn("__pieces", start)
+    done: DataFrame | None = None
+    while True:
+        for _ in range(LEVELS):
+            left = left.withColumn("__pieces", F.flatten(F.transform("__pieces", lambda p: _opened(p, drop))))
+        left = left.withColumn("__open", F.coalesce(F.exists("__pieces", lambda p: p["v"].isNotNull()), F.lit(False)))
+        known = F.when(~F.col("__open"), F.array_join(F.transform("__pieces", lambda p: p["text"]), ""))
         folder = scratch(spark, "trees")
-        _kinds(roots).select("tree", "path", "key", "kind", "text", F.when(F.col("kind") != "leaf", F.col("v")).alias("v")).write.parquet(folder)
-        level = spark.read.parquet(folder)
-        levels.append(level.drop("v"))
-        inner = level.filter("kind <> 'leaf'")
-        if inner.isEmpty():
-            break
-        roots = _opened(_kinds(inner.drop("kind", "text")), drop)
-    below: DataFrame | None = None
-    for level in reversed(levels):
-        if below is None:
-            done = level.select("tree", "path", "key", "text")
-        else:
-            parent = F.slice("path", F.lit(1), F.size("path") - 1)
-            child = F.struct("key", F.element_at("path", -1).alias("at"), "text")
-            groups = below.groupBy(F.col("tree").alias("of"), parent.alias("under")).agg(F.array_sort(F.collect_list(child)).alias("children"))
-            both = level.join(groups, (F.col("tree") == F.col("of")) & (F.col("path") == F.col("under")), "left")
-            pairs = F.array_join(F.transform("children", lambda c: F.concat(quoted(c["key"]), F.lit(": "), c["text"])), ", ")
-            items = F.array_join(F.transform("children", lambda c: c["text"]), ", ")
-            text = (
-                F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.coalesce(pairs, F.lit("")), F.lit("}")))
-                .when(F.col("kind") == "array", F.concat(F.lit("["), F.coalesce(items, F.lit("")), F.lit("]")))
-                .otherwise(F.col("text"))
-            )
-            done = both.select("tree", "path", "key", text.alias("text"))
-        below = done
-    found = below.select(F.col("tree").alias("__tree"), F.col("text").alias(name))
-    return rows.drop(name).join(found, tree == F.col("__tree"), "left").drop("__tree")
+        left.withColumn(name, known).withColumn("__pieces", F.when(F.col("__open"), F.col("__pieces"))).write.parquet(folder)
+        round_ = spark.read.parquet(folder)
+        closed = round_.filter("NOT __open").drop("__pieces", "__open")
+        done = closed if done is None else done.unionByName(closed)
+        left = round_.filter("__open").drop("__open", name)
+        if left.isEmpty():
+            return done
