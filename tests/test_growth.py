@@ -114,3 +114,22 @@ def test_trees_are_written_without_a_shuffle(spark):
     del deep["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["k"][0]["b"][1]["score"]
     whole = json.dumps(deep, sort_keys=True, ensure_ascii=False)
     assert [r["canonical"] for r in out.orderBy("i").collect()] == [whole, "1.5", '"x"', None, None, whole, "[]", "null"]
+
+
+def test_templated_texts_are_read_once(spark):
+    """What is read of a text is joined back alike however large the list is, null texts included."""
+    from tickloom.functions import text
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"push b {i % 3}") for i in range(40)], "i int, t string")
+    plain = {r["i"]: r["b"] for r in text.with_behaviour(rows, "t", "b").collect()}
+    for limit in (0, 1 << 20):
+        once = text.read_once(rows, "t", lambda texts: text.with_behaviour(texts, "t", "b"), limit=limit)
+        assert {r["i"]: r["b"] for r in once.collect()} == plain and once.columns == ["i", "t", "b"]
+
+
+def test_alignment_reads_templated_texts_once(spark):
+    from tickloom.plans.registry import QUERIES
+    from tickloom.plans import states  # noqa: F401
+
+    plan = QUERIES["behaviour_alignment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "Contains(" not in plan

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import vocab as V
 from tickloom.functions.encode import money_bucket, weapon_bucket
+from tickloom.session import stored
 
 
 def words(items: Sequence[str]) -> Column:
@@ -104,10 +105,14 @@ def with_behaviour(df: DataFrame, column: str, name: str = "behaviour", light: b
     return counted.withColumn(name, F.struct(*[e.alias(n) for n, e in fields.items()])).drop("__low", *[f"__kw_{n}" for n in lists])
 
 
-def read_once(df: DataFrame, column: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``read`` applied to each distinct text of a column, joined back: templated texts repeat far more often than they differ."""
-    known = read(df.select(F.col(column).alias("__text")).distinct().withColumn(column, F.col("__text"))).drop(column)
-    return df.join(known, F.col(column).eqNullSafe(F.col("__text")), "left").drop("__text")
+def read_once(df: DataFrame, column: str, read: Callable[[DataFrame], DataFrame], limit: int = 8 << 20) -> DataFrame:
+    """``read`` applied to each distinct text of a column, joined back: templated texts repeat far more often than they differ.
+
+    What was read is stored; up to ``limit`` bytes of texts it is sent to the tasks, beyond that it is joined by a shuffle.
+    """
+    known = stored(read(df.select(F.col(column).alias("__text")).distinct().withColumn(column, F.col("__text"))).drop(column), "texts")
+    size = known.agg(F.sum(F.coalesce(F.octet_length("__text"), F.lit(0)) + 100)).first()[0] or 0
+    return df.join(F.broadcast(known) if size <= limit else known, F.col(column).eqNullSafe(F.col("__text")), "left").drop("__text")
 
 
 def with_categories(df: DataFrame, column: str, name: str = "categories", groups: dict[str, Sequence[str]] = V.ACTION_WORDS) -> DataFrame:

@@ -510,7 +510,7 @@ def behaviour_alignment(t: Tables):
     used = F.array_compact(F.array(*[F.when(F.shiftright("l_suppkey", i) % 2 == 1, u) for i, u in enumerate(short)]))
     rows = heard(t).withColumn("utility_used", used)
     truth = F.struct("movement_direction", "objective_direction", "utility_used", "initiated_engagement", "engagement_delay")
-    one = text.with_behaviour(rows, "txt", "model").withColumns({"truth": truth, "won": F.col("player_side") == "T"})
+    one = text.read_once(rows, "txt", lambda texts: text.with_behaviour(texts, "txt", "model")).withColumns({"truth": truth, "won": F.col("player_side") == "T"})
     one = scoring.with_alignment(one, "model", "truth", "al")
     phi = scoring.contribution(F.col("l_quantity"), F.lit(50.0), F.col("l_extendedprice"), F.lit(100000.0), F.col("l_partkey") % 4 == 0)
     one = one.withColumn("phi", phi)
