@@ -50,7 +50,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, chunk_bytes=1 << 20)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, chunk_bytes=1 << 19)
 
 
 STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", leaks), ("packing", sequences)]

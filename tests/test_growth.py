@@ -133,3 +133,23 @@ def test_alignment_reads_templated_texts_once(spark):
 
     plan = QUERIES["behaviour_alignment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter" in plan and "Contains(" not in plan
+
+
+def test_a_chunk_of_the_join_is_small(spark):
+    """What hashing a chunk of text takes at its peak; two workers run beside an executor's heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tickloom.llm import jaccard
+
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randint(0, 10**6)) for _ in range(700)) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(range(900)), pa.array(texts)], names=["doc_id", "text_hash", "text"])
+    jaccard._powers.clear()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in jaccard._profile(5)(iter([batch])) if b.column("doc_id").null_count == 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    jaccard._powers.clear()
+    assert rows == 900 and peak < 80e6

@@ -31,7 +31,7 @@ SKETCH_BITS = 22  # slots of the frequency sketch; 4 MB when sent to the tasks
 PIECE = 1 << 16  # slots per row while the sketch is added up
 FRAGMENTS = 8
 BROADCAST_ROWS = 2_000_000  # ids that may be sent to every executor (about 32 MB)
-CHUNK = 2 << 20
+CHUNK = 1 << 19  # bytes of text hashed at a time; the arrays take about 50 times as much
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
