@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tickloom.operators.metrics import auc
 from tickloom.operators.ordered import join_on
 from tickloom.operators.splits import nested_subset
-from tickloom.session import cut_lineage, scratch
+from tickloom.operators.terms import frequent_terms, frequent_words, term_vectors, word_codes
+from tickloom.session import cut_lineage, stored
 
 
 def as_vector(rows: DataFrame, vector: str, name: str = "features") -> DataFrame:
@@ -75,33 +76,24 @@ def ablation_table(train: DataFrame, test: DataFrame, vector: str, label: str, s
 
 
 def text_classifier(train: DataFrame, test: DataFrame, text: str, label: str, min_df: int = 2, terms: int = 5000, reg: float = 1e-2) -> DataFrame:
-    """TF-IDF of words and word pairs with class-balanced logistic regression: the test rows, without their text, with ``score`` and ``guess``."""
+    """TF-IDF of words and word pairs with class-balanced logistic regression: the test rows, without their text, with ``score`` and ``guess``.
+
+    The vocabulary is the ``terms`` most frequent words and pairs of at least ``min_df`` training texts; of equally frequent ones words come
+    first, then alphabetical order decides.
+    """
+    train, test = (r.withColumn(text, F.col(text).cast("binary")) for r in (train, test))
+    train = stored(train, "texts")
     share = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
     weight = F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
-    cut = Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"\W+", minTokenLength=2),
-            NGram(n=2, inputCol="__w", outputCol="__b"),
-            SQLTransformer(statement="SELECT *, concat(__w, __b) AS __t FROM __THIS__"),
-        ]
-    )
-    learn = Pipeline(
-        stages=[
-            CountVectorizer(inputCol="__t", outputCol="__c", minDF=float(min_df), vocabSize=terms),
-            IDF(inputCol="__c", outputCol="__f"),
-            LogisticRegression(featuresCol="__f", labelCol=label, weightCol="__weight", regParam=reg, maxIter=30),
-        ]
-    )
-
-    def once(rows: DataFrame, what: str) -> DataFrame:
-        folder = scratch(rows.sparkSession, what)
-        rows.write.parquet(folder)
-        return rows.sparkSession.read.parquet(folder)
-
-    # texts are cut into terms once, and scores are made once, however often they are read
-    terms_of = [once(cut.fit(r).transform(r).drop("__w", "__b", text), "terms") for r in (train.withColumn("__weight", weight), test.withColumn("__weight", F.lit(1.0)))]
-    scored = _scored(learn.fit(terms_of[0]), terms_of[1])
-    return once(scored.drop("__t", "__c", "__f", "__weight", "rawPrediction", "probability", "prediction"), "scores")
+    words = frequent_words(train, text, min_df, terms)
+    if not words:
+        raise ValueError(f"no word is in {min_df} texts")
+    train, test = (stored(word_codes(r, text, "__w", [*words]), "words") for r in (train.withColumn("__weight", weight), test.withColumn("__weight", F.lit(1.0))))
+    vocabulary = frequent_terms(train, "__w", words, min_df, terms)
+    train, test = (term_vectors(r, "__w", "__c", len(words), vocabulary) for r in (train, test))
+    learn = Pipeline(stages=[IDF(inputCol="__c", outputCol="__f"), LogisticRegression(featuresCol="__f", labelCol=label, weightCol="__weight", regParam=reg, maxIter=30)])
+    scored = _scored(learn.fit(train), test)
+    return stored(scored.drop("__c", "__f", "__weight", "rawPrediction", "probability", "prediction"), "scores")
 
 
 def preference_model(pairs: DataFrame, chosen: str, rejected: str, reg: float = 1e-3):
