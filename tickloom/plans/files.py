@@ -58,9 +58,7 @@ def label_files(t: Tables):
     """One document per file; unreadable ones are told apart, and the inventory counts files with and without a label."""
     folder = scratch(t)
     body = F.when(F.col("doc_id") % 9 == 2, F.lit("not a number")).otherwise(F.col("quality").cast("string"))
-    # a small table of many rows is read in a task or two, which would write all the files
-    spread = t.labels.select("doc_id", body.alias("quality")).repartition(4 * t.spark.sparkContext.defaultParallelism)
-    spread.write.option("maxRecordsPerFile", 1).json(folder)
+    sinks.write_documents(t.labels.select("doc_id", body.alias("quality")), folder)
     good, bad = readers.read_label_files(t.spark, folder, "doc_id bigint, quality string")
     readable = good.withColumn("quality", F.expr("try_cast(quality AS INT)"))
     files = inventory.list_files(t.spark, folder, ["json"])

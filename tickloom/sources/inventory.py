@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import join_on
+from tickloom.sources import local
 from tickloom.sources.digests import file_digests
 
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
@@ -18,8 +20,12 @@ def list_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = (), w
 
     Content is only read when a checksum is asked for, a few megabytes at a time.
     """
-    glob = "*.{" + ",".join(suffixes) + "}" if suffixes else "*"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    inner = local.place(folder)
+    if inner and os.path.isdir(inner):
+        files = local.listed(spark, inner, suffixes).select(F.concat(F.lit("file:"), "path").alias("path"), F.col("bytes").alias("length"))
+    else:
+        glob = "*.{" + ",".join(suffixes) + "}" if suffixes else "*"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     cols = [
         "path",

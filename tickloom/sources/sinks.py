@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.corpus import pending, upsert
 from tickloom.operators.ordered import join_on, ranked
+from tickloom.sources import local
 
 PART_RECORDS = 100_000  # records of an array, which is one row when written and read
 PART_ROWS = 1_000_000  # rows of a recording that one task writes
@@ -74,6 +75,17 @@ def write_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
     rows.write.mode(mode).json(path)
 
 
+def write_documents(rows: DataFrame, folder: str) -> None:
+    """A JSON file per row, in a folder per task."""
+    # a small table of many rows is read in a task or two, which would write all the files
+    spread = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    inner = local.place(folder)
+    if inner is None:
+        spread.write.option("maxRecordsPerFile", 1).json(folder)
+    else:
+        local.write_texts(spread.select(F.to_json(F.struct(*rows.columns)).alias("value")), inner)
+
+
 def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
