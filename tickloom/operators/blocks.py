@@ -1,7 +1,8 @@
 """Ordered rows of each key, stored once in blocks of bounded size and found by binary search.
 
 A store is two bucketed tables. ``<name>_blocks`` has a row per block: up to ``block_rows`` rows of
-a key in ascending order. ``<name>_index`` has a row per key: where each block starts and ends. A
+a key in ascending order. ``<name>_index`` has a row per key: where each block starts and ends, and the
+rows themselves where the key has only one block. A
 batch of lookups meets the index by key and then the one block it needs by (key, block);
 both tables lie in their buckets already, so only the batch is shuffled. Keys that hold very
 many lookups meet their index rows, few by count, in a broadcast instead of one task.
@@ -10,13 +11,13 @@ many lookups meet their index rows, few by count, in a broadcast instead of one
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import ranked
+from tickloom.operators.ordered import covered, ranked
 from tickloom.session import group_limit
 
 STEPS = 31  # halvings that find a place in any array
@@ -47,11 +48,12 @@ class BlockStore:
     keys: tuple[str, ...]
     order: str
     buckets: int
+    single: bool = False  # no key has more than one block
 
     @property
     def index(self) -> DataFrame:
         """``keys, starts, ends``: first and last order value of every block."""
-        return self.spark.table(f"{self.name}_index")
+        return self.spark.table(f"{self.name}_index").drop("only")
 
     @property
     def blocks(self) -> DataFrame:
@@ -73,16 +75,16 @@ class BlockStore:
         same = reduce(lambda a, b: a & b, [left[f"__k_{k}"] == right[f"__s_{k}"] for k in on])
         return left.join(right, same, "left").drop(*[f"__{p}_{k}" for k in on for p in "ks"])
 
-    def indexed(self, batch: DataFrame, limit: int | None = None) -> DataFrame:
+    def indexed(self, batch: DataFrame, limit: int | None = None, table: DataFrame | None = None) -> DataFrame:
         """The batch with ``starts, ends`` of its keys (null where the key is unknown or null)."""
-        limit = limit or group_limit(self.spark)
+        limit, index = limit or group_limit(self.spark), self.index if table is None else table
         # at most rows / limit keys can have this many lookups
         hot = batch.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).drop("__n")
         if hot.isEmpty():
-            return self._with(batch, self.index, self.keys)
-        mine = self._with(hot.dropna(), self.index, self.keys).filter("starts IS NOT NULL")
+            return self._with(batch, index, self.keys)
+        mine = self._with(hot.dropna(), index, self.keys).filter("starts IS NOT NULL")
         same = list(self.keys)
-        rest = self._with(batch.join(F.broadcast(mine.select(*same)), same, "left_anti"), self.index, self.keys)
+        rest = self._with(batch.join(F.broadcast(mine.select(*same)), same, "left_anti"), index, self.keys)
         return self._with(batch.join(F.broadcast(mine.select(*same)), same, "left_semi"), F.broadcast(mine), self.keys, dealt=False).unionByName(rest)
 
     def nearest(self, batch: DataFrame, at: str, tie: str = "earlier", name: str = "row") -> DataFrame:
@@ -121,8 +123,19 @@ class BlockStore:
         """The batch (with a unique ``__id``) with the ``text`` of all stored rows of its key up to ``at``, joined; null without any.
 
         The index says how many blocks lie before; each is met by (key, block), and only the last
-        is cut, by binary search.
+        is cut, by binary search. Where no key has more than one block, its rows come with the index, and no text is shuffled; a
+        batch of bounded keys that lies in the store's buckets already stays there.
         """
+        if self.single:
+            index = self.spark.table(f"{self.name}_index").select(*self.keys, "starts", F.col("only").alias("__only"))
+            kinds = dict(index.dtypes)
+            if covered(self.keys) and all(dict(batch.dtypes)[k] == kinds[k] for k in self.keys):
+                met = batch.join(index.withColumnsRenamed({k: f"__s_{k}" for k in self.keys}), reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__s_{k}") for k in self.keys]), "left")
+            else:
+                met = self.indexed(batch, table=index)
+            cut = bisect(F.col(f"__only.{self.order}"), F.col(at))
+            lines = F.array_join(F.slice(F.col(f"__only.{text}"), F.lit(1), cut), separator)
+            return met.select(*batch.columns, F.when(cut > 0, lines).alias(name))
         found = self.indexed(batch.select("__id", *self.keys, at))
         last = bisect(F.col("starts"), F.col(at))
         reached = found.withColumn("block", F.explode(F.when(last > 0, F.sequence(F.lit(0), last - 1)))).withColumn("block", F.col("block").cast("long")).drop("starts", "ends")
@@ -155,12 +168,14 @@ def store_blocks(rows: DataFrame, name: str, keys: Sequence[str], order: str, pa
     store.drop()
 
     def save(table: DataFrame, part: str, by: list[str]) -> None:
-        writer = table.repartition(buckets, *by).sortWithinPartitions(*by).write.bucketBy(buckets, *by).sortBy(*by)
+        writer = table.sortWithinPartitions(*by).write.bucketBy(buckets, *by).sortBy(*by)
         (writer.option("path", f"{path}/{part}") if path else writer).saveAsTable(f"{name}_{part}")
 
-    save(grouped, "blocks", [*keys, "block"])
+    save(grouped.repartition(buckets, *keys, "block"), "blocks", [*keys, "block"])
     edges = F.struct("block", F.get(F.col(f"rows.{order}"), F.lit(0)).alias("start"), F.element_at(F.col(f"rows.{order}"), -1).alias("end"))
-    index = store.blocks.select(*keys, edges.alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("e"))
-    index = index.select(*keys, F.col("e.start").alias("starts"), F.col("e.end").alias("ends"))
-    save(index, "index", keys)
-    return store
+    # of a key's blocks the first alone is sent with its rows
+    dealt = store.blocks.select(*keys, edges.alias("e"), F.when(F.col("block") == 0, F.col("rows")).alias("rows")).repartition(buckets, *keys)
+    index = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("e"), F.first("rows", ignorenulls=True).alias("rows"))
+    only = F.when(F.size("e") == 1, F.col("rows")).alias("only")
+    save(index.select(*keys, F.col("e.start").alias("starts"), F.col("e.end").alias("ends"), only), "index", keys)
+    return replace(store, single=spark.table(f"{name}_index").filter("only IS NULL").isEmpty())

@@ -14,7 +14,7 @@ from tickloom.functions import loadout
 from tickloom.functions import vocab as V
 from tickloom.operators import windows
 from tickloom.operators.blocks import store_blocks
-from tickloom.operators.ordered import join_on
+from tickloom.operators.ordered import beside, bounded_groups, join_on, meeting, near, parts_for, per_key
 from tickloom.operators.samples import opening_snapshot, status_at
 
 ROUND = ["demo_stem", "round_num"]
@@ -33,7 +33,7 @@ def event_lines(events: DataFrame, rounds: DataFrame) -> DataFrame:
     said = F.when(F.col("kind") == "death", F.concat("player", F.lit(" ("), F.upper(F.coalesce("side", F.lit(""))), F.lit(") eliminated")))
     for kind, text in BOMB_EVENTS.items():
         said = said.when(F.lower("kind") == kind, text)
-    timed = join_on(events.withColumn("said", said).filter("said IS NOT NULL"), rounds.select(*ROUND, "freeze_end"), ROUND, "inner")
+    timed = meeting(events.withColumn("said", said).filter("said IS NOT NULL"), rounds.select(*ROUND, "freeze_end"), ROUND)
     # ties of a printed decimal go to the even digit
     clock = F.format_string("%5.1f", F.bround(seconds(F.col("tick"), F.col("freeze_end")), 1))
     return timed.select(*ROUND, "tick", "kind", F.concat(F.lit("  "), clock, F.lit("s — "), "said").alias("line"))
@@ -42,7 +42,7 @@ def event_lines(events: DataFrame, rounds: DataFrame) -> DataFrame:
 def opening_economy(players: DataFrame, rounds: DataFrame) -> DataFrame:
     """``{side}_buy, {side}_worth`` of each round from the first tick at or after the freeze's end, else the last."""
     at = opening_snapshot(players.select(*ROUND, "tick").distinct(), rounds.select(*ROUND, "freeze_end"), ROUND, "tick", "freeze_end", [])
-    first = join_on(players, at.select(*ROUND, F.col("snapshot.at").alias("opening")), ROUND, "inner").filter(F.col("tick") == F.col("opening"))
+    first = meeting(players, at.select(*ROUND, F.col("snapshot.at").alias("opening")), ROUND).filter(F.col("tick") == F.col("opening"))
     worth = loadout.equipment_value(F.col("inventory"), F.col("armor"), F.col("has_helmet"))
     alive = F.coalesce("health", F.lit(0)) > 0
     aggs = []
@@ -65,10 +65,8 @@ def current_state(players: DataFrame) -> DataFrame:
     hp = F.coalesce("health", F.lit(0))
     rows = players.withColumns({"weapon": weapon, "utility": utility, "hp": hp, "armour": F.coalesce("armor", F.lit(0))})
     one = F.struct("steamid", F.lower("side").alias("side"), "name", "hp", "weapon")  # a tick has a handful of players
-    frame = rows.groupBy(*ROUND, "tick").agg(
-        F.count_if((F.lower("side") == "t") & (F.col("hp") > 0)).alias("alive_t"), F.count_if((F.lower("side") == "ct") & (F.col("hp") > 0)).alias("alive_ct"), F.array_sort(F.collect_list(one)).alias("everybody")
-    )
-    both = join_on(rows, frame, [*ROUND, "tick"], "inner")
+    living = {f"alive_{s}": F.count_if((F.lower("side") == s) & (F.col("hp") > 0)) for s in ("t", "ct")}
+    both = per_key(rows, [*ROUND, "tick"], {**living, "everybody": F.collect_list(one)}).withColumn("everybody", F.array_sort("everybody"))
 
     def mates(living: bool) -> Column:
         return F.filter("everybody", lambda m: (m["side"] == F.lower("side")) & (m["steamid"] != F.col("steamid")) & ((m["hp"] > 0) if living else (m["hp"] == 0)))
@@ -76,23 +74,32 @@ def current_state(players: DataFrame) -> DataFrame:
     return both.withColumns({"mates_up": mates(True), "mates_down": mates(False)}).drop("everybody")
 
 
-def round_context(players: DataFrame, events: DataFrame, rounds: DataFrame, header: DataFrame, store: str, block_rows: int = 256, path: str | None = None) -> DataFrame:
+def round_context(players: DataFrame, events: DataFrame, rounds: DataFrame, header: DataFrame, store: str, block_rows: int = 256, path: str | None = None, parts: int | None = None) -> DataFrame:
     """``context`` for every row of ``players`` (``demo_stem, round_num, tick, steamid, name, side, health, armor, has_helmet, inventory``).
 
     Events of one tick are ordered by kind and text. Rounds without events have no event list; the
     bomb is carried until its first change; rows of unknown rounds are left out. ``store`` names the
-    stored events, which lie below ``path`` or in the warehouse.
+    stored events, which lie below ``path`` or in the warehouse. Tables are dealt by round once; ``players`` may lie so
+    already, in as many buckets as ``parts`` says.
     """
+    with bounded_groups([(df, ROUND) for df in (players, events, rounds)]) as n:
+        if parts is None:
+            parts = parts_for(players.sparkSession, n)
+            players = near(players, ROUND, parts)
+        return _round_context(players, near(events, ROUND, parts), near(rounds, ROUND, parts), header, store, block_rows, path, parts)
+
+
+def _round_context(players: DataFrame, events: DataFrame, rounds: DataFrame, header: DataFrame, store: str, block_rows: int, path: str | None, parts: int) -> DataFrame:
     scored = windows.scores_before(rounds, ["demo_stem"], "round_num", "winner", ["t", "ct"])
-    told = store_blocks(event_lines(events, rounds), store, ROUND, "tick", ["line"], block_rows, tie=["kind", "line"], path=path)
+    told = store_blocks(event_lines(events, rounds), store, ROUND, "tick", ["line"], block_rows, parts, tie=["kind", "line"], path=path)
     moments = players.select(*ROUND, "tick").distinct()
     changes = events.filter(F.lower("kind").isin(*V.BOMB_CHANGES)).withColumn("state", F.lower("kind"))
     changes = changes.groupBy(*ROUND, "tick").agg(F.max("state").alias("state"))  # of one tick the last by name
     moments = status_at(moments, changes, ROUND, "tick", "state", V.BOMB_CHANGES, default="carried", name="bomb")
     moments = told.upto(moments.withColumn("__id", F.struct(*ROUND, "tick")), "tick", "line", name="happened").drop("__id")
-    rows = join_on(current_state(players), moments, [*ROUND, "tick"], "inner")
-    rows = join_on(rows, scored.select(*ROUND, "freeze_end", "score_t", "score_ct"), ROUND, "inner")
-    rows = join_on(join_on(rows, opening_economy(players, rounds), ROUND, "inner"), header, ["demo_stem"], "left")
+    rows = beside(current_state(players), [moments], [*ROUND, "tick"])  # every tick is a moment
+    known = join_on(scored.select(*ROUND, "freeze_end", "score_t", "score_ct"), header, ["demo_stem"], "left")
+    rows = meeting(meeting(rows, near(known, ROUND, parts), ROUND), opening_economy(players, rounds), ROUND)
     c, nl = F.col, F.lit("\n")
 
     def money(column: str) -> Column:

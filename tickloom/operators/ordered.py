@@ -113,7 +113,7 @@ def hot_ranges(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> Da
 _BOUNDED: ContextVar[tuple[frozenset[str], ...]] = ContextVar("bounded", default=())
 
 
-def _covered(keys: Sequence[str]) -> bool:
+def covered(keys: Sequence[str]) -> bool:
     """Whether a check that holds looked at these keys or at coarser ones."""
     return any(known <= set(keys) for known in _BOUNDED.get())
 
@@ -124,25 +124,26 @@ def bounded_groups(tables: Iterable[tuple[DataFrame, Sequence[str]]], limit: int
 
     Holds when no group of any table exceeds its share of the limit, so that even the union
     of all tables fits one task per group. If one does, the steps check and split as usual.
+    Yields how many rows there are in all; None where it has been checked before.
     """
     tables = list(tables)
-    if all(_covered(keys) for _, keys in tables):
-        yield
+    if all(covered(keys) for _, keys in tables):
+        yield None
         return
     limit = limit or group_limit(tables[0][0].sparkSession)
     counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n") for df, keys in tables]
-    largest = reduce(DataFrame.unionByName, counts).agg(F.max("n")).first()[0] or 0
-    known = tuple(frozenset(keys) for _, keys in tables) if largest * len(tables) <= limit else ()
+    found = reduce(DataFrame.unionByName, counts).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    known = tuple(frozenset(keys) for _, keys in tables) if (found["largest"] or 0) * len(tables) <= limit else ()
     token = _BOUNDED.set(_BOUNDED.get() + known)
     try:
-        yield
+        yield found["rows"] or 0
     finally:
         _BOUNDED.reset(token)
 
 
 def splits_needed(spans: DataFrame) -> bool:
     keys = [c for c in spans.columns if c not in ("__low", "__width")]
-    return not _covered(keys) and not spans.isEmpty()
+    return not covered(keys) and not spans.isEmpty()
 
 
 def with_span(df: DataFrame, spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -169,6 +170,50 @@ def dealt(df: DataFrame, keys: Sequence[str], rows: int, part_rows: int) -> Data
     return df.repartition(parts, *keys)
 
 
+def parts_for(spark, rows: int | None, part_rows: int = 1_000_000) -> int:
+    """Parts to deal so many ``rows`` to: those of a shuffle, and more where a part would be larger than ``part_rows``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // part_rows))
+
+
+def near(df: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    """``df`` dealt by key where all groups are known to fit a task, else as it is.
+
+    Tables dealt alike, in as many parts, meet in unions, and their windows and aggregates by these keys
+    or finer ones (``beside``, ``meeting``, ``per_key``) shuffle nothing more.
+    """
+    return df.repartition(parts, *keys) if parts and covered(keys) else df
+
+
+def _tagged(df: DataFrame, others: Sequence[DataFrame]) -> DataFrame:
+    both = df.withColumn("__mine", F.lit(True))
+    for other in others:
+        both = both.unionByName(other, allowMissingColumns=True)
+    return both
+
+
+def beside(df: DataFrame, others: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys``, null keys equal, with tables of one row per key: one pass over the union of all.
+
+    A join compares null keys by expressions that no table is dealt by, so it shuffles both sides each time.
+    """
+    if not covered(keys):
+        return reduce(lambda a, b: join_on(a, b, keys, "left"), others, df)
+    whole = Window.partitionBy(*keys)
+    columns = [c for other in others for c in other.columns if c not in keys]
+    found = _tagged(df, others).withColumns({c: F.first(c, ignorenulls=True).over(whole) for c in columns})
+    return found.filter("__mine").drop("__mine")
+
+
+def meeting(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, null keys equal, with a table of few rows per key: one pass over the union of both."""
+    if not covered(keys):
+        return join_on(df, other, keys, "inner")
+    columns = [c for c in other.columns if c not in keys]
+    both = _tagged(df, [other.select(*keys, F.struct(*columns).alias("__other"))])
+    listed = both.withColumn("__others", F.collect_list("__other").over(Window.partitionBy(*keys))).filter("__mine")
+    return listed.withColumn("__other", F.explode("__others")).select(*df.columns, *[F.col("__other")[c].alias(c) for c in columns])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -203,7 +248,7 @@ def running(
     def finish(a: Running, value: Column) -> Column:
         return F.coalesce(value, F.lit(0)) if a.kind == "count" else value
 
-    if part_rows and not _covered(keys):
+    if part_rows and not covered(keys):
         found = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
         if (found["largest"] or 0) <= limit:
             base = dealt(base, keys, found["rows"] or 0, part_rows)
@@ -279,12 +324,18 @@ def framed(
     return blocks.withColumns(exprs(window)).filter("__own").drop("__block", "__own", "__all")
 
 
-def per_key(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+def per_key(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column] | dict[str, Column]) -> DataFrame:
     """Whole-group aggregates joined back to the rows.
 
     Replaces an unbounded window: the aggregate combines map-side, and adaptive
-    execution broadcasts the result or splits the skewed side of the join.
+    execution broadcasts the result or splits the skewed side of the join. Aggregates given by
+    name are a window after all where groups are known to fit a task, which reads ``df`` only once.
     """
+    if isinstance(aggs, dict):
+        if covered(keys):
+            whole = Window.partitionBy(*keys)
+            return df.withColumns({n: a.over(whole) for n, a in aggs.items()})
+        aggs = [a.alias(n) for n, a in aggs.items()]
     return join_on(df, df.groupBy(*keys).agg(*aggs), keys, "left")
 
 

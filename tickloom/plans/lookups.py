@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import vocab as V
 from tickloom.operators import blocks, context
-from tickloom.plans.recordings import EP, MAPS, TABLES, header, lines, rounds, ticks
+from tickloom.plans.recordings import EP, MAPS, TABLES, header, kept_ticks, lines, rounds
 from tickloom.plans.registry import Tables, query
 from tickloom.session import scratch
 
@@ -92,6 +92,7 @@ PRICES = " + ".join(
 )
 def round_context(t: Tables):
     """The context text of every player in every tick."""
-    players = ticks(t).withColumn("name", F.concat(F.lit("p"), F.col("steamid").cast("string")))
-    out = context.round_context(players, events_of(t), rounds(t), header(t), store_name("round_events"), path=scratch(t.spark, "round-events"))
+    kept, parts = kept_ticks(t)
+    players = kept.withColumn("name", F.concat(F.lit("p"), F.col("steamid").cast("string")))
+    out = context.round_context(players, events_of(t), rounds(t), header(t), store_name("round_events"), path=scratch(t.spark, "round-events"), parts=parts)
     return out.select("demo_stem", F.col("round_num").cast("long").alias("round_num"), F.col("tick").cast("long").alias("tick"), "steamid", F.md5("context").alias("digest"))

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,14 @@ def lines(t: Tables) -> DataFrame:
     return t.lineitem.select(*keyed("l_orderkey"), "*")
 
 
-def ticks(t: Tables) -> DataFrame:
+def ticks(t: Tables, parts: int | None = None) -> DataFrame:
+    """The last row of each player and tick; with ``parts``, of lines dealt by round."""
     c = F.col
     player = (c("l_suppkey") % 10).cast("long")
     state = F.struct(
         c("l_extendedprice").alias("price"), c("l_partkey").alias("part"), c("l_quantity").alias("qty"), c("l_tax").alias("tax"), c("l_returnflag").alias("flag")
     )
-    g = lines(t).groupBy("demo_stem", "round_num", (c("l_linenumber") * 40 + c("l_partkey") % 5 * 8).cast("int").alias("tick"), player.alias("steamid")).agg(F.max(state).alias("s"))
+    g = ordered.near(lines(t), frames.EPISODE, parts).groupBy("demo_stem", "round_num", (c("l_linenumber") * 40 + c("l_partkey") % 5 * 8).cast("int").alias("tick"), player.alias("steamid")).agg(F.max(state).alias("s"))
     inv = F.array_compact(
         F.array(
             F.when(c("s.part") % 4 == 0, "AWP").when(c("s.part") % 4 == 1, "AK-47"), F.lit("Glock-18"),
@@ -135,6 +138,23 @@ def round_frames_global(t: Tables):
     return out.select("demo_stem", F.col("round_num").cast("long").alias("round_num"), *keep, *[F.round(c, 8).alias(c) for c in ("round_time", "money_diff", "alive_t")], F.round("bomb_age", 10).alias("bomb_age"))
 
 
+def kept_ticks(t: Tables) -> tuple[DataFrame, int | None]:
+    """Ticks, an aggregate here, written once, as they come in a recording; and in how many buckets by round they lie.
+
+    Lines are dealt by round and nothing else. Where a round is too large for a task, there are no buckets.
+    """
+    folder = scratch(t.spark, "ticks")
+    with ordered.bounded_groups([(lines(t), frames.EPISODE)]) as n:
+        if not ordered.covered(frames.EPISODE):
+            ticks(t).write.parquet(folder)
+            return t.spark.read.parquet(folder), None
+        name, parts, stored = f"ticks_{uuid.uuid4().hex[:12]}", ordered.parts_for(t.spark, n), [f"in_{c}" for c in frames.EPISODE]
+        rows = ticks(t, parts).withColumnsRenamed(dict(zip(frames.EPISODE, stored)))
+        rows.write.option("path", folder).bucketBy(parts, *stored).saveAsTable(name)
+    # columns named after a table's would carry its name, and a union would not know its parts to lie alike
+    return t.spark.table(name).withColumnsRenamed(dict(zip(stored, frames.EPISODE))), parts
+
+
 def built(t: Tables):
     folder = scratch(t.spark, "ticks")  # ticks are an aggregate here; written once, as they come in a recording
     ticks(t).write.parquet(folder)
