@@ -49,7 +49,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["round_context"])
+@pytest.mark.parametrize("name", ["feature_export", "round_context", "round_frames_players"])
 def test_ticks_are_shuffled_once(spark, folder, name):
     """Ticks lie in buckets by round, and nothing of a tick, frame or text is shuffled after that."""
     out = load_queries()[name](spark, folder)
@@ -58,7 +58,7 @@ def test_ticks_are_shuffled_once(spark, folder, name):
     assert "Bucketed: true" in out._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["round_context"])
+@pytest.mark.parametrize("name", ["round_context", "round_frames_players"])
 def test_large_rounds_are_joined(spark, folder, name):
     """Rounds too large for a task are neither dealt nor bucketed, and the rows are the same."""
     q = load_queries()[name]

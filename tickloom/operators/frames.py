@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import encode, loadout
 from tickloom.functions import vocab as V
 from tickloom.operators import align, windows
-from tickloom.operators.ordered import bounded_groups, join_on, per_key
+from tickloom.operators.ordered import beside, bounded_groups, join_on, meeting, near, parts_for, per_key
 
 EPISODE = ["demo_stem", "round_num"]
 SIDES = ["t", "ct"]
@@ -33,10 +33,19 @@ def player_frames(ticks: DataFrame, grid: DataFrame, per_side: int = 5, fill: st
     makes both cosines 1.
     """
     slots = windows.assign_slots(ticks, EPISODE, "tick", "steamid", "side", SIDES, per_side)
-    mine = join_on(ticks.drop("side"), slots.select(*EPISODE, "steamid", "slot"), [*EPISODE, "steamid"], "inner").withColumn("is_present", F.lit(True))
+    slots = slots.groupBy(*EPISODE).agg(F.collect_list(F.struct("slot", "steamid")).alias("__slots"))
+    row = F.struct("steamid", *[c for c in ticks.columns if c not in (*EPISODE, "tick", "side", "steamid")], F.lit(True).alias("is_present"))
+    frame = ticks.groupBy(*EPISODE, "tick").agg(F.collect_list(row).alias("__rows"))  # a tick has a handful of players
+    cells = beside(beside(grid, [frame], [*EPISODE, "tick"]), [slots], EPISODE)
+
+    def mine(slot):
+        """The rows of the slot's players; a null where there are none."""
+        ids = F.transform(F.filter("__slots", lambda s: s["slot"] == slot), lambda s: s["steamid"])
+        held = F.filter("__rows", lambda r: F.exists(ids, lambda i: i.eqNullSafe(r["steamid"])))
+        return F.transform(F.when(F.size(held) > 0, held).otherwise(F.array(F.lit(None).cast(frame.schema["__rows"].dataType.elementType))), lambda r: F.struct(slot.alias("slot"), r.alias("row")))
+
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(2 * per_side - 1).cast("long"))
-    cells = grid.withColumn("slot", F.explode(numbers))
-    full = join_on(cells, mine, [*EPISODE, "tick", "slot"], "left")
+    full = cells.withColumn("__cell", F.explode(F.flatten(F.transform(numbers, mine)))).select(*EPISODE, "frame", "tick", "__cell.slot", "__cell.row.*")
     present = F.coalesce("is_present", F.lit(False))
     features = encode.player_features()
     held = loadout.loadout(F.col("inventory"))
@@ -97,17 +106,20 @@ def tempo_events(kills: DataFrame, bomb: DataFrame, rounds: DataFrame) -> DataFr
     return kills.select(*EPISODE, "tick").unionByName(exact).unionByName(end).filter("tick IS NOT NULL").distinct()
 
 
-def global_frames(ticks: DataFrame, players: DataFrame, kills: DataFrame, bomb: DataFrame, rounds: DataFrame, header: DataFrame, grid: DataFrame) -> DataFrame:
-    """One row per frame: phase, clocks, bomb, score, team differences, tempo and the next-event label."""
+def global_frames(ticks: DataFrame, players: DataFrame, kills: DataFrame, bomb: DataFrame, rounds: DataFrame, header: DataFrame, grid: DataFrame, parts: int | None = None) -> DataFrame:
+    """One row per frame: phase, clocks, bomb, score, team differences, tempo and the next-event label.
+
+    Tables dealt by episode in so many ``parts`` are not shuffled again.
+    """
     last = grid.groupBy(*EPISODE).agg(F.max("tick").alias("__last"))
     played = join_on(rounds.withColumn("winner", F.coalesce("winner", F.lit(""))), last, EPISODE, "inner")  # empty rounds do not score
     scored = windows.scores_before(played, ["demo_stem"], "round_num", "winner", SIDES)
     info = scored.select(*EPISODE, "freeze_end", F.coalesce("end", "official_end", "__last").alias("end"), "bomb_plant", "score_t", "score_ct")
     info = join_on(info.join(header, "demo_stem", "left"), first_plants(bomb, header), EPISODE, "left")
 
-    rows = join_on(grid, info, EPISODE, "inner")
+    rows = meeting(grid, near(info, EPISODE, parts), EPISODE)
     carried = players.groupBy(*EPISODE, "tick").agg(F.max("has_c4").alias("__c4"))
-    rows = join_on(join_on(rows, carried, [*EPISODE, "tick"], "left"), team_totals(ticks), [*EPISODE, "tick"], "left")
+    rows = beside(rows, [carried, team_totals(ticks)], [*EPISODE, "tick"])
     rows = align.since_last(rows, kills.select(*EPISODE, "tick").distinct(), EPISODE, "tick", V.EVENT_HORIZON, "since_kill")
     rows = align.since_last(rows, tempo_events(kills, bomb, rounds), EPISODE, "tick", V.EVENT_HORIZON, "since_event")
     rows = align.label_next(rows, label_events(kills, bomb, rounds), EPISODE, "tick", "code", V.EVENT_HORIZON, V.EVENTS.index("none"), "event_label", "event_time")
@@ -142,13 +154,20 @@ def global_frames(ticks: DataFrame, players: DataFrame, kills: DataFrame, bomb:
     return rows.select(*keep, *[e.alias(n) for n, e in columns.items()])
 
 
-def build(ticks: DataFrame, kills: DataFrame, bomb: DataFrame, rounds: DataFrame, header: DataFrame, step: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(player frames, global frames, grid). Group sizes are checked once, on the inputs."""
+def build(ticks: DataFrame, kills: DataFrame, bomb: DataFrame, rounds: DataFrame, header: DataFrame, step: int = 8, parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(player frames, global frames, grid). Group sizes are checked once, on the inputs.
+
+    Tables are dealt by episode once; ``ticks`` may lie so already, in as many buckets as ``parts`` says.
+    """
     inputs = [(df, EPISODE) for df in (ticks, kills, bomb, rounds)]
-    with bounded_groups([*inputs, (rounds, ["demo_stem"])]):
+    with bounded_groups([*inputs, (rounds, ["demo_stem"])]) as n:
+        if parts is None:
+            parts = parts_for(ticks.sparkSession, n)
+            ticks = near(ticks, EPISODE, parts)
+        kills, bomb, rounds = (near(df, EPISODE, parts) for df in (kills, bomb, rounds))
         grid = frame_grid(ticks, step)
         players = player_frames(ticks, grid)
-        return players, global_frames(ticks, players, kills, bomb, rounds, header, grid), grid
+        return players, global_frames(ticks, players, kills, bomb, rounds, header, grid, parts), grid
 
 
 def episodes(grid: DataFrame, rounds: DataFrame, header: DataFrame, step: int = 8) -> DataFrame:
@@ -188,7 +207,7 @@ def feature_table(players: DataFrame, frames: DataFrame, n_slots: int = 10) -> D
     """``features array<float>`` per frame: the slots in order, then the global block."""
     cells = players.select(*EPISODE, "frame", "slot", player_array().alias("v"))
     wide = cells.groupBy(*EPISODE, "frame").agg(*[F.max(F.when(F.col("slot") == i, F.col("v"))).alias(f"__{i}") for i in range(n_slots)])
-    both = join_on(wide, frames.select(*EPISODE, "frame", global_array().alias("__g")), [*EPISODE, "frame"], "inner")
+    both = meeting(wide, frames.select(*EPISODE, "frame", global_array().alias("__g")), [*EPISODE, "frame"])
     return both.select(*EPISODE, "frame", F.concat(*[F.col(f"__{i}") for i in range(n_slots)], F.col("__g")).alias("features"))
 
 

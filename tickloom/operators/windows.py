@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import framed, hash_order, join_on, per_key, ranked, rcount, rmax, rsum, running
+from tickloom.operators.ordered import beside, framed, hash_order, join_on, per_key, ranked, rcount, rmax, rsum, running
 
 
 def keep_every(rows: DataFrame, episode: Sequence[str], order: str, step: int) -> DataFrame:
@@ -18,7 +18,7 @@ def keep_every(rows: DataFrame, episode: Sequence[str], order: str, step: int) -
     ticks = rows.select(*episode, order).distinct()
     grid = ranked(ticks, episode, order, "__pos").filter((F.col("__pos") - 1) % step == 0)
     grid = grid.withColumn("frame", F.floor((F.col("__pos") - 1) / step).cast("long")).drop("__pos")
-    return join_on(rows, grid, [*episode, order], "inner")
+    return beside(rows, [grid], [*episode, order]).filter("frame IS NOT NULL")
 
 
 def keep_on_grid(rows: DataFrame, episode: Sequence[str], order: str, step: int) -> DataFrame:
@@ -33,8 +33,8 @@ def assign_slots(rows: DataFrame, episode: Sequence[str], order: str, entity: st
 
     Slots are numbered side by side: ``per_side`` for the first side, then the next.
     """
-    first = rows.groupBy(*episode).agg(F.min(order).alias(order))
-    at_start = join_on(rows.select(*episode, order, entity, F.lower(side).alias("side")), first, [*episode, order], "left_semi")
+    timed = per_key(rows.select(*episode, order, entity, F.lower(side).alias("side")), episode, {"__first": F.min(order)})
+    at_start = timed.filter(F.col(order).eqNullSafe(F.col("__first")))
     present = at_start.filter(F.col("side").isin(*sides)).select(*episode, "side", entity).distinct()
     numbered = ranked(present, [*episode, "side"], entity, "__n").filter(F.col("__n") <= per_side)
     base = F.lit(0)

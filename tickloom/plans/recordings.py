@@ -105,7 +105,7 @@ TABLES = f"""li AS (SELECT {EP.format('l_orderkey')}, * FROM lineitem),
     FROM gr g CROSS JOIN (SELECT unnest(range(10)) AS slot) c LEFT JOIN sl ON sl.demo_stem = g.demo_stem AND sl.round_num = g.round_num AND sl.slot = c.slot LEFT JOIN tk t ON t.demo_stem = g.demo_stem AND t.round_num = g.round_num AND t.tick = g.tick AND t.steamid = sl.steamid""",
 )
 def round_frames_players(t: Tables):
-    tk = ticks(t)
+    tk = kept_ticks(t)[0]
     with ordered.bounded_groups([(tk, frames.EPISODE)]):
         out = frames.player_frames(tk, frames.frame_grid(tk, 2))
     return out.select("demo_stem", F.col("round_num").cast("long").alias("round_num"), "frame", "slot", "is_present", *[F.round(c, 8).alias(c) for c in ("x", "cos_yaw", "hp")], "primary", "has_c4")
@@ -133,7 +133,7 @@ def round_frames_players(t: Tables):
       CASE WHEN nt - tick <= 256 THEN nc ELSE 6 END::BIGINT AS event_label, CASE WHEN nt - tick <= 256 THEN nt - tick ELSE 256 END::BIGINT AS event_time FROM a3""",
 )
 def round_frames_global(t: Tables):
-    out = built(t)[1]
+    out = built(t)[0][1]
     keep = ["frame", "map_name", "score_t", "score_ct", "phase", "bomb_state", "since_kill", "since_event", "event_label", "event_time"]
     return out.select("demo_stem", F.col("round_num").cast("long").alias("round_num"), *keep, *[F.round(c, 8).alias(c) for c in ("round_time", "money_diff", "alive_t")], F.round("bomb_age", 10).alias("bomb_age"))
 
@@ -156,9 +156,9 @@ def kept_ticks(t: Tables) -> tuple[DataFrame, int | None]:
 
 
 def built(t: Tables):
-    folder = scratch(t.spark, "ticks")  # ticks are an aggregate here; written once, as they come in a recording
-    ticks(t).write.parquet(folder)
-    return frames.build(t.spark.read.parquet(folder), kills(t), bomb(t), rounds(t), header(t), 2)
+    """``frames.build`` of the order lines, and the ticks."""
+    kept, parts = kept_ticks(t)
+    return frames.build(kept, kills(t), bomb(t), rounds(t), header(t), 2, parts), kept
 
 
 @query(
@@ -174,8 +174,9 @@ def episode_meta(t: Tables):
 
 @query("feature_export", "P4 S11")
 def feature_export(t: Tables):
-    players, frame, _ = built(t)
-    out = frames.feature_table(players, frame)
+    (players, frame, _), kept = built(t)
+    with ordered.bounded_groups([(kept, frames.EPISODE)]):
+        out = frames.feature_table(players, frame)
     return out.select("demo_stem", "round_num", "frame", F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
 
 
@@ -190,7 +191,7 @@ def feature_export(t: Tables):
     SELECT demo_stem, round_num::BIGINT AS round_num, frame, edge AS is_drop, round(CASE WHEN held THEN hx ELSE bx END, 8) AS bomb_x, greatest(0, frame - coalesce(lf, 0)) / 8.0::DOUBLE AS clock FROM v""",
 )
 def drop_positions(t: Tables):
-    players, frame, _ = built(t)
+    (players, frame, _), _ = built(t)
     with ordered.bounded_groups([(ticks(t), frames.EPISODE)]):
         out = frames.reanchored_clock(frames.drop_positions(players, frame))
     return out.select("demo_stem", F.col("round_num").cast("long").alias("round_num"), "frame", "is_drop", F.round("bomb_x", 8).alias("bomb_x"), F.col("round_time_s").alias("clock"))
