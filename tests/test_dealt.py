@@ -49,7 +49,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["feature_export", "round_context", "round_frames_players"])
+@pytest.mark.parametrize("name", ["feature_export", "drop_positions", "round_context", "round_frames_players"])
 def test_ticks_are_shuffled_once(spark, folder, name):
     """Ticks lie in buckets by round, and nothing of a tick, frame or text is shuffled after that."""
     out = load_queries()[name](spark, folder)

@@ -213,7 +213,7 @@ def feature_table(players: DataFrame, frames: DataFrame, n_slots: int = 10) -> D
 
 def reanchored_clock(frames: DataFrame, position: str = "frame") -> DataFrame:
     """Clock in seconds since the first live frame (the whole episode when there is none)."""
-    out = per_key(frames, EPISODE, [F.min(F.when(F.col("phase") == "live", F.col(position))).alias("__live")])
+    out = per_key(frames, EPISODE, {"__live": F.min(F.when(F.col("phase") == "live", F.col(position)))})
     clock = F.greatest(F.lit(0.0), (F.col(position) - F.coalesce("__live", F.lit(0))) / float(V.FRAME_HZ))
     return out.withColumn("round_time_s", clock).drop("__live")
 
@@ -222,7 +222,7 @@ def drop_positions(players: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames with the last carrier position while the bomb lies dropped, and the clamped age."""
     carrier = F.min(F.when(F.col("has_c4") > 0.5, F.struct("slot", "x", "y"))).alias("__c")
     c = players.groupBy(*EPISODE, "frame").agg(carrier)
-    joined = join_on(frames, c, [*EPISODE, "frame"], "left").withColumns(
+    joined = beside(frames, [c], [*EPISODE, "frame"]).withColumns(
         {"carried": F.col("__c").isNotNull(), "planted": F.col("bomb_state").startswith("planted"), "__x": F.col("__c.x"), "__y": F.col("__c.y")}
     )
     out = windows.hold_dropped(joined, EPISODE, "frame", "carried", "planted", "__x", "__y")
