@@ -38,14 +38,20 @@ def player_frames(ticks: DataFrame, grid: DataFrame, per_side: int = 5, fill: st
     frame = ticks.groupBy(*EPISODE, "tick").agg(F.collect_list(row).alias("__rows"))  # a tick has a handful of players
     cells = beside(beside(grid, [frame], [*EPISODE, "tick"]), [slots], EPISODE)
 
-    def mine(slot):
-        """The rows of the slot's players; a null where there are none."""
-        ids = F.transform(F.filter("__slots", lambda s: s["slot"] == slot), lambda s: s["steamid"])
-        held = F.filter("__rows", lambda r: F.exists(ids, lambda i: i.eqNullSafe(r["steamid"])))
-        return F.transform(F.when(F.size(held) > 0, held).otherwise(F.array(F.lit(None).cast(frame.schema["__rows"].dataType.elementType))), lambda r: F.struct(slot.alias("slot"), r.alias("row")))
-
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(2 * per_side - 1).cast("long"))
-    full = cells.withColumn("__cell", F.explode(F.flatten(F.transform(numbers, mine)))).select(*EPISODE, "frame", "tick", "__cell.slot", "__cell.row.*")
+    none = F.lit(None).cast(frame.schema["__rows"].dataType.elementType)
+
+    def cell(slot, held):
+        return F.struct(slot.alias("slot"), held.alias("row"))
+
+    def slotted(held):
+        """The row once for every slot of its player."""
+        return F.transform(F.filter("__slots", lambda s: s["steamid"].eqNullSafe(held["steamid"])), lambda s: cell(s["slot"], held))
+
+    cells = cells.withColumn("__held", F.flatten(F.transform("__rows", slotted)))
+    free = F.transform(F.array_except(numbers, F.coalesce("__held.slot", F.array().cast("array<long>"))), lambda slot: cell(slot, none))
+    cells = cells.withColumn("__cell", F.explode(F.concat(F.coalesce("__held", F.slice(free, 1, 0)), free)))
+    full = cells.select(*EPISODE, "frame", "tick", "__cell.slot", "__cell.row.*")
     present = F.coalesce("is_present", F.lit(False))
     features = encode.player_features()
     held = loadout.loadout(F.col("inventory"))
