@@ -70,13 +70,13 @@ def test_large_rounds_are_joined(spark, folder, name):
         spark.conf.unset("tickloom.groupLimit")
 
 
-def test_a_lone_block_comes_with_its_index(spark):
+def test_a_lone_block_comes_with_its_index(spark, tmp_path):
     rng = random.Random(8)
     lines = spark.createDataFrame([(f"k{i % 5}", rng.randint(0, 40), f"l{i}") for i in range(200)], "g string, tick int, line string")
     asks = spark.createDataFrame([(i, rng.choice([None, "none", "k0", "k1", "k4"]), rng.choice([None, *range(-2, 45)])) for i in range(150)], "__id int, g string, at int")
     found = []
     for size in (7, 256):
-        store = blocks.store_blocks(lines, f"test_lone_{size}", ["g"], "tick", ["line"], block_rows=size, buckets=3, tie=["line"])
+        store = blocks.store_blocks(lines, f"test_lone_{size}", ["g"], "tick", ["line"], block_rows=size, buckets=3, tie=["line"], path=str(tmp_path / f"s{size}"))
         assert store.single == (size == 256) and store.index.columns == ["g", "starts", "ends"]
         found.append(rows_of(store.upto(asks, "at", "line").select("__id", "g", "at", "lines")))
         with ordered.bounded_groups([(asks, ["g"])]):
